@@ -132,3 +132,45 @@ def r6(x: str) -> str:
     """Same rounding as the Spark side: floor(x * 1e6 + 0.5) / 1e6 in IEEE
     doubles (engines' own round() differ on ties)."""
     return f"(floor(({x}) * 1000000.0 + 0.5) / 1000000.0)"
+
+
+def rnd(x: str, digits: int) -> str:
+    scale = f"{10.0 ** digits:.1f}"
+    return f"(floor(({x}) * {scale} + 0.5) / {scale})"
+
+
+def bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    """NumPy-style bin index, same arithmetic as the Spark expression."""
+    step = f"(({hi}) - ({lo})) / {float(bins)}"
+    raw = (f"least(greatest(CAST(floor((({x}) - ({lo})) * ({float(bins)} / (({hi}) - ({lo})))) AS INTEGER), 0), "
+           f"{bins - 1})")
+
+    def edge(i):
+        return f"(CASE WHEN ({i}) >= {bins} THEN ({hi}) ELSE CAST({i} AS DOUBLE) * {step} + ({lo}) END)"
+    down = f"(CASE WHEN ({x}) < {edge(raw)} THEN 1 ELSE 0 END)"
+    up = f"(CASE WHEN ({x}) >= {edge(f'{raw} + 1')} AND {raw} <> {bins - 1} THEN 1 ELSE 0 END)"
+    return f"least(greatest({raw} - {down} + {up}, 0), {bins - 1})"
+
+
+def histogram_sql(data: str, keys: list[str], bins: int, range_keys: list[str] | None = None) -> str:
+    """Histogram with empty bins over ``data`` (columns keys..., value)."""
+    range_keys = range_keys or keys
+    rk = ", ".join(range_keys)
+    k = ", ".join(keys)
+    join_r = " AND ".join(f"d.{c} = r.{c}" for c in range_keys)
+    join_g = " AND ".join(f"g.{c} = r.{c}" for c in range_keys)
+    join_c = " AND ".join(f"g.{c} = c.{c}" for c in keys)
+    step = f"((g.hi - g.lo) / {float(bins)})"
+    return f"""WITH d AS (SELECT {k}, value FROM ({data}) WHERE value IS NOT NULL),
+r AS (SELECT {rk}, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+        CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
+      FROM d GROUP BY {rk}),
+c AS (SELECT {", ".join('d.' + c for c in keys)}, {bin_sql('d.value', 'r.lo', 'r.hi', bins)} AS bin, count(*) AS count
+      FROM d JOIN r ON {join_r} GROUP BY ALL),
+g AS (SELECT {", ".join('g0.' + c for c in keys)}, r.lo, r.hi, CAST(b.range AS INTEGER) AS bin
+      FROM (SELECT DISTINCT {k} FROM d) g0 JOIN r ON {" AND ".join(f"g0.{c} = r.{c}" for c in range_keys)}
+      CROSS JOIN range(0, {bins}) b)
+SELECT {", ".join('g.' + c for c in keys)}, g.bin, {r6(f'CAST(g.bin AS DOUBLE) * {step} + g.lo')} AS edge_lo,
+  {r6(f'CASE WHEN g.bin = {bins - 1} THEN g.hi ELSE CAST(g.bin + 1 AS DOUBLE) * {step} + g.lo END')} AS edge_hi,
+  CAST(coalesce(c.count, 0) AS BIGINT) AS count
+FROM g LEFT JOIN c ON {join_c} AND g.bin = c.bin"""
