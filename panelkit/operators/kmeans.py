@@ -54,12 +54,22 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("dist2").alias("inertia"))
 
 
+def model_inertia(model, df: DataFrame, features: str = "pca") -> float:
+    """Sum of squared distances to the final centres (Spark's
+    ``summary.trainingCost`` is taken before the last centre update)."""
+    from pyspark.ml.functions import vector_to_array
+    cents = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    x = vector_to_array(F.col(features))
+    own = F.element_at(cents, (F.col("cluster") + 1).cast("int"))
+    return float(model.transform(df).agg(F.sum(squared_distance(x, own))).first()[0])
+
+
 def elbow_curve(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str = "pca",
                 fraction: float = 1.0, key: str | None = None) -> DataFrame:
     """Within-cluster sum of squares for each k (one KMeans fit each).  With
     ``fraction`` < 1 the fits use a hash sample on ``key``."""
     data = df if fraction >= 1.0 else hash_sample(df, key, fraction, seed)
     data = data.select(features).cache()
-    rows = [(int(k), float(kmeans_fit(data, int(k), seed, features).summary.trainingCost)) for k in ks]
+    rows = [(int(k), model_inertia(kmeans_fit(data, int(k), seed, features), data, features)) for k in ks]
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")

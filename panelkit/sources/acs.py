@@ -81,7 +81,7 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
             .withColumn("src_pos", F.col("_rid") - F.col("_first") + 1).drop("_rid", "_first"))
 
     # Header table: one row per file, positions of the wanted variables.
-    h = F.transform(F.col("cells"), lambda c: F.regexp_replace(F.btrim(c, F.lit('"')), "^﻿", ""))
+    h = F.transform(F.col("cells"), lambda c: F.regexp_replace(F.btrim(c, F.lit('"')), "^\ufeff", ""))
     headers = rows.where(F.col("src_pos") == 1).select("src_path", h.alias("header"))
     idx = F.sequence(F.lit(1), F.size("header"))
     entries = F.transform(idx, lambda i: F.struct(F.element_at("header", i).alias("name"), i.alias("i")))
