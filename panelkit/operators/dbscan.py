@@ -51,24 +51,35 @@ def eps_neighbours(points: DataFrame, eps: float, id_col: str = "id", coords: st
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(id, comp)`` with comp the smallest id of the vertex's component;
-    ``edges`` has columns ``a``, ``b`` (undirected)."""
+    ``edges`` has columns ``a``, ``b`` (undirected).
+
+    Each round (label ``L``, all joins on ids, all groupings partial):
+    for every edge (u, v) the smaller label ``L(u)`` is offered to ``v`` and to
+    the current root ``L(v)`` of v's tree (hooking whole trees at once), then
+    every vertex jumps to its parent's label.  The round's labels are
+    checkpointed with the previous ones, so the convergence test reads only
+    the checkpoint."""
     spark = vertices.sparkSession
     ensure_checkpoint_dir(spark)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.checkpoint(eager=True)
     labels = vertices.select(F.col("id"), F.col("id").alias("comp")).checkpoint(eager=True)
     for _ in range(max_rounds):
-        nbr = (both.join(labels.withColumnRenamed("id", "a"), "a")
-               .groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("_m")))
-        hooked = (labels.join(nbr, "id", "left")
-                  .select("id", F.least("comp", F.coalesce("_m", "comp")).alias("comp")))
+        la = labels.select(F.col("id").alias("a"), F.col("comp").alias("la"))
+        lb = labels.select(F.col("id").alias("b"), F.col("comp").alias("lb"))
+        e = both.join(la, "a").join(lb, "b").where(F.col("la") < F.col("lb"))
+        offers = (e.select(F.col("b").alias("id"), "la")
+                  .unionByName(e.select(F.col("lb").alias("id"), "la"))
+                  .groupBy("id").agg(F.min("la").alias("_m")))
+        hooked = (labels.join(offers, "id", "left")
+                  .select("id", F.col("comp").alias("_old"),
+                          F.least("comp", F.coalesce("_m", "comp")).alias("comp")))
         parent = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("_pc"))
         jumped = (hooked.join(parent, "comp", "left")
-                  .select("id", F.least("comp", F.coalesce("_pc", "comp")).alias("comp"))
+                  .select("id", "_old", F.least("comp", F.coalesce("_pc", "comp")).alias("comp"))
                   .checkpoint(eager=True))
-        changed = (jumped.join(labels.withColumnRenamed("comp", "_old"), "id")
-                   .where(F.col("comp") != F.col("_old")).limit(1).count())
-        labels = jumped
+        changed = jumped.where(F.col("comp") != F.col("_old")).limit(1).count()
+        labels = jumped.drop("_old")
         if changed == 0:
             return labels
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")

@@ -68,8 +68,16 @@ def elbow_curve(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str =
                 fraction: float = 1.0, key: str | None = None) -> DataFrame:
     """Within-cluster sum of squares for each k (one KMeans fit each).  With
     ``fraction`` < 1 the fits use a hash sample on ``key``."""
+    from concurrent.futures import ThreadPoolExecutor
     data = df if fraction >= 1.0 else hash_sample(df, key, fraction, seed)
     data = data.select(features).cache()
-    rows = [(int(k), model_inertia(kmeans_fit(data, int(k), seed, features), data, features)) for k in ks]
+    ks = [int(k) for k in ks]
+
+    def fit(k):
+        return k, model_inertia(kmeans_fit(data, k, seed, features), data, features)
+    # The fits are independent Spark jobs: submit them concurrently and let the
+    # scheduler share the executors instead of running them one after another.
+    with ThreadPoolExecutor(max_workers=min(len(ks), 8)) as pool:
+        rows = sorted(pool.map(fit, ks))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")

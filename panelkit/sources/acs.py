@@ -55,20 +55,26 @@ def _reader(spark: SparkSession, file_glob: str):
 
 
 def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str = "*-Data.csv",
-               year_pattern: str = ACS_YEAR_PATTERN) -> DataFrame:
+               year_pattern: str = ACS_YEAR_PATTERN, paths: list[str] | None = None) -> DataFrame:
     """Long cells ``(geo_id, name, year, variable, cell, src_path, src_pos, src_col)``
-    of all data rows, before normalising and merging."""
+    of all data rows, before normalising and merging.  With ``paths`` only
+    those files (below ``root``) are read."""
     root_key = _root_key(root)
-    width = (_reader(spark, file_glob).text(root)
+    source = paths if paths else root
+
+    def read(fmt_reader):
+        return fmt_reader(source)
+    width = (read(_reader(spark, file_glob).text)
              .agg(F.max(F.size(F.split("value", ",", -1))).alias("w")).first()["w"])
     if width is None:
         schema = "geo_id STRING, name STRING, year INT, variable STRING, cell STRING, " \
                  "src_path STRING, src_pos BIGINT, src_col INT"
         return spark.createDataFrame([], schema)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = (_reader(spark, file_glob).schema(schema)
-           .option("header", False).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(root)
+    csv_reader = (_reader(spark, file_glob).schema(schema)
+                  .option("header", False).option("multiLine", True).option("escape", '"')
+                  .option("mode", "PERMISSIVE"))
+    raw = (read(csv_reader.csv)
            .select(F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
                    F.col("_metadata.file_path").alias("src_path"),
                    F.monotonically_increasing_id().alias("_rid")))
