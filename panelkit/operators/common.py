@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.session import ensure_checkpoint_dir
+
 # Row bound under which a derived lookup table (one row per group, per
 # cluster, per file ...) is broadcast.  Above it the join stays a shuffle join.
 BROADCAST_ROWS = 500_000
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a derived table to the shared checkpoint folder and continue
+    from there: the table is computed once, its lineage is cut (a lost
+    executor does not recompute the plan behind it), and joining it back to
+    the data it came from cannot trigger a recomputation (a cached plan is
+    not matched any more once Spark re-aliases one side of such a join)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a per-group table once and broadcast it only when its row
     count is proven to be within ``max_rows``; otherwise return it for an
     ordinary (shuffle) join."""
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    table = materialise(df)
+    n = table.count()
+    return F.broadcast(table) if n <= max_rows else table
 
 
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:

@@ -25,7 +25,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import small_side
+from panelkit.operators.common import materialise, small_side
 
 DEFAULT_ACCURACY = 10_000
 
@@ -86,12 +86,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[Ran
     pos = F.when(F.col("_x").isNotNull(), F.struct(F.col("_x").alias("a"), F.lit(1).alias("b"))) \
         .otherwise(F.struct(F.element_at(lows, (F.col("_gap") + 1).cast("int")).alias("a"),
                             F.lit(0).alias("b")))
-    values = _pick(collapsed.withColumn("_pos", pos), stats, keys, specs).cache()
+    values = materialise(_pick(collapsed.withColumn("_pos", pos), stats, keys, specs))
 
     # A wanted rank that landed in a gap (the sketch missed): recount that
     # group over all its values -- exact, and never expected in practice.
     missed = values.where(F.greatest(*[F.col(s.name).isNull().cast("int") for s in specs]) == 1) \
-        .select(*keys).cache()
+        .select(*keys)
     if missed.limit(1).count() > 0:
         full = (base.join(F.broadcast(missed), keys)
                 .groupBy(*keys, F.col("_v").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
