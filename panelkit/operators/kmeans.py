@@ -81,3 +81,11 @@ def elbow_curve(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str =
         rows = sorted(pool.map(fit, ks))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
+
+
+def cluster_kmeans(df: DataFrame, features: str = "pca", k: int = 6, seed: int = 42, keep=()) -> dict:
+    """Fit and return ``{"labels", "centroids", "inertia", "model"}``."""
+    model = kmeans_fit(df, k, seed, features)
+    labels = model.transform(df).select(*keep, F.col("cluster").cast("int").alias("cluster"))
+    return {"labels": labels, "centroids": centroid_table(model),
+            "inertia": model_inertia(model, df, features), "model": model}

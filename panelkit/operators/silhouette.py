@@ -42,9 +42,6 @@ def silhouette_samples(df: DataFrame, features: str, cluster: str, keep=()) -> D
     qs = F.array(*[F.lit(m[2]) for m in moments])
     ss = F.array(*[F.array(*[F.lit(v) for v in m[3]]) for m in moments])
     x = F.col(features)
-    xx = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
-    dots = F.transform(ss, lambda s: F.aggregate(F.zip_with(x, s, lambda a, b: a * b), F.lit(0.0),
-                                                 lambda acc, v: acc + v))
     own = F.array_position(ids, F.col(cluster)).cast("int")
     k = len(moments)
     idx = F.sequence(F.lit(1), F.lit(k))

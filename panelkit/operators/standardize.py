@@ -134,3 +134,8 @@ def quantile_clip(df: DataFrame, keys=(VARIABLE,), value: str = VALUE,
     q = small_side(exact_quantiles(data, keys, value, [lower, upper], ["q_low", "q_high"], accuracy))
     return (data.join(q.select(*keys, "q_low", "q_high"), keys)
             .withColumn(out, _clip(F.col(value), F.col("q_low"), F.col("q_high"))))
+
+
+def find_outliers_zscore(scored: DataFrame, variable: str, threshold: float = 3.0) -> DataFrame:
+    """Name used by the original documentation for ``zscore_outliers``."""
+    return zscore_outliers(scored, variable, threshold)

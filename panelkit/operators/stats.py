@@ -51,13 +51,15 @@ def geo_delta_topn(df: DataFrame, variable: str, n: int = 10, value: str = VALUE
 
 
 def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataFrame | None = None,
-             accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+             accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
     """pandas-style describe per group: count, mean, sample std, min,
     25/50/75 % (linear interpolation), max, missing, zeros, distinct.
 
     ``missing`` counts null values plus the records that lack the variable
     altogether; the number of records is the distinct (geo_id, year) pairs of
     ``records`` (default: the panel itself, within the other keys).
+    ``approximate=True`` trades exactness for one pass: ``percentile_approx``
+    quartiles and ``approx_count_distinct``.
     """
     keys = list(keys)
     v = F.col(value)
@@ -66,16 +68,22 @@ def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataF
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.sum(F.when(v.isNull(), 1).otherwise(0)).alias("_nulls"),
         F.sum(F.when(v == 0, 1).otherwise(0)).alias("zeros"),
-        F.count_distinct(v).alias("distinct"))
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], accuracy)
+        (F.approx_count_distinct(v) if approximate else F.count_distinct(v)).alias("distinct"),
+        *([F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_pq")] if approximate else []))
+    if approximate:
+        q = base.select(*keys, *[F.col("_pq")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
+        base = base.drop("_pq")
+    else:
+        q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], accuracy)
     rec = records if records is not None else df
     other = [k for k in keys if k != VARIABLE]
     if other:
         n_rec = rec.select(*other, GEO).distinct().groupBy(*other).agg(F.count(F.lit(1)).alias("_records"))
-        out = base.join(q.drop("n"), keys, "left").join(n_rec, other, "left")
+        out = base.join(q.drop("n") if "n" in q.columns else q, keys, "left").join(n_rec, other, "left")
     else:
         n_rec_value = rec.select(GEO, YEAR).distinct().count()
-        out = base.join(q.drop("n"), keys, "left").withColumn("_records", F.lit(n_rec_value))
+        out = (base.join(q.drop("n") if "n" in q.columns else q, keys, "left")
+               .withColumn("_records", F.lit(n_rec_value)))
     missing = F.col("_nulls") + (F.col("_records") - F.col("count") - F.col("_nulls"))
     return out.select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max",
                       missing.cast("long").alias("missing"), F.col("zeros").cast("long").alias("zeros"),

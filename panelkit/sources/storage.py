@@ -45,3 +45,17 @@ def save_panel_parquet(panel: DataFrame, path: str) -> None:
 
 def load_panel_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(GEO, F.col(YEAR).cast("int").alias(YEAR), VARIABLE, VALUE)
+
+
+def load_features(spark: SparkSession, path: str, variables=None, expected=(2010, 2023)):
+    """Reload a saved panel and report its coverage: returns
+    ``(records, years, missing)`` -- one wide record per (geo_id, year) with
+    the requested variables (all when None), the distinct years present, and
+    the expected years that are absent."""
+    from panelkit.operators.panel import feature_record, missing_years
+    long = load_panel_json(spark, path)
+    if variables is None:
+        variables = [r[0] for r in long.select(VARIABLE).distinct().orderBy(VARIABLE).collect()]
+    records = feature_record(long, variables)
+    years = long.where(F.col(YEAR).isNotNull()).select(YEAR).distinct()
+    return records, years, missing_years(long, expected[0], expected[1])

@@ -75,3 +75,16 @@ def test_standardize_plan_does_not_shuffle_the_data(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     # the scored rows reach the result through a broadcast join, not a sort-merge join
     assert "SortMergeJoin" not in plan
+
+
+def test_describe_approximate_close_to_exact(spark):
+    from panelkit.operators import stats as SS
+    from panelkit.sources import tables as T
+    from tests.conftest import SF_SMALL
+    panel = T.supplier_year_panel(spark, SF_SMALL)
+    exact = {r.variable: r for r in SS.describe(panel).collect()}
+    approx = {r.variable: r for r in SS.describe(panel, approximate=True).collect()}
+    for v, e in exact.items():
+        a = approx[v]
+        assert a["count"] == e["count"] and a["mean"] == pytest.approx(e["mean"])
+        assert e["min"] <= a["p50"] <= e["max"]
