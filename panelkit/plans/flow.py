@@ -1,6 +1,6 @@
-"""End-to-end pipeline: ACS tree -> panel -> standardize -> PCA -> clusters.
+"""End-to-end run: ACS tree -> panel -> standardize -> PCA -> clusters.
 
-``run_pipeline(spark, root, year=None, cluster='kmeans')`` returns a dict of
+``run_flow(spark, root, year=None, cluster='kmeans')`` returns a dict of
 DataFrames (observations, geo_dim, filtered panel, scores, wide z table,
 PCA scores, labels, cluster profile); nothing is collected except the
 bounded model parameters inside the ML fits.
@@ -21,7 +21,7 @@ from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
 from panelkit.sources import acs
 
 
-def run_pipeline(spark: SparkSession, root: str, year: int | None = None, cluster: str = "kmeans",
+def run_flow(spark: SparkSession, root: str, year: int | None = None, cluster: str = "kmeans",
                  variables=None, file_glob: str = "*-Data.csv", k: int = 6, pca_k: int = 6,
                  eps: float = 2.0, min_samples: int = 3, run_length: int | None = None,
                  seed: int = 42) -> dict[str, DataFrame]:

@@ -1,4 +1,4 @@
-"""Registered queries: ACS tree scan, storage round trips, pipeline.
+"""Registered queries: ACS tree scan, storage round trips, end-to-end run.
 
 The driver tables carry no ACS files, so ``_acs_tree`` derives one from the
 supplier x year panel with a Spark job (written below the shared checkpoint
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.cells import year_from_path
 from panelkit.operators import stats as SS
 from panelkit.plans import sqlparts as Q
-from panelkit.plans.pipeline import run_pipeline
+from panelkit.plans.flow import run_flow
 from panelkit.plans.queries import _round_all, query
 from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
 from panelkit.session import scratch_path
@@ -134,8 +134,8 @@ def q_summary_csv_roundtrip(spark, sf):
     return _round_all(back, {"mean", "std", "min", "max"})
 
 
-@query("run_pipeline", None)
-def q_run_pipeline(spark, sf):
-    out = run_pipeline(spark, _acs_tree(spark, sf), cluster="kmeans", variables=T1 + T2,
+@query("panel_clusters", None)
+def q_panel_clusters(spark, sf):
+    out = run_flow(spark, _acs_tree(spark, sf), cluster="kmeans", variables=T1 + T2,
                        file_glob="*.txt", k=4, pca_k=3)
     return out["profile"]

@@ -24,7 +24,7 @@ OBSERVATIONS_SCHEMA = T.StructType([
 ])
 
 # ---------------------------------------------------------------------------
-# State FIPS codes and names, and the four census regions.
+# State FIPS codes and names, and the four statistical regions.
 # They must equal the published lists for the tagging results to match.
 # ---------------------------------------------------------------------------
 FIPS_STATES = {

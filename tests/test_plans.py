@@ -14,7 +14,7 @@ def queries():
 
 
 def test_no_cartesian_or_python_anywhere(spark, queries):
-    skip = {"elbow_curve", "dbscan_grid", "run_pipeline", "kmeans_centroids"}
+    skip = {"elbow_curve", "dbscan_grid", "panel_clusters", "kmeans_centroids"}
     for name, fn in queries.items():
         if name in skip:
             continue

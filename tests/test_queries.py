@@ -35,9 +35,9 @@ years_per_geo longest_run summary_stats yearly_distribution geo_delta_topn descr
 describe_per_year year_feature_moments cluster_profile dbscan_grid winsorize zscore silhouette_samples
 hash_sample union_tables histogram50 histogram_clipped30 histogram_by_year kde_curve pairwise_bins
 feature_matrix pca_scores kmeans_labels kmeans_centroids assign_fixed_centroids silhouette_score
-elbow_curve dbscan_labels ratio_feature run_pipeline""".split()
+elbow_curve dbscan_labels ratio_feature panel_clusters""".split()
 ROWS_ONLY = {"feature_matrix", "pca_scores", "kmeans_labels", "kmeans_centroids", "elbow_curve",
-             "dbscan_grid", "run_pipeline"}
+             "dbscan_grid", "panel_clusters"}
 
 
 def test_every_inventory_query_is_registered():
