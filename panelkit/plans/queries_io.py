@@ -25,7 +25,8 @@ from panelkit.sources import tables as T
 
 T1 = ["avg_qty", "avg_price"]
 T2 = ["avg_disc", "avg_tax", "n_lines"]
-MOE = F.lit('"*****"')
+def _moe():
+    return F.lit('"*****"')
 
 
 def _acs_tree(spark, sf) -> str:
@@ -36,8 +37,8 @@ def _acs_tree(spark, sf) -> str:
     geo_cell = F.when(k % 10 == 3, F.lit('""')).otherwise(acs.quote(gid))
     num = lambda c: F.col(c).cast("string")
     head = [geo_cell, acs.quote(name)]
-    t1_full = F.concat_ws(",", *head, num("avg_qty"), MOE, num("avg_price"), MOE, F.lit(""))
-    t1_short = F.concat_ws(",", *head, num("avg_qty"), MOE)
+    t1_full = F.concat_ws(",", *head, num("avg_qty"), _moe(), num("avg_price"), _moe(), F.lit(""))
+    t1_short = F.concat_ws(",", *head, num("avg_qty"), _moe())
     t1_line = (F.when(k % 11 == 5, t1_short)
                .when(k % 13 == 6, F.concat(t1_full, F.lit(",999,888"))).otherwise(t1_full))
     t1 = w.select(YEAR, k.alias("ord"), t1_line.alias("line"))
@@ -45,7 +46,7 @@ def _acs_tree(spark, sf) -> str:
                       F.when(F.col("n_lines") > 50, F.lit("+")).otherwise(F.lit("")), F.lit('"'))
 
     def t2_line(n_cell):
-        return F.concat_ws(",", *head, num("avg_disc"), MOE, num("avg_tax"), MOE, n_cell, MOE, F.lit(""))
+        return F.concat_ws(",", *head, num("avg_disc"), _moe(), num("avg_tax"), _moe(), n_cell, _moe(), F.lit(""))
     t2 = (w.select(YEAR, k.alias("ord"), t2_line(n_text).alias("line"))
           .unionByName(w.where(k % 9 == 0).select(YEAR, (k + 1000000000).alias("ord"),
                                                   t2_line(F.lit("-")).alias("line"))))

@@ -66,3 +66,14 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["geo_id", "year", "variable", "raw_winsorized", "z"]
+
+
+def test_registry_imports_without_a_session():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as E; "
+            "print(len(E.queries()), len(E.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                         cwd=__import__("os").path.dirname(E.__file__))
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split() == ["57", "50"]
