@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.cells import year_from_path
 from panelkit.operators import stats as SS
+from panelkit.operators.common import materialise
 from panelkit.plans import sqlparts as Q
 from panelkit.plans.flow import run_flow
 from panelkit.plans.queries import _round_all, query
@@ -30,7 +31,8 @@ def _moe():
 
 
 def _acs_tree(spark, sf) -> str:
-    w = T.supplier_year_wide(spark, sf).withColumn("k", F.col(GEO).cast("long"))
+    # The panel feeds three branches of the tree: computed once.
+    w = materialise(T.supplier_year_wide(spark, sf).withColumn("k", F.col(GEO).cast("long")))
     k = F.col("k")
     gid = F.concat(F.lit("1400000US"), T.fips_pick(k), F.lpad(k.cast("string"), 9, "0"))
     name = F.concat(F.lit("Supplier "), k.cast("string"), F.lit(", Tract "), (k % 7).cast("string"))
