@@ -1,4 +1,7 @@
-"""DBSCAN as DataFrame jobs.
+"""DBSCAN as DataFrame jobs: neighbour pairs, connected components, and the
+pair-based formulation.  ``dbscan`` itself runs the clique-cell algorithm of
+``dbscan_cells`` (no pairs inside dense regions); the steps below are its
+building blocks and the direct variant ``dbscan_pairs``.
 
 1. Neighbour pairs: points are put in grid cells of side ``eps`` on their
    first ``grid_dims`` coordinates; each point probes its own and the
@@ -110,22 +113,30 @@ def dbscan_from_pairs(points: DataFrame, pairs: DataFrame, min_samples: int,
                     "is_core"))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
-           grid_dims: int = 2) -> DataFrame:
+def dbscan_pairs(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
+                 grid_dims: int = 2) -> DataFrame:
+    """DBSCAN from the explicit eps-neighbour pairs (quadratic in a dense
+    neighbourhood; kept as the direct formulation and for small inputs)."""
     pairs = eps_neighbours(points, eps, id_col, coords, grid_dims).checkpoint(eager=True)
     return dbscan_from_pairs(points, pairs, min_samples, id_col)
 
 
+def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
+           grid_dims: int = 2) -> DataFrame:
+    """Labels ``(id, cluster, is_core)`` by the clique-cell algorithm
+    (``panelkit.operators.dbscan_cells``), which never forms all pairs of a
+    dense region.  ``grid_dims`` is accepted for the pair-based variant."""
+    from panelkit.operators.dbscan_cells import dbscan_cells
+    return dbscan_cells(points, eps, min_samples, id_col, coords)
+
+
 def dbscan_grid(points: DataFrame, settings, id_col: str = "id", coords: str = "x",
                 grid_dims: int = 2) -> DataFrame:
-    """Cluster and noise counts for several (eps, min_samples) settings; the
-    neighbour pairs are found once at the largest eps and filtered."""
+    """Cluster and noise counts for several (eps, min_samples) settings."""
     settings = [(float(e), int(m)) for e, m in settings]
-    max_eps = max(e for e, _ in settings)
-    pairs = eps_neighbours(points, max_eps, id_col, coords, grid_dims).checkpoint(eager=True)
     rows = []
     for eps, ms in settings:
-        labels = dbscan_from_pairs(points, pairs.where(F.col("d2") <= eps * eps), ms, id_col)
+        labels = dbscan(points, eps, ms, id_col, coords)
         r = labels.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("c"),
                        F.sum(F.when(F.col("cluster") == -1, 1).otherwise(0)).alias("noise")).first()
         rows.append((eps, ms, int(r["c"]), int(r["noise"] or 0)))

@@ -105,5 +105,16 @@ def test_dbscan_matches_sequential_and_layout(spark, vec):
     pts = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("x"))
     want = _np_dbscan(X[:, :3], 0.05, 4)
     for frame in (pts, pts.repartition(5)):
-        got = {r.id: r.cluster for r in DB.dbscan(frame, 0.05, 4, grid_dims=2).collect()}
+        got = {r.id: r.cluster for r in DB.dbscan(frame, 0.05, 4).collect()}
         assert [got[i] for i in ids] == list(want)
+    got = {r.id: r.cluster for r in DB.dbscan_pairs(pts, 0.05, 4).collect()}
+    assert [got[i] for i in ids] == list(want)
+
+
+@pytest.mark.parametrize("dims,eps,ms,limit", [(2, 0.02, 3, 4096), (2, 0.05, 5, 16), (6, 0.3, 4, 64)])
+def test_cell_dbscan_refinement(spark, vec, dims, eps, ms, limit):
+    from panelkit.operators.dbscan_cells import dbscan_cells
+    v, X, _, ids = vec
+    pts = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).alias("x"))
+    got = {r.id: r.cluster for r in dbscan_cells(pts, eps, ms, brute_limit=limit).collect()}
+    assert [got[i] for i in ids] == list(_np_dbscan(X[:, :dims], eps, ms))
