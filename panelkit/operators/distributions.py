@@ -56,7 +56,8 @@ def histogram(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, bins: int = 5
     binned = (data.join(rng, range_keys)
               .select(*keys, _bin_of(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
-    groups = data.select(*keys).distinct().join(rng, range_keys)
+    # Groups present, from the (small) per-bin counts: no extra pass over the data.
+    groups = binned.select(*keys).distinct().join(rng, range_keys)
     all_bins = groups.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (all_bins.join(binned, keys + ["bin"], "left")

@@ -98,3 +98,15 @@ def describe_per_year(df: DataFrame, value: str = VALUE, accuracy: int = DEFAULT
 def year_counts(df: DataFrame) -> DataFrame:
     """Records per period (distinct geographies per year)."""
     return df.groupBy(YEAR).agg(F.count_distinct(GEO).alias("n_geos"))
+
+
+DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "missing", "zeros", "distinct")
+
+
+def describe_wide(per_year: DataFrame, years) -> DataFrame:
+    """The per-year description laid out as rows (variable, stat) and one
+    column per year (the explicit ``years`` list avoids a distinct job)."""
+    long = per_year.select(YEAR, VARIABLE, *[F.col(c).cast("double").alias(c) for c in DESCRIBE_STATS])
+    stacked = long.unpivot([YEAR, VARIABLE], list(DESCRIBE_STATS), "stat", "v")
+    return (stacked.groupBy(VARIABLE, "stat").pivot(YEAR, [int(y) for y in years]).agg(F.first("v"))
+            .orderBy(VARIABLE, "stat"))

@@ -88,3 +88,15 @@ def test_describe_approximate_close_to_exact(spark):
         a = approx[v]
         assert a["count"] == e["count"] and a["mean"] == pytest.approx(e["mean"])
         assert e["min"] <= a["p50"] <= e["max"]
+
+
+def test_describe_wide_layout(spark):
+    from panelkit.operators import stats as SS
+    from panelkit.sources import tables as T
+    from tests.conftest import SF_SMALL
+    per_year = SS.describe_per_year(T.supplier_year_panel(spark, SF_SMALL))
+    wide = SS.describe_wide(per_year, range(1995, 2002))
+    assert wide.columns[:2] == ["variable", "stat"] and len(wide.columns) == 9
+    assert wide.count() == 5 * len(SS.DESCRIBE_STATS)
+    row = wide.where("variable = 'n_lines' AND stat = 'count'").first()
+    assert row["1995"] == 10.0
