@@ -84,8 +84,7 @@ def q_acs_geo_dim(spark, sf):
 SELECT 'T1' AS tbl, year, count(*) AS n_rows FROM g GROUP BY year
 UNION ALL SELECT 'T2' AS tbl, year, count(*) + count(*) FILTER (WHERE k % 9 = 0) AS n_rows FROM g GROUP BY year""")
 def q_year_from_path(spark, sf):
-    cells = acs.scan_cells(spark, _acs_tree(spark, sf), file_glob="*.txt")
-    rows = cells.select("src_path", "src_pos").distinct()
+    rows = acs.scan_cells(spark, _acs_tree(spark, sf), file_glob="*.txt", rows_only=True)
     return (rows.groupBy("src_path").agg(F.count(F.lit(1)).alias("n_rows"))
             .select(F.regexp_extract("src_path", r"tbl=([^/]+)", 1).alias("tbl"),
                     year_from_path("src_path").alias(YEAR), "n_rows"))

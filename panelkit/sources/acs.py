@@ -55,10 +55,12 @@ def _reader(spark: SparkSession, file_glob: str):
 
 
 def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str = "*-Data.csv",
-               year_pattern: str = ACS_YEAR_PATTERN, paths: list[str] | None = None) -> DataFrame:
+               year_pattern: str = ACS_YEAR_PATTERN, paths: list[str] | None = None,
+               rows_only: bool = False) -> DataFrame:
     """Long cells ``(geo_id, name, year, variable, cell, src_path, src_pos, src_col)``
     of all data rows, before normalising and merging.  With ``paths`` only
-    those files (below ``root``) are read."""
+    those files (below ``root``) are read; with ``rows_only`` one row per
+    keyed data row ``(geo_id, name, year, src_path, src_pos)``."""
     root_key = _root_key(root)
     source = paths if paths else root
 
@@ -120,6 +122,8 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
     data = (data.withColumn(GEO, key).where(F.col(GEO).isNotNull())
             .withColumn("name", clean_text("_name"))
             .withColumn(YEAR, year_from_path("src_path", year_pattern)))
+    if rows_only:
+        return data.select(GEO, "name", YEAR, "src_path", "src_pos")
     return (data.select(GEO, "name", YEAR, "src_path", "src_pos", "_cells", "_len",
                         F.explode("_sel").alias("_e"))
             .where(F.col("_e.i") <= F.col("_len"))
@@ -138,8 +142,7 @@ def observations(cells: DataFrame, null_sentinels=()) -> DataFrame:
 def geo_dim(spark: SparkSession, root: str, file_glob: str = "*-Data.csv") -> DataFrame:
     """``(geo_id, year, name, state, region)`` per geography and vintage;
     NAME of the last row wins."""
-    cells = scan_cells(spark, root, None, file_glob)
-    rows = cells.select(GEO, YEAR, "name", "src_path", "src_pos").distinct()
+    rows = scan_cells(spark, root, [], file_glob, rows_only=True)
     g = rows.groupBy(GEO, YEAR).agg(F.max_by("name", F.struct("src_path", "src_pos")).alias("name"))
     return g.select(GEO, YEAR, "name", state_of(F.col(GEO)).alias("state"), region_of(F.col(GEO)).alias("region"))
 

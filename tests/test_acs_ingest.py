@@ -81,3 +81,12 @@ def test_empty_tree(spark, tmp_path):
     d.mkdir()
     (d / "x-Data.csv").write_text("")
     assert acs.scan_acs(spark, str(tmp_path)).count() == 0
+
+
+def test_geo_dim_keeps_rows_without_variables(spark, tmp_path):
+    d = tmp_path / "T1" / "2019"
+    d.mkdir(parents=True)
+    (d / "ACSDT5Y2019.T1-Data.csv").write_text('GEO_ID,NAME\nGeography,Name\n1400000US06037101110,Only Names\n')
+    dim = acs.geo_dim(spark, str(tmp_path)).collect()
+    assert [(r.geo_id, r.year, r.name) for r in dim] == [("1400000US06037101110", 2019, "Only Names")]
+    assert acs.scan_acs(spark, str(tmp_path)).count() == 0
