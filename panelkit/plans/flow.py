@@ -17,7 +17,7 @@ from panelkit.operators import panel as PN
 from panelkit.operators import profile as PR
 from panelkit.operators import reduce as RD
 from panelkit.operators import standardize as ST
-from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
+from panelkit.schema import GEO, VARIABLE, YEAR
 from panelkit.sources import acs
 
 

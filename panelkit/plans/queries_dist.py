@@ -11,7 +11,7 @@ from panelkit.operators import sampling as SM
 from panelkit.operators import standardize as ST
 from panelkit.plans import sqlparts as Q
 from panelkit.plans.queries import _round_all, query
-from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
+from panelkit.schema import VALUE, VARIABLE
 from panelkit.sources import tables as T
 
 

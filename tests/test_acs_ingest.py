@@ -1,6 +1,5 @@
 """ACS CSV tree scan on generated files (FIXTURES §3)."""
 
-import os
 
 import pytest
 

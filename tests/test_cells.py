@@ -1,7 +1,6 @@
 """Cell normaliser, validity predicate and vintage from path (FIXTURES §2)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelkit.functions import cells
 

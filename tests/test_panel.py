@@ -1,6 +1,5 @@
 """Run length, coverage, merge, pivot (FIXTURES §2 and properties)."""
 
-from pyspark.sql import functions as F
 
 from panelkit.operators import panel as PN
 
