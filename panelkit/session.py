@@ -35,8 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; that value is used as is.
-    Only when it is unset (local tests) a folder under the system temp dir is
-    chosen and set on the session.
+    Only when it is unset *and* the session runs in local mode (tests) a folder
+    under the system temp dir is chosen and set on the session; on a cluster a
+    machine-local folder would not be shared, so an unset value is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor can "
+                               "reach (HDFS, object store) in the session configuration")
         conf_dir = tempfile.mkdtemp(prefix="panelkit-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
