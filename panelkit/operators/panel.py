@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.cells import is_valid_number
+from panelkit.operators.common import small_side
 from panelkit.schema import EXPECTED_YEARS, GEO, VALUE, VARIABLE, YEAR
 
 
@@ -40,7 +41,11 @@ def consecutive_year_filter(df: DataFrame, n: int | None = None) -> DataFrame:
     if n is None:
         n = default_run_length(df)
     keep = longest_run(df).where(F.col("longest_run") >= n).select(GEO)
-    return df.join(keep, GEO, "left_semi")
+    # One row per geography: broadcast when its size is within the bound, so
+    # the panel is filtered where it lies (a geography holding a large share
+    # of the rows is never gathered into one task); above the bound the join
+    # is a shuffle semi-join whose hot partitions AQE splits.
+    return df.join(small_side(keep), GEO, "left_semi")
 
 
 def year_coverage(df: DataFrame) -> DataFrame:

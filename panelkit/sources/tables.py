@@ -41,8 +41,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def to_long(wide: DataFrame, keys: list[str], features) -> DataFrame:
-    """Wide -> long; rows with a null value are kept (missing counts survive)."""
-    return wide.unpivot(keys, list(features), VARIABLE, VALUE)
+    """Wide -> long; rows with a null value are kept (missing counts survive).
+    NaN becomes null: Spark orders NaN above every number and ``NaN >= 0`` is
+    true, so it would otherwise pass filters and poison sums."""
+    long = wide.unpivot(keys, list(features), VARIABLE, VALUE)
+    return long.withColumn(VALUE, F.when(F.isnan(VALUE), F.lit(None).cast("double")).otherwise(F.col(VALUE)))
 
 
 def exact_mean(c, scale: int = 100):
