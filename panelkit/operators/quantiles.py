@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from panelkit.operators.common import materialise, small_side
 
 DEFAULT_ACCURACY = 10_000
+# Largest number of rows a bracket may hand to the final per-group window.
+MAX_BRACKET = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,12 @@ class RankSpec:
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[RankSpec],
                      accuracy: int = DEFAULT_ACCURACY,
-                     extra_aggs: list[Column] | None = None) -> DataFrame:
+                     extra_aggs: list[Column] | None = None,
+                     max_bracket: int = MAX_BRACKET) -> DataFrame:
     """One row per group: ``keys``, ``n``, one column per spec (the exact
     value at that rank), plus the ``extra_aggs`` columns (which may refer to
-    the value as ``_v``)."""
+    the value as ``_v``).  No bracket handed to the final window holds more
+    than about ``max_bracket`` rows (see ``_refine``)."""
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     probs = sorted({s.prob for s in specs})
@@ -63,6 +67,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[Ran
     stats = small_side(stats.select(
         *keys, "n", *extra_names,
         *[F.col("_qa")[j].alias(f"_b{j}") for j in range(2 * P)]))
+    # Groups so large that a sketch bracket may exceed max_bracket rows get
+    # their brackets narrowed first (exact counts verify every step).
+    if stats.where(F.col("n") * F.lit(4.0 / accuracy) > F.lit(float(max_bracket))).limit(1).count() > 0:
+        stats = small_side(_refine(base, stats, keys, specs, probs, accuracy, max_bracket))
     bounds = [F.col(f"_b{j}") for j in range(2 * P)]
 
     # Pass 2 (one aggregate): a row inside a bracket keeps its value; a row
@@ -101,6 +109,67 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[Ran
     return stats.select(*keys, "n", *extra_names).join(values, keys)
 
 
+def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, accuracy: int,
+            max_bracket: int, grid: int = 64, max_rounds: int = 8) -> DataFrame:
+    """Narrow the brackets of very large groups.
+
+    Per bracket: count the rows below and inside it exactly; where more than
+    ``max_bracket`` rows are inside, sketch only those rows on a grid of
+    ``grid`` quantiles and keep the grid cells around the wanted ranks (one
+    cell of margin each side).  A narrowed bracket is kept only if the exact
+    counts of the next round confirm the wanted ranks are still inside it;
+    otherwise the previous bracket stays.  Ties cannot be split, so a bracket
+    of one repeated value stops (its rows collapse to one later anyway)."""
+    P = len(probs)
+    fracs = [j / grid for j in range(grid + 1)]
+    n = F.col("n")
+    for i, p in enumerate(probs):
+        ranks = [s.rank(n) for s in specs if s.prob == p]
+        r_lo = F.least(*ranks) if len(ranks) > 1 else ranks[0]
+        r_hi = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
+        cur = stats.select(*keys, "n", F.col(f"_b{2 * i}").alias("_lo"), F.col(f"_b{2 * i + 1}").alias("_hi"),
+                           F.col(f"_b{2 * i}").alias("_plo"), F.col(f"_b{2 * i + 1}").alias("_phi"))
+        cur = materialise(cur.where(n * F.lit(4.0 / accuracy) > F.lit(float(max_bracket))))
+        done = None
+        for _ in range(max_rounds):
+            counted = (base.join(F.broadcast(cur.select(*keys, "_lo", "_hi")), keys)
+                       .groupBy(*keys)
+                       .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
+                            F.sum(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), 1).otherwise(0))
+                            .alias("_inside")))
+            st = cur.join(counted, keys, "left").fillna(0, ["_below", "_inside"])
+            ok = (F.col("_below") < r_lo) & (F.col("_below") + F.col("_inside") >= r_hi)
+            # Unconfirmed narrowing: fall back to the previous bracket and stop.
+            st = st.select(*keys, "n", F.when(ok, F.col("_lo")).otherwise(F.col("_plo")).alias("_lo"),
+                           F.when(ok, F.col("_hi")).otherwise(F.col("_phi")).alias("_hi"),
+                           "_below", "_inside",
+                           (ok & (F.col("_inside") > max_bracket) & (F.col("_lo") < F.col("_hi"))).alias("_more"))
+            st = materialise(st)
+            finished = st.where(~F.col("_more")).select(*keys, "_lo", "_hi")
+            done = finished if done is None else done.unionByName(finished)
+            todo = st.where("_more")
+            if todo.limit(1).count() == 0:
+                break
+            sk = (base.join(F.broadcast(todo.select(*keys, "_lo", "_hi")), keys)
+                  .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                  .groupBy(*keys).agg(F.percentile_approx("_v", fracs, accuracy).alias("_g")))
+            pos_lo = F.greatest(F.floor((r_lo - F.col("_below") - 1) / F.col("_inside") * grid) - 1, F.lit(0))
+            pos_hi = F.least(F.ceil((r_hi - F.col("_below")) / F.col("_inside") * grid) + 1, F.lit(grid))
+            cur = materialise(todo.join(sk, keys).select(
+                *keys, "n",
+                F.element_at("_g", (pos_lo + 1).cast("int")).alias("_lo"),
+                F.element_at("_g", (pos_hi + 1).cast("int")).alias("_hi"),
+                F.col("_lo").alias("_plo"), F.col("_hi").alias("_phi")))
+        else:
+            done = done.unionByName(cur.select(*keys, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi")))
+        done = materialise(done)
+        stats = (stats.join(done.select(*keys, F.col("_lo").alias("_nlo"), F.col("_hi").alias("_nhi")), keys, "left")
+                 .withColumn(f"_b{2 * i}", F.coalesce("_nlo", f"_b{2 * i}"))
+                 .withColumn(f"_b{2 * i + 1}", F.coalesce("_nhi", f"_b{2 * i + 1}"))
+                 .drop("_nlo", "_nhi"))
+    return stats
+
+
 def _pick(collapsed: DataFrame, stats: DataFrame, keys: list[str], specs) -> DataFrame:
     """Running count per group over the (small) collapsed table, then for each
     spec the first row whose count reaches the wanted rank; null when that row
@@ -128,10 +197,11 @@ def linear_quantile_specs(probs) -> list[RankSpec]:
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, names,
                     accuracy: int = DEFAULT_ACCURACY,
-                    extra_aggs: list[Column] | None = None) -> DataFrame:
+                    extra_aggs: list[Column] | None = None,
+                    max_bracket: int = MAX_BRACKET) -> DataFrame:
     """Linear-interpolated quantiles per group, exact (same as
     ``percentile``/``quantile_cont``), one column per name."""
-    stats = order_statistics(df, keys, value, linear_quantile_specs(probs), accuracy, extra_aggs)
+    stats = order_statistics(df, keys, value, linear_quantile_specs(probs), accuracy, extra_aggs, max_bracket)
     cols = []
     for j, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("n") - 1) * F.lit(float(p))

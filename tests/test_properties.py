@@ -31,3 +31,19 @@ def test_order_statistics_property(spark, data, accuracy):
         assert (r.low, r.high) == (a[k], a[n - k - 1])
         want = np.quantile(a, [0.1, 0.5, 0.9])
         assert (q[f"v{g}"].a, q[f"v{g}"].b, q[f"v{g}"].c) == pytest.approx(tuple(want), rel=1e-12, abs=1e-9)
+
+
+@pytest.mark.parametrize("accuracy,max_bracket", [(40, 5), (10000, 3)])
+def test_bracket_refinement_stays_exact(spark, accuracy, max_bracket):
+    rng = np.random.default_rng(11)
+    data = [rng.normal(0, 1, 3000), rng.integers(0, 4, 2000).astype(float), np.full(500, 2.0),
+            np.concatenate([rng.exponential(1, 2500), np.full(500, 7.0)])]
+    rows = [(str(g), 2000, f"v{g}", float(x)) for g, xs in enumerate(data) for x in xs]
+    df = spark.createDataFrame(rows, "geo_id STRING, year INT, variable STRING, value DOUBLE")
+    got = {r.variable: r for r in QT.exact_quantiles(df, ["year", "variable"], "value", [0.05, 0.5, 0.95],
+                                                     ["a", "b", "c"], accuracy=accuracy,
+                                                     max_bracket=max_bracket).collect()}
+    for g, xs in enumerate(data):
+        want = np.quantile(np.asarray(xs, float), [0.05, 0.5, 0.95])
+        r = got[f"v{g}"]
+        assert (r.a, r.b, r.c) == pytest.approx(tuple(want), rel=1e-12, abs=1e-12)
