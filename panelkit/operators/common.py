@@ -38,3 +38,21 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect")
     return rows
+
+
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null keys match each other (a null period
+    is a group like any other).  The right side's key columns are dropped,
+    as with ``join(..., on=keys)``; a broadcast hint on ``right`` is kept."""
+    keys = list(keys)
+    renamed = right
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(renamed[f"__r_{k}"])
+        cond = c if cond is None else cond & c
+    out = left.join(renamed, cond, how)
+    if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):
+        return out
+    return out.drop(*[f"__r_{k}" for k in keys])

@@ -25,7 +25,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import materialise, small_side
+from panelkit.operators.common import join_on, materialise, small_side
 
 DEFAULT_ACCURACY = 10_000
 # Largest number of rows a bracket may hand to the final per-group window.
@@ -82,7 +82,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[Ran
     for t in inside[1:]:
         inside_any = inside_any | t
     gap = sum((F.when(bounds[2 * i + 1] < v, 1).otherwise(0) for i in range(P)), F.lit(0))
-    collapsed = (base.join(stats.select(*keys, *[f"_b{j}" for j in range(2 * P)]), keys)
+    collapsed = (join_on(base, stats.select(*keys, *[f"_b{j}" for j in range(2 * P)]), keys)
                  .select(*keys, *[f"_b{j}" for j in range(2 * P)],
                          F.when(inside_any, v).alias("_x"),
                          F.when(inside_any, F.lit(P + 1)).otherwise(gap).alias("_gap"))
@@ -101,12 +101,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[Ran
     missed = values.where(F.greatest(*[F.col(s.name).isNull().cast("int") for s in specs]) == 1) \
         .select(*keys)
     if missed.limit(1).count() > 0:
-        full = (base.join(F.broadcast(missed), keys)
+        full = (join_on(base, F.broadcast(missed), keys)
                 .groupBy(*keys, F.col("_v").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
                 .withColumn("_pos", F.struct(F.col("_x").alias("a"), F.lit(1).alias("b"))))
-        values = (values.join(F.broadcast(missed), keys, "left_anti")
+        values = (join_on(values, F.broadcast(missed), keys, "left_anti")
                   .unionByName(_pick(full, stats, keys, specs)))
-    return stats.select(*keys, "n", *extra_names).join(values, keys)
+    return join_on(stats.select(*keys, "n", *extra_names), values, keys)
 
 
 def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, accuracy: int,
@@ -132,12 +132,12 @@ def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, ac
         cur = materialise(cur.where(n * F.lit(4.0 / accuracy) > F.lit(float(max_bracket))))
         done = None
         for _ in range(max_rounds):
-            counted = (base.join(F.broadcast(cur.select(*keys, "_lo", "_hi")), keys)
+            counted = (join_on(base, F.broadcast(cur.select(*keys, "_lo", "_hi")), keys)
                        .groupBy(*keys)
                        .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
                             F.sum(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), 1).otherwise(0))
                             .alias("_inside")))
-            st = cur.join(counted, keys, "left").fillna(0, ["_below", "_inside"])
+            st = join_on(cur, counted, keys, "left").fillna(0, ["_below", "_inside"])
             ok = (F.col("_below") < r_lo) & (F.col("_below") + F.col("_inside") >= r_hi)
             # Unconfirmed narrowing: fall back to the previous bracket and stop.
             st = st.select(*keys, "n", F.when(ok, F.col("_lo")).otherwise(F.col("_plo")).alias("_lo"),
@@ -150,12 +150,12 @@ def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, ac
             todo = st.where("_more")
             if todo.limit(1).count() == 0:
                 break
-            sk = (base.join(F.broadcast(todo.select(*keys, "_lo", "_hi")), keys)
+            sk = (join_on(base, F.broadcast(todo.select(*keys, "_lo", "_hi")), keys)
                   .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                   .groupBy(*keys).agg(F.percentile_approx("_v", fracs, accuracy).alias("_g")))
             pos_lo = F.greatest(F.floor((r_lo - F.col("_below") - 1) / F.col("_inside") * grid) - 1, F.lit(0))
             pos_hi = F.least(F.ceil((r_hi - F.col("_below")) / F.col("_inside") * grid) + 1, F.lit(grid))
-            cur = materialise(todo.join(sk, keys).select(
+            cur = materialise(join_on(todo, sk, keys).select(
                 *keys, "n",
                 F.element_at("_g", (pos_lo + 1).cast("int")).alias("_lo"),
                 F.element_at("_g", (pos_hi + 1).cast("int")).alias("_hi"),
@@ -163,7 +163,7 @@ def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, ac
         else:
             done = done.unionByName(cur.select(*keys, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi")))
         done = materialise(done)
-        stats = (stats.join(done.select(*keys, F.col("_lo").alias("_nlo"), F.col("_hi").alias("_nhi")), keys, "left")
+        stats = (join_on(stats, done.select(*keys, F.col("_lo").alias("_nlo"), F.col("_hi").alias("_nhi")), keys, "left")
                  .withColumn(f"_b{2 * i}", F.coalesce("_nlo", f"_b{2 * i}"))
                  .withColumn(f"_b{2 * i + 1}", F.coalesce("_nhi", f"_b{2 * i + 1}"))
                  .drop("_nlo", "_nhi"))
@@ -177,7 +177,7 @@ def _pick(collapsed: DataFrame, stats: DataFrame, keys: list[str], specs) -> Dat
     w = (Window.partitionBy(*keys).orderBy("_pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (collapsed.select(*keys, "_pos", "_x", "_c")
-              .join(stats.select(*keys, "n"), keys)
+              .transform(lambda t: join_on(t, stats.select(*keys, "n"), keys))
               .withColumn("_cum", F.sum("_c").over(w)))
     picks = [F.min_by(F.col("_x"), F.when(F.col("_cum") >= s.rank(F.col("n")), F.col("_pos")))
              .alias(s.name) for s in specs]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import small_side
+from panelkit.operators.common import join_on, small_side
 from panelkit.operators.quantiles import DEFAULT_ACCURACY, RankSpec, exact_quantiles, order_statistics
 from panelkit.operators.ranking import with_global_index
 from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
@@ -52,7 +52,7 @@ def winsorize(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALUE,
     """Adds ``out`` = value clipped to its group's winsor bounds."""
     keys = list(keys)
     bounds = small_side(winsor_bounds(df, keys, value, limits, accuracy, with_moments=False))
-    return (df.join(bounds.select(*keys, "low", "high"), keys, "left")
+    return (join_on(df, bounds.select(*keys, "low", "high"), keys, "left")
             .withColumn(out, _clip(F.col(value), F.col("low"), F.col("high")))
             .drop("low", "high"))
 
@@ -73,12 +73,12 @@ def standardize_per_year(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALU
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     bounds = small_side(winsor_bounds(data, keys, value, limits, accuracy))
-    scored = (data.join(bounds.select(*keys, "low", "high", "mean", "std"), keys)
+    scored = (join_on(data, bounds.select(*keys, "low", "high", "mean", "std"), keys)
               .withColumn("raw_winsorized", _clip(F.col(value), F.col("low"), F.col("high"))))
     if stats_on == "winsorized":
         wm = small_side(scored.groupBy(*keys).agg(F.avg("raw_winsorized").alias("_wm"),
                                                   F.stddev_pop("raw_winsorized").alias("_ws")))
-        scored = scored.join(wm, keys).withColumn("mean", F.col("_wm")).withColumn("std", F.col("_ws"))
+        scored = join_on(scored, wm, keys).withColumn("mean", F.col("_wm")).withColumn("std", F.col("_ws"))
     out_cols = [c for c in df.columns if c not in (value,)]
     return scored.select(*out_cols, "raw_winsorized",
                          zscore(F.col("raw_winsorized"), F.col("mean"), F.col("std")).alias("z"))
@@ -132,7 +132,7 @@ def quantile_clip(df: DataFrame, keys=(VARIABLE,), value: str = VALUE,
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     q = small_side(exact_quantiles(data, keys, value, [lower, upper], ["q_low", "q_high"], accuracy))
-    return (data.join(q.select(*keys, "q_low", "q_high"), keys)
+    return (join_on(data, q.select(*keys, "q_low", "q_high"), keys)
             .withColumn(out, _clip(F.col(value), F.col("q_low"), F.col("q_high"))))
 
 

@@ -100,3 +100,14 @@ def test_describe_wide_layout(spark):
     assert wide.count() == 5 * len(SS.DESCRIBE_STATS)
     row = wide.where("variable = 'n_lines' AND stat = 'count'").first()
     assert row["1995"] == 10.0
+
+
+def test_null_period_is_a_group(spark):
+    rows = [("g%d" % i, None if i % 2 else 2020, "v", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "geo_id STRING, year INT, variable STRING, value DOUBLE")
+    out = ST.standardize_per_year(df)
+    assert out.count() == 60
+    b = {r.year: (r.low, r.high) for r in ST.winsor_bounds(df).collect()}
+    odd = sorted(float(i) for i in range(60) if i % 2)
+    even = sorted(float(i) for i in range(60) if not i % 2)
+    assert b[None] == _np_winsor(odd) and b[2020] == _np_winsor(even)
