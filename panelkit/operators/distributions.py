@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import bounded_collect, small_side
+from panelkit.operators.common import bounded_collect, join_on, small_side
 from panelkit.schema import VALUE, VARIABLE, YEAR
 
 
@@ -53,14 +53,14 @@ def histogram(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, bins: int = 5
     data = df.where(F.col(value).isNotNull())
     rng = data.groupBy(*range_keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     rng = small_side(rng.select(*range_keys, *_range_cols(F.col("_lo"), F.col("_hi"))))
-    binned = (data.join(rng, range_keys)
+    binned = (join_on(data, rng, range_keys)
               .select(*keys, _bin_of(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
     # Groups present, from the (small) per-bin counts: no extra pass over the data.
-    groups = binned.select(*keys).distinct().join(rng, range_keys)
+    groups = join_on(binned.select(*keys).distinct(), rng, range_keys)
     all_bins = groups.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return (all_bins.join(binned, keys + ["bin"], "left")
+    return (join_on(all_bins, binned, keys + ["bin"], "left")
             .select(*keys, "bin",
                     (F.col("bin").cast("double") * step + F.col("lo")).alias("edge_lo"),
                     F.when(F.col("bin") == bins - 1, F.col("hi"))
@@ -83,7 +83,7 @@ def kde_curve(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, grid: int = 2
                                  F.min(value).alias("lo"), F.max(value).alias("hi"))
     st = small_side(st.where((F.col("n") > 1) & (F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
                     .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
-    counts = (data.join(st.select(*keys, "lo", "hi"), keys)
+    counts = (join_on(data, st.select(*keys, "lo", "hi"), keys)
               .select(*keys, _bin_of(F.col(value), F.col("lo"), F.col("hi"), fine_bins).alias("b"))
               .groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c")))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(fine_bins))
@@ -92,7 +92,7 @@ def kde_curve(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, grid: int = 2
     u = (gx - F.col("centre")) / F.col("h")
     norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
     contrib = F.col("c").cast("double") * F.exp(F.lit(-0.5) * u * u) * norm
-    return (counts.join(st, keys)
+    return (join_on(counts, st, keys)
             .withColumn("centre", centre)
             .select(*keys, "n", "h", "lo", "hi", "c", "centre",
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j"))

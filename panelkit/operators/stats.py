@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.common import join_on
 from panelkit.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
 
@@ -79,10 +80,10 @@ def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataF
     other = [k for k in keys if k != VARIABLE]
     if other:
         n_rec = rec.select(*other, GEO).distinct().groupBy(*other).agg(F.count(F.lit(1)).alias("_records"))
-        out = base.join(q.drop("n") if "n" in q.columns else q, keys, "left").join(n_rec, other, "left")
+        out = join_on(join_on(base, q.drop("n") if "n" in q.columns else q, keys, "left"), n_rec, other, "left")
     else:
         n_rec_value = rec.select(GEO, YEAR).distinct().count()
-        out = (base.join(q.drop("n") if "n" in q.columns else q, keys, "left")
+        out = (join_on(base, q.drop("n") if "n" in q.columns else q, keys, "left")
                .withColumn("_records", F.lit(n_rec_value)))
     missing = F.col("_nulls") + (F.col("_records") - F.col("count") - F.col("_nulls"))
     return out.select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max",
