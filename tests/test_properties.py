@@ -47,3 +47,40 @@ def test_bracket_refinement_stays_exact(spark, accuracy, max_bracket):
         want = np.quantile(np.asarray(xs, float), [0.05, 0.5, 0.95])
         r = got[f"v{g}"]
         assert (r.a, r.b, r.c) == pytest.approx(tuple(want), rel=1e-12, abs=1e-12)
+
+
+def _seq_dbscan(P, eps, ms):
+    d = np.sqrt(((P[:, None, :] - P[None, :, :]) ** 2).sum(-1))
+    nb = [np.where(d[i] <= eps)[0] for i in range(len(P))]
+    core = np.array([len(x) >= ms for x in nb])
+    lab = -np.ones(len(P), int)
+    c = 0
+    for i in range(len(P)):
+        if lab[i] != -1 or not core[i]:
+            continue
+        lab[i] = c
+        stack = [i]
+        while stack:
+            j = stack.pop()
+            if core[j]:
+                for k in nb[j]:
+                    if lab[k] == -1:
+                        lab[k] = c
+                        stack.append(k)
+        c += 1
+    return lab
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 10_000), dims=st.sampled_from([2, 3]), ms=st.integers(2, 6),
+       eps=st.sampled_from([0.05, 0.1, 0.3]), limit=st.sampled_from([4, 64]))
+def test_cell_dbscan_equals_sequential(spark, seed, dims, ms, eps, limit):
+    from panelkit.operators.dbscan_cells import dbscan_cells
+    rng = np.random.default_rng(seed)
+    centres = rng.uniform(0, 1, (3, dims))
+    pts = np.concatenate([c + rng.normal(0, 0.04, (60, dims)) for c in centres]
+                         + [rng.uniform(0, 1, (40, dims)), np.repeat(centres[:1], 8, axis=0)])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id BIGINT, x ARRAY<DOUBLE>")
+    got = {r.id: r.cluster for r in dbscan_cells(df, eps, ms, brute_limit=limit).collect()}
+    assert [got[i] for i in range(len(pts))] == list(_seq_dbscan(pts, eps, ms))
