@@ -18,7 +18,7 @@ from panelkit.operators import stats as SS
 from panelkit.operators.common import materialise
 from panelkit.plans import sqlparts as Q
 from panelkit.plans.flow import run_flow
-from panelkit.plans.queries import _round_all, query
+from panelkit.plans.queries import REGISTRY, _round_all, query
 from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
 from panelkit.session import scratch_path
 from panelkit.sources import acs, storage
@@ -73,6 +73,19 @@ def q_acs_scan(spark, sf):
     return _round_all(acs.scan_acs(spark, _acs_tree(spark, sf), file_glob="*.txt"), {VALUE})
 
 
+def q_acs_stream_ingest(spark, sf):
+    """The same tree through Structured Streaming: a file-source stream
+    (availableNow) appends the scanned cells of each micro-batch to a log,
+    merged on read -- equal to the batch scan."""
+    from panelkit.streaming.ingest import read_ingested, start_acs_ingest
+    root = _acs_tree(spark, sf)
+    log = scratch_path(spark, "stream-log")
+    q = start_acs_ingest(spark, root, log, file_glob="*.txt", max_files_per_trigger=4,
+                         checkpoint_location=scratch_path(spark, "stream-ckpt"), available_now=True)
+    q.awaitTermination()
+    return _round_all(read_ingested(spark, log), {VALUE})
+
+
 @query("acs_geo_dim", f"""WITH {_G}
 SELECT gid AS geo_id, year, 'Supplier ' || k || ', Tract ' || (k % 7) AS name,
   {Q.state_sql('gid')} AS state, {Q.region_sql('gid')} AS region FROM g""")
@@ -141,3 +154,7 @@ def q_panel_clusters(spark, sf):
     out = run_flow(spark, _acs_tree(spark, sf), cluster="kmeans", variables=T1 + T2,
                        file_glob="*.txt", k=4, pca_k=3)
     return out["profile"]
+
+
+# Same result as the batch scan, so the same oracle.
+query("acs_stream_ingest", REGISTRY["acs_scan"][1])(q_acs_stream_ingest)

@@ -76,4 +76,4 @@ def test_registry_imports_without_a_session():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
                          cwd=__import__("os").path.dirname(E.__file__))
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.split() == ["57", "50"]
+    assert out.stdout.split() == ["58", "51"]
