@@ -119,7 +119,8 @@ def q_drop_moe(spark, sf):
 SELECT gid AS geo_id, year, CASE WHEN k % 11 = 5 THEN 1 ELSE 2 END AS n_cells FROM g""")
 def q_ragged_rows(spark, sf):
     cells = acs.scan_cells(spark, _acs_tree(spark, sf), ["avg_qty", "avg_price"], file_glob="*.txt")
-    return (cells.groupBy(GEO, YEAR, "src_path", "src_pos").agg(F.count(F.lit(1)).cast("int").alias("n_cells"))
+    return (cells.groupBy(GEO, YEAR, "src_path", "src_blk", "src_pos")
+            .agg(F.count(F.lit(1)).cast("int").alias("n_cells"))
             .select(GEO, YEAR, "n_cells"))
 
 

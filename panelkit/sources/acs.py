@@ -7,11 +7,14 @@ row (skipped by position), the rest data.  Headers differ between files.
 
 Scan plan (no Python on the data path):
 
-* one CSV scan of every matching file below a table folder, ``multiLine``
-  (a file is one split, so row ids follow file order), all cells as STRING
-  into a fixed width ``W`` (an upper bound on the fields of any line, from a
-  cheap text pass);
-* position in file = row id - first row id of the file (per-file table);
+* one CSV scan of every matching file below a table folder, all cells as
+  STRING into a fixed width ``W`` (an upper bound on the fields of any line,
+  from a cheap text pass that also detects quoted fields spanning lines);
+  files are split like text files unless such a field exists (then each
+  file is one ``multiLine`` split);
+* position of a row in its file = rows of the file's earlier splits (a
+  running sum over a per-split table) + its rank inside its split; row 1 is
+  the header, row 2 the label row;
 * a per-file header table (one row per file): the positions of the wanted
   variables (blank names and margin-of-error columns ``*M`` dropped);
 * data rows explode only those positions; cells are normalised by Column
@@ -27,7 +30,7 @@ present-and-empty, trailing null cells as absent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,40 +59,60 @@ def _reader(spark: SparkSession, file_glob: str):
 
 def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str = "*-Data.csv",
                year_pattern: str = ACS_YEAR_PATTERN, paths: list[str] | None = None,
-               rows_only: bool = False) -> DataFrame:
-    """Long cells ``(geo_id, name, year, variable, cell, src_path, src_pos, src_col)``
-    of all data rows, before normalising and merging.  With ``paths`` only
-    those files (below ``root``) are read; with ``rows_only`` one row per
-    keyed data row ``(geo_id, name, year, src_path, src_pos)``."""
+               rows_only: bool = False, multi_line: bool | None = None) -> DataFrame:
+    """Long cells ``(geo_id, name, year, variable, cell, src_path, src_blk,
+    src_pos, src_col)`` of all data rows, before normalising and merging.
+    With ``paths`` only those files (below ``root``) are read; with
+    ``rows_only`` one row per keyed data row.
+
+    ``multi_line=None`` decides from the data: when no line holds an odd
+    number of quotes (no quoted field spans lines), files are read line by
+    line and split like any text file, so one huge file is read by many
+    tasks; rows keep their file order through (split offset, row id).
+    Otherwise each file is one split (``multiLine``)."""
     root_key = _root_key(root)
     source = paths if paths else root
 
     def read(fmt_reader):
         return fmt_reader(source)
-    width = (read(_reader(spark, file_glob).text)
-             .agg(F.max(F.size(F.split("value", ",", -1))).alias("w")).first()["w"])
+    probe = (read(_reader(spark, file_glob).text)
+             .agg(F.max(F.size(F.split("value", ",", -1))).alias("w"),
+                  F.max(F.when(F.size(F.split("value", '"', -1)) % 2 == 0, 1).otherwise(0)).alias("odd"))
+             .first())
+    width = probe["w"]
     if width is None:
         schema = "geo_id STRING, name STRING, year INT, variable STRING, cell STRING, " \
-                 "src_path STRING, src_pos BIGINT, src_col INT"
+                 "src_path STRING, src_blk BIGINT, src_pos BIGINT, src_col INT"
         return spark.createDataFrame([], schema)
+    if multi_line is None:
+        multi_line = bool(probe["odd"])
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     csv_reader = (_reader(spark, file_glob).schema(schema)
-                  .option("header", False).option("multiLine", True).option("escape", '"')
+                  .option("header", False).option("multiLine", multi_line).option("escape", '"')
                   .option("mode", "PERMISSIVE"))
     raw = (read(csv_reader.csv)
            .select(F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
                    F.col("_metadata.file_path").alias("src_path"),
+                   F.col("_metadata.file_block_start").alias("src_blk"),
                    F.monotonically_increasing_id().alias("_rid")))
     # Only files inside a table folder: their parent is not the root itself.
     parent = F.regexp_extract(_strip_scheme(F.col("src_path")), r"^(.*)/[^/]+$", 1)
     raw = raw.where(parent != F.lit(root_key))
 
-    first = small_side(raw.groupBy("src_path").agg(F.min("_rid").alias("_first")))
-    rows = (raw.join(first, "src_path")
-            .withColumn("src_pos", F.col("_rid") - F.col("_first") + 1).drop("_rid", "_first"))
+    # Position in the file: rows before this split (running sum over the
+    # file's splits, one row per split) + position inside the split.
+    splits = raw.groupBy("src_path", "src_blk").agg(F.min("_rid").alias("_first"),
+                                                   F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("src_path").orderBy("src_blk")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    splits = small_side(splits.select("src_path", "src_blk", "_first",
+                                      F.coalesce(before, F.lit(0)).alias("_before")))
+    rows = (raw.join(splits, ["src_path", "src_blk"])
+            .withColumn("src_pos", F.col("_before") + F.col("_rid") - F.col("_first") + 1)
+            .drop("_rid", "_first", "_before"))
 
     # Header table: one row per file, positions of the wanted variables.
-    h = F.transform(F.col("cells"), lambda c: F.regexp_replace(F.btrim(c, F.lit('"')), "^\ufeff", ""))
+    h = F.transform(F.col("cells"), lambda c: F.btrim(F.regexp_replace(c, "^\ufeff", ""), F.lit('"')))
     headers = rows.where(F.col("src_pos") == 1).select("src_path", h.alias("header"))
     idx = F.sequence(F.lit(1), F.size("header"))
     entries = F.transform(idx, lambda i: F.struct(F.element_at("header", i).alias("name"), i.alias("i")))
@@ -115,7 +138,7 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
     last = F.size(cut) - F.coalesce(
         F.array_position(F.transform(F.reverse(cut), lambda c: c.isNotNull()), F.lit(True)), F.lit(0)) + 1
     present_len = F.when(F.exists(cut, lambda c: c.isNotNull()), last).otherwise(F.lit(0))
-    data = data.select("src_path", "src_pos", "_sel", cut.alias("_cells"), present_len.alias("_len"),
+    data = data.select("src_path", "src_blk", "src_pos", "_sel", cut.alias("_cells"), present_len.alias("_len"),
                        F.when(F.col("_gi") > 0, F.element_at(cut, F.col("_gi"))).alias("_geo"),
                        F.when(F.col("_ni") > 0, F.element_at(cut, F.col("_ni"))).alias("_name"))
     key = F.coalesce(clean_text("_geo"), clean_text("_name"))
@@ -123,13 +146,13 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
             .withColumn("name", clean_text("_name"))
             .withColumn(YEAR, year_from_path("src_path", year_pattern)))
     if rows_only:
-        return data.select(GEO, "name", YEAR, "src_path", "src_pos")
-    return (data.select(GEO, "name", YEAR, "src_path", "src_pos", "_cells", "_len",
+        return data.select(GEO, "name", YEAR, "src_path", "src_blk", "src_pos")
+    return (data.select(GEO, "name", YEAR, "src_path", "src_blk", "src_pos", "_cells", "_len",
                         F.explode("_sel").alias("_e"))
             .where(F.col("_e.i") <= F.col("_len"))
             .select(GEO, "name", YEAR, F.col("_e.name").alias(VARIABLE),
                     F.element_at("_cells", F.col("_e.i")).alias("cell"),
-                    "src_path", "src_pos", F.col("_e.i").alias("src_col")))
+                    "src_path", "src_blk", "src_pos", F.col("_e.i").alias("src_col")))
 
 
 def observations(cells: DataFrame, null_sentinels=()) -> DataFrame:
@@ -148,8 +171,8 @@ def geo_dim(spark: SparkSession, root: str, file_glob: str = "*-Data.csv") -> Da
 
 
 def scan_acs(spark: SparkSession, root: str, variables=None, file_glob: str = "*-Data.csv",
-             null_sentinels=()) -> DataFrame:
-    return observations(scan_cells(spark, root, variables, file_glob), null_sentinels)
+             null_sentinels=(), multi_line: bool | None = None) -> DataFrame:
+    return observations(scan_cells(spark, root, variables, file_glob, multi_line=multi_line), null_sentinels)
 
 
 # --------------------------------------------------------------------------- writer
