@@ -130,74 +130,6 @@ class Counter(dict):
             best, count, _ = self.advance(unit, known[0][:], known[1][:], known[2])
         return best[-1], count[-1]
 
-    def __missing__(self, c: str) -> _Node:
-        to = self[c] = self.fail[c] if self.fail is not None else self
-        return to
-
-
-def automaton(pieces) -> _Node:
-    def node():
-        made = _Node()
-        made.fail, made.ends = None, ()
-        return made
-
-    root = node()
-    for piece, score in pieces:
-        at = root
-        for c in piece:
-            if c not in at:
-                at[c] = node()
-            at = at[c]
-        at.ends = ((len(piece), score),)
-    level = []
-    for child in root.values():
-        child.fail = root
-        level.append(child)
-    while level:  # by depth, before any transition is filled in
-        below = []
-        for at in level:
-            for c, child in at.items():
-                fall = at.fail
-                while fall is not None and c not in fall:
-                    fall = fall.fail
-                child.fail = root if fall is None else fall[c]
-                child.ends += child.fail.ends
-                below.append(child)
-        level = below
-    return root
-
-
-class Counter(dict):
-    """Maps a unit of text to (best score, pieces)."""
-
-    def __init__(self, pieces):
-        super().__init__()
-        self.begun: dict[str, tuple] = {}  # the search after the first SHARED characters
-        pieces = list(pieces)
-        self.root = automaton(pieces)
-        self.unknown = min(s for _, s in pieces) - UNK_PENALTY
-        # may a text be cut before a space that follows another character, and around line ends?
-        self.cuts = all(float(s).is_integer() for _, s in pieces) and not any(
-            SPACE in p.lstrip(SPACE) or "\n" in p for p, _ in pieces)
-        self.units = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if self.cuts else re.compile("(?s).+")
-
-    def solve(self, unit: str) -> tuple[float, int]:
-        best, count, state = [0.0], [0], self.root
-        for end, c in enumerate(unit, 1):
-            state = state[c]
-            top, length = float("-inf"), 0
-            for length, score in state.ends:  # longest first: the earliest start is offered first
-                total = best[end - length] + score
-                if total > top:
-                    top, begin = total, end - length
-            if length != 1 and best[-1] + self.unknown > top:  # no piece by itself
-                best.append(best[-1] + self.unknown)
-                count.append(count[-1] + len(c.encode()))
-            else:
-                best.append(top)
-                count.append(count[begin] + 1)
-        return best[-1], count[-1]
-
     def __missing__(self, word: str) -> tuple[float, int]:
         if len(self) >= REMEMBERED:
             self.clear()
