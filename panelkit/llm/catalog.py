@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelkit.llm import queries_text
+from panelkit.llm import queries_text, queries_web
 
 
 def text_queries() -> dict:
-    return dict(queries_text.REGISTRY)
+    return {**queries_text.REGISTRY, **queries_web.REGISTRY}
