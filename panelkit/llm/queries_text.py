@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import table
 from panelkit.llm.line_dedup import dedup_lines
+from panelkit.llm.near_dedup import near_duplicates
 from panelkit.llm.quality import quality_verdicts
 from panelkit.llm.secret_scan import secret_report
 from panelkit.llm.token_count import count_tokens
@@ -104,3 +105,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its line counts and the digest of what is left of its text."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + least(4, len(ws)) - 1) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT c.a, c.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) c
+  JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+reach AS (
+  SELECT doc_id AS id, doc_id AS x FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.x = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT id, min(x) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
+"""
+
+
+@register("op5_minhash_near_dedup", OP5_SQL)
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (4-word shingles, similarity 0.8)."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
