@@ -111,9 +111,9 @@ def proximity_matches(index: DataFrame, words: DataFrame, terms: int = NEAR_TERM
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", near: bool = True) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit`` (words inside matched windows), ``item_ids`` (sorted as
-    strings) and ``n_near_items`` (items with a proximity match)."""
+    strings) and, unless ``near`` is off, ``n_near_items`` (items with a proximity match)."""
     words = cut(item_words(items))
     index = build_index(docs, words, id_col, text_col)
     words = frequencies(index, words)
@@ -122,11 +122,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
            .groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit")))
     by_item = (matches.select("doc", F.col("item.id").cast("string").alias("id")).distinct()
                .groupBy("doc").agg(F.array_sort(F.collect_list("id")).alias("item_ids")))
-    near = (proximity_matches(index, words).select("doc", "item.id").distinct()
-            .groupBy("doc").agg(F.count(F.lit(1)).alias("n_near_items")))
-    hits = cut(hit.join(by_item, "doc", "full").join(near, "doc", "full"))
-    return (index.where("term = ''").select("doc", F.col("pos").cast("long").alias("n_words"))
+    hits = hit.join(by_item, "doc")
+    if near:
+        close = (proximity_matches(index, words).select("doc", "item.id").distinct()
+                 .groupBy("doc").agg(F.count(F.lit(1)).alias("n_near_items")))
+        hits = hits.join(close, "doc", "full")
+    hits = cut(hits)
+    out = (index.where("term = ''").select("doc", F.col("pos").cast("long").alias("n_words"))
             .join(broadcast_if_small(hits, hits.count(), 50_000), "doc", "left")
             .select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-                    F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items")))
+                    *([F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items")] if near else [])))
+    return out

@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["op2_language_id"] = (op2_language_id, None)
 
 
-def _op6_sql(rounds: int = ROUNDS) -> str:
+def mixing_sql(rounds: int = ROUNDS) -> str:
     steps, last = [], "r0"
     for i in range(rounds):
         for m in ("source", "lang", "topic"):
@@ -71,4 +71,4 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "lang", "topic", "n_tokens", "expected_copies", "n_copies"))
 
 
-REGISTRY["op6_source_mixing"] = (op6_source_mixing, _op6_sql())
+REGISTRY["op6_source_mixing"] = (op6_source_mixing, mixing_sql())

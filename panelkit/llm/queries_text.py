@@ -10,6 +10,7 @@ from panelkit.llm.line_dedup import dedup_lines
 from panelkit.llm.near_dedup import near_duplicates
 from panelkit.llm.quality import quality_verdicts
 from panelkit.llm.secret_scan import secret_report
+from panelkit.llm.substring_dedup import dedup_substrings
 from panelkit.llm.token_count import count_tokens
 
 REGISTRY: dict = {}
@@ -75,7 +76,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-OP9_SQL = r"""
+LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -95,9 +96,10 @@ r AS (
          string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS kept
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+       CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS kept
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
 """
+OP9_SQL = f"SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM ({LINES_SQL})"
 
 
 @register("op9_line_dedup", OP9_SQL)
@@ -107,13 +109,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP5_SQL = r"""
+def near_sql(k: int) -> str:
+    """Exact similarity join on ``k``-word shingles and the components of its links."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (
-  SELECT DISTINCT doc_id, list_slice(ws, i, i + least(4, len(ws)) - 1) AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + least({k}, len(ws)) - 1) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {k - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 links AS (
   SELECT c.a, c.b FROM (
@@ -127,7 +131,36 @@ JOIN (SELECT id, min(x) AS component_id FROM reach GROUP BY id) c ON c.id = d.do
 """
 
 
-@register("op5_minhash_near_dedup", OP5_SQL)
+@register("op5_minhash_near_dedup", near_sql(4))
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (4-word shingles, similarity 0.8)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b WHERE length(h) >= 100)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5_number(g)) AS first FROM win) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY doc_id, run),
+gaps AS (
+  SELECT r.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM runs r),
+kept AS (
+  SELECT g.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(max(h), 2 * max(z) + 1) AS k
+  FROM gaps g JOIN b ON g.doc_id = b.doc_id GROUP BY g.doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM b LEFT JOIN kept ON b.doc_id = kept.doc_id
+"""
+
+
+@register("op4_suffix_dedup", OP4_SQL)
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of smaller documents cover."""
+    return dedup_substrings(table(spark, sf_dir, "documents"))
