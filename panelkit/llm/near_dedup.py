@@ -13,9 +13,13 @@ Links are confirmed on full sets, never on signatures:
 2. ``HUB_ROUNDS`` times: each bucket of classes that are not all connected yet elects a hub by hash, and
    every other member is checked against it; confirmed links are joined into components.  A group of n near
    copies so costs about n checks, not n * n.
-3. What a bucket still holds in different components is checked exactly: each class outside the bucket's
-   largest component against all members of other components.  After that no candidate pair between two
-   components is unchecked, so no link between different texts is lost.
+3. Buckets that still hold different components are checked exactly, in blocks: classes that such buckets
+   connect form a cluster, cut into blocks of ``BLOCK``; a task takes two blocks, counts all intersections
+   by one matrix product, and returns only links that join two components.  No pair becomes a row, and a
+   class is sent once per block of its cluster.  Clusters of more than ``CLUSTER`` classes are checked bucket
+   by bucket instead: each class outside a bucket's largest component against the members of other
+   components, as pairs.  Either way no candidate pair between two components is left unchecked, so no link
+   between different texts is lost.
 
 Buckets are never collected: every step is a partial aggregate or a join dealt by (band, value) whose hot
 keys Spark can split, and sets travel only for classes that are candidates.
@@ -31,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import broadcast_if_small, cut, map_columns, small_batches, stage
@@ -40,6 +44,7 @@ from panelkit.operators.dbscan import connected_components
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 PERMUTATIONS, PER_BAND = 64, 2
 HUB_ROUNDS = 2
+BLOCK, CLUSTER = 512, 8192
 SEED = 20_240_229
 
 
@@ -106,18 +111,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                        f"doc {kind}, n long, key binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    n = ends.count()
-    texts = (docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-             .join(broadcast_if_small(ends, n), "doc", "left_semi"))
+def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Stored ``(doc, words)`` of the wanted ids: their whole sets, as sorted 64-bit hashes."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    sets = stage(map_columns(texts, lambda doc, text: {"doc": doc, "words": [shingle_set(t, k).tobytes() for t in text]},
+    texts = (docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+             .join(broadcast_if_small(ids.select(F.col("id").alias("doc")), n_ids), "doc", "left_semi"))
+    return stage(map_columns(texts, lambda doc, text: {"doc": doc, "words": [shingle_set(t, k).tobytes() for t in text]},
                              f"doc {kind}, words binary").dropDuplicates(["doc"]), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets reach the threshold."""
+    kind = pairs.schema["a"].dataType.simpleString()
     joined = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("words").alias("wa")), "a")
               .join(sets.select(F.col("doc").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
-    small_batches(docs.sparkSession)
 
     def check(batches):
         for batch in batches:
@@ -131,6 +138,66 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     return joined.mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, exactly (float32 counts to 2**24)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for i in range(0, len(shared), columns):
+        part = shared[i:i + columns]
+        sides = []
+        for sets in (left, right):
+            x = np.zeros((len(sets), len(part)), np.float32)
+            for r, s in enumerate(sets):
+                mine = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]
+                at = np.searchsorted(part, mine)
+                x[r, at[part[at] == mine]] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _joining_links(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Two blocks of a cluster (or one with itself): links that join components, a forest of them."""
+        rows = t.to_pydict()
+        block = np.array(rows["block"])
+        sides = [np.flatnonzero(block == b) for b in (rows["i"][0], rows["j"][0])]
+        sets = [np.frombuffer(w, np.uint64) for w in rows["words"]]
+        size = np.array([len(x) for x in sets])
+        left, right = sides
+        found = []
+        if len(left) and len(right):
+            both = _intersections([sets[k] for k in left], [sets[k] for k in right])
+            linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            parent: dict = {}
+
+            def root(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for p, q in zip(*np.nonzero(linked), strict=True):
+                x, y = root(rows["comp"][left[p]]), root(rows["comp"][right[q]])
+                if x != y:
+                    parent[x] = y
+                    found.append((rows["rep"][left[p]], rows["rep"][right[q]]))
+        kind = t.schema.field("rep").type
+        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+    return run
+
+
+def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within each cluster; ``mixed`` has cluster, rep, comp, n (one row a class)."""
+    kind = mixed.schema["rep"].dataType.simpleString()
+    by_size = Window.partitionBy("cluster").orderBy("n", "rep")  # at most CLUSTER rows
+    blocked = (mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
+               .withColumn("blocks", F.max("block").over(Window.partitionBy("cluster"))))
+    dealt = (blocked.join(sets.withColumnRenamed("doc", "rep"), "rep")
+             .select("cluster", "block", "rep", "comp", "words", F.explode(F.sequence(F.lit(0), "blocks")).alias("other"))
+             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other"))
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_joining_links(percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = SIMILARITY) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``."""
@@ -145,22 +212,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("band", "value"))
     members = stage(buckets.join(cut(spread), ["band", "value"]), "buckets")
     vertices = cut(members.select(F.col("rep").alias("id")).distinct())
+    n_vertices = vertices.count()
+    small_batches(docs.sparkSession)
+    sets = full_sets(docs, vertices, n_vertices, id_col, text_col, shingle)
     labels = vertices.select("id", F.col("id").alias("comp"))
     links = tried = None
 
     def add(pairs: DataFrame):
         """Confirms new pairs and joins components; pairs whose sizes alone rule a link out are passed over."""
-        nonlocal links, tried, labels
+        nonlocal tried
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
             return
-        good = stage(confirmed(pairs, docs, id_col, text_col, shingle, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        join_up(stage(confirmed(pairs, sets, percent), "links"))
+
+    def join_up(good: DataFrame):
+        nonlocal links, labels
         links = good if links is None else links.unionByName(good)
-        labels = connected_components(vertices, links)
+        labels = cut(connected_components(vertices, links))
 
     def labelled() -> DataFrame:
         return members.join(labels, members["rep"] == labels["id"]).drop("id")
@@ -186,11 +259,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = stage(sizes.groupBy("band", "value").agg(F.max(F.struct("m", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .where("lo <> hi").select("band", "value", F.col("top.comp").alias("top")), "mixed")
     left = stage(mixed.join(largest, ["band", "value"]), "left")
-    minority = left.where("comp <> top").select("band", "value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    others = left.select("band", "value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    # a pair of two minority classes is needed once only
-    add(minority.join(others, ["band", "value"])
-        .where("cx <> cy AND 100 * least(nx, ny) >= " + str(int(percent)) + " * greatest(nx, ny)").select(*ordered("x", "nx", "y", "ny")))
+    # clusters: classes that mixed buckets connect
+    star = left.groupBy("band", "value").agg(F.min("rep").alias("b"))
+    star = left.join(cut(star), ["band", "value"]).select(F.col("rep").alias("a"), "b").distinct().where("a <> b")
+    classes_left = cut(left.select("rep", "n", "comp").distinct())
+    clusters = connected_components(classes_left.select(F.col("rep").alias("id")), star)
+    named = cut(classes_left.join(clusters.select(F.col("id").alias("rep"), F.col("comp").alias("cluster")), "rep"))
+    sizes = cut(named.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
+    small = named.join(sizes.where(F.col("m") <= CLUSTER), "cluster")
+    if not small.isEmpty():
+        join_up(stage(block_links(small, sets, percent), "block-links"))
+    large = sizes.where(F.col("m") > CLUSTER)
+    if not large.isEmpty():
+        rest = left.join(named.join(large, "cluster").select("rep"), "rep", "left_semi")
+        minority = rest.where("comp <> top").select("band", "value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        others = rest.select("band", "value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+        add(minority.join(others, ["band", "value"])
+            .where("cx <> cy AND 100 * least(nx, ny) >= " + str(int(percent)) + " * greatest(nx, ny)").select(*ordered("x", "nx", "y", "ny")))
 
     named = classes.select("key", F.col("rep").alias("id")).join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     return (rows.join(named, "key", "left")
