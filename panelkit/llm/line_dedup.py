@@ -16,10 +16,11 @@ through untouched; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import broadcast_if_small, stage
+from panelkit.llm.common import WS, broadcast_if_small, small_batches, stage
 
 LINES = 3
 FILLED = r"[^\x20\x09-\x0D]"
@@ -29,20 +30,29 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def _filled(lines):
-    """0-based positions of the lines with more than white space."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(FILLED))
+def _cut(texts: pd.Series, removed: pd.Series, k: pd.Series) -> pd.DataFrame:
+    """Texts without the lines that the removed windows cover, and how many those are."""
+    out = []
+    for text, starts, size in zip(texts, removed, k, strict=True):
+        if text is None:
+            out.append((None, 0))
+            continue
+        lines = text.split("\n")
+        filled = [i for i, x in enumerate(lines) if x.strip(WS)]
+        gone = {filled[j + d] for j in starts for d in range(size)}
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return pd.DataFrame(out, columns=["text", "n"])
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINES) -> DataFrame:
     """``(doc, at, key)``: ``at`` counts filled lines, ``key`` hashes lines at..at+k-1."""
-    cut = (docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    split = (docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("doc"), _lines(F.col(text_col)).alias("lines"))
            .select("doc", F.filter("lines", lambda x: x.rlike(FILLED)).alias("lines"))
            .where(F.size("lines") >= k))
     keys = F.transform(F.sequence(F.lit(0), F.size("lines") - k),
                        lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, k), "\n"))))
-    return cut.select("doc", F.posexplode(keys).alias("at", "key"))
+    return split.select("doc", F.posexplode(keys).alias("at", "key"))
 
 
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = LINES) -> DataFrame:
@@ -60,12 +70,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stage(removed_windows(docs, id_col, text_col, k)
                  .withColumnsRenamed({"doc": "__doc", "removed": "__removed"}), "line-removed")
     kept = docs.join(broadcast_if_small(gone, gone.count(), 20_000), F.col(id_col) == F.col("__doc"), "left")
-    lines = _lines(F.col(text_col))
-    out = kept.withColumn("__covered", F.when(F.col("__removed").isNotNull(), F.array_distinct(F.flatten(F.transform(
-        "__removed", lambda j: F.slice(_filled(lines), j + 1, k))))))
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered"))
-    return (out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("__covered"), F.lit(0)).cast("long"))
-            .withColumn(text_col, F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")))
-            .drop("__doc", "__removed", "__covered"))
+    # only texts that lose lines go through Python
+    hit = F.col("__removed").isNotNull()
+    small_batches(docs.sparkSession)
+    cut = F.pandas_udf(_cut, "text string, n long")
+    return (kept.withColumn("__cut", cut(F.when(hit, F.col(text_col)), F.col("__removed"), F.lit(k)))
+            .withColumn("n_lines", F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0)).cast("long"))
+            .withColumn("n_removed", F.col("__cut.n"))
+            .withColumn(text_col, F.when(hit, F.col("__cut.text")).otherwise(F.col(text_col)))
+            .drop("__doc", "__removed", "__cut"))
