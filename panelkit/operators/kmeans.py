@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +14,14 @@ from panelkit.operators.sampling import hash_sample
 MAX_K = 1000
 
 
-def kmeans_fit(df: DataFrame, k: int = 6, seed: int = 42, features: str = "pca", max_iter: int = 20):
-    """Returns the fitted model (centres, ``summary.trainingCost``)."""
+def kmeans_fit(df: DataFrame, k: int = 6, seed: int = 42, features: str = "pca", max_iter: int = 1000):
+    """Returns the fitted model (centres, ``summary.trainingCost``).  Fits run until the centres stand still;
+    one that still moves after ``max_iter`` rounds is reported by a warning."""
     km = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster", maxIter=max_iter)
-    return km.fit(df)
+    model = km.fit(df)
+    if model.hasSummary and model.summary.numIter >= max_iter:
+        warnings.warn(f"KMeans (k={k}) still moved after {max_iter} rounds", stacklevel=2)
+    return model
 
 
 def kmeans_labels(df: DataFrame, k: int = 6, seed: int = 42, features: str = "pca", keep=()) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import bounded_collect
+from panelkit.operators.common import bounded_collect, join_on, small_side
 from panelkit.session import ensure_checkpoint_dir
 
 
@@ -21,7 +21,7 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx",
                       group_cols: list[str] | None = None) -> DataFrame:
     """0-based position in the order given by ``order_cols``; with
     ``group_cols`` (which must lead ``order_cols``) the position restarts in
-    every group."""
+    every group (a null group is a group)."""
     ensure_checkpoint_dir(df.sparkSession)
     sorted_df = (df.orderBy(*order_cols)
                  .withColumn("_pid", F.spark_partition_id())
@@ -42,5 +42,5 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx",
            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")))
     if group_cols:
         starts = out.groupBy(*group_cols).agg(F.min(name).alias("_gstart"))
-        out = out.join(starts, group_cols).withColumn(name, F.col(name) - F.col("_gstart")).drop("_gstart")
+        out = join_on(out, small_side(starts), group_cols).withColumn(name, F.col(name) - F.col("_gstart")).drop("_gstart")
     return out.drop("_pid", "_mid", "_first", "_off")

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
+from panelkit.plans import queries, queries_cluster, queries_dist, queries_io  # noqa: F401
+
 
 def all_queries():
-    from panelkit.plans import queries  # noqa: F401  (registers)
-    for mod in ("panelkit.plans.queries_dist", "panelkit.plans.queries_cluster",
-                "panelkit.plans.queries_io"):
-        try:
-            __import__(mod)
-        except ModuleNotFoundError as e:
-            if e.name != mod:
-                raise
     return dict(queries.REGISTRY)

@@ -17,6 +17,7 @@ from panelkit.operators import panel as PN
 from panelkit.operators import profile as PR
 from panelkit.operators import reduce as RD
 from panelkit.operators import standardize as ST
+from panelkit.operators.common import bounded_collect, materialise
 from panelkit.schema import GEO, VARIABLE, YEAR
 from panelkit.sources import acs
 
@@ -25,13 +26,14 @@ def run_flow(spark: SparkSession, root: str, year: int | None = None, cluster: s
                  variables=None, file_glob: str = "*-Data.csv", k: int = 6, pca_k: int = 6,
                  eps: float = 2.0, min_samples: int = 3, run_length: int | None = None,
                  seed: int = 42) -> dict[str, DataFrame]:
-    obs = acs.scan_acs(spark, root, variables, file_glob)
+    obs = materialise(acs.scan_acs(spark, root, variables, file_glob))  # read several times below
     dim = acs.geo_dim(spark, root, file_glob)
     panel = PN.consecutive_year_filter(obs, run_length)
     if year is not None:
         panel = panel.where(F.col(YEAR) == year)
     scores = ST.standardize_per_year(panel)
-    names = variables or [r[0] for r in scores.select(VARIABLE).distinct().orderBy(VARIABLE).collect()]
+    scores = materialise(scores)
+    names = variables or sorted(r[0] for r in bounded_collect(scores.select(VARIABLE).distinct(), 100_000, "variables"))
     wide = ST.standardize_wide(scores, names, dim, field="z")
     matrix = RD.feature_matrix(wide, names, keep=(GEO, YEAR))
     pcs = RD.pca_scores(matrix, min(pca_k, len(names)), keep=(GEO, YEAR))

@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def physical_plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan's text in full: long schemas and filters are not cut short."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in ("spark.sql.maxMetadataStringLength", "spark.sql.debug.maxToStringFields")}
+    try:
+        for k in before:
+            conf.set(k, "1000000")
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def plan_facts(df: DataFrame) -> dict:

@@ -100,3 +100,12 @@ def q_hash_sample(spark, sf):
         "_k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return SM.hash_sample(li, "_k", 0.05, 42).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("hash_sample_text", """
+SELECT geo_id, c_custkey FROM (SELECT '140US' || CAST(c_custkey AS VARCHAR) AS geo_id, c_custkey FROM customer)
+WHERE CAST('0x' || substr(md5('42|' || geo_id), 1, 8) AS BIGINT) % 10000 < 500""")
+def q_hash_sample_text(spark, sf):
+    geo = T.table(spark, sf, "customer").select(
+        F.concat(F.lit("140US"), F.col("c_custkey").cast("string")).alias("geo_id"), "c_custkey")
+    return SM.hash_sample(geo, "geo_id", 0.05, 42)

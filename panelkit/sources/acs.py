@@ -30,16 +30,21 @@ present-and-empty, trailing null cells as absent.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.functions.cells import ACS_YEAR_PATTERN, clean_text, normalise_cell, year_from_path
 from panelkit.functions.geo import region_of, state_of
-from panelkit.operators.common import small_side
+from panelkit.operators.common import bounded_collect, materialise, small_side
 from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
+from panelkit.session import scratch_path
 
 STATIC_FIELDS = ("GEO_ID", "NAME", "region", "state", "year")
+MAX_WHOLE_FILES = 10_000
+MAX_BROADCAST_NAMES = 500_000
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//)?"
 
 
@@ -57,6 +62,25 @@ def _reader(spark: SparkSession, file_glob: str):
             .option("pathGlobFilter", file_glob))
 
 
+def _fields(line):
+    """The fields of a CSV line that holds whole quoted fields; an empty unquoted field is null."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*),'), F.lit(1))
+    return F.transform(found, lambda x: F.when(x == "", F.lit(None).cast("string"))
+                       .when(x.startswith('"') & x.endswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')))
+                       .otherwise(x))
+
+
+def _read_whole(spark: SparkSession, paths: list[str], at: list) -> DataFrame:
+    """Cells of files whose quoted fields span lines, up to each record's last filled one."""
+    width = spark.read.text(paths).agg(F.max(F.size(F.split("value", ",", -1)))).first()[0]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    gap = F.array_position(F.transform(F.reverse(cells), lambda c: c.isNotNull()), F.lit(True))
+    return (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
+            .option("mode", "PERMISSIVE").csv(paths)
+            .select(*at, F.when(gap > 0, F.slice(cells, 1, (width - gap + 1).cast("int"))).otherwise(F.array().cast("array<string>")).alias("cells")))
+
+
 def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str = "*-Data.csv",
                year_pattern: str = ACS_YEAR_PATTERN, paths: list[str] | None = None,
                rows_only: bool = False, multi_line: bool | None = None) -> DataFrame:
@@ -65,39 +89,35 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
     With ``paths`` only those files (below ``root``) are read; with
     ``rows_only`` one row per keyed data row.
 
-    ``multi_line=None`` decides from the data: when no line holds an odd
-    number of quotes (no quoted field spans lines), files are read line by
-    line and split like any text file, so one huge file is read by many
-    tasks; rows keep their file order through (split offset, row id).
-    Otherwise each file is one split (``multiLine``)."""
+    A file without a line that holds an odd number of quotes (no quoted field
+    spans lines) is read line by line and split like any text file, so one
+    huge file is read by many tasks; every record keeps its own number of
+    fields, trailing empty ones and blank lines included.  Only the other
+    files are read whole, one task each (``multiLine``; there, trailing empty
+    fields and blank lines cannot be told).  ``multi_line`` forces one of the
+    two for all files.  The scan runs once: everything below works on its
+    stored copy, so a change of the cluster between steps cannot change it."""
     root_key = _root_key(root)
     source = paths if paths else root
-
-    def read(fmt_reader):
-        return fmt_reader(source)
-    probe = (read(_reader(spark, file_glob).text)
-             .agg(F.max(F.size(F.split("value", ",", -1))).alias("w"),
-                  F.max(F.when(F.size(F.split("value", '"', -1)) % 2 == 0, 1).otherwise(0)).alias("odd"))
-             .first())
-    width = probe["w"]
-    if width is None:
-        schema = "geo_id STRING, name STRING, year INT, variable STRING, cell STRING, " \
-                 "src_path STRING, src_blk BIGINT, src_pos BIGINT, src_col INT"
-        return spark.createDataFrame([], schema)
+    at = [F.col("_metadata.file_path").alias("src_path"), F.col("_metadata.file_block_start").alias("src_blk")]
+    lines = _reader(spark, file_glob).text(source).select(*at, F.col("value").alias("line"))
+    odd = F.size(F.split("line", '"', -1)) % 2 == 0
     if multi_line is None:
-        multi_line = bool(probe["odd"])
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    csv_reader = (_reader(spark, file_glob).schema(schema)
-                  .option("header", False).option("multiLine", multi_line).option("escape", '"')
-                  .option("mode", "PERMISSIVE"))
-    raw = (read(csv_reader.csv)
-           .select(F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
-                   F.col("_metadata.file_path").alias("src_path"),
-                   F.col("_metadata.file_block_start").alias("src_blk"),
-                   F.monotonically_increasing_id().alias("_rid")))
+        whole = [r[0] for r in bounded_collect(lines.where(odd).select("src_path").distinct(), MAX_WHOLE_FILES,
+                                               "files with quoted fields that span lines")]
+    else:
+        whole = [r[0] for r in bounded_collect(lines.select("src_path").distinct(), MAX_WHOLE_FILES,
+                                               "files read whole")] if multi_line else []
+    raw = lines.where(~F.col("src_path").isin(whole)) if whole else lines
+    raw = raw.select("src_path", "src_blk", _fields(F.col("line")).alias("cells"))
+    if whole:
+        raw = raw.unionByName(_read_whole(spark, [unquote(p) for p in whole], at))
     # Only files inside a table folder: their parent is not the root itself.
     parent = F.regexp_extract(_strip_scheme(F.col("src_path")), r"^(.*)/[^/]+$", 1)
-    raw = raw.where(parent != F.lit(root_key))
+    raw = raw.where(parent != F.lit(root_key)).withColumn("_rid", F.monotonically_increasing_id())
+    copy = scratch_path(spark, "acs-scan")
+    raw.write.parquet(copy)
+    raw = spark.read.schema(raw.schema).parquet(copy)
 
     # Position in the file: rows before this split (running sum over the
     # file's splits, one row per split) + position inside the split.
@@ -130,17 +150,16 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
         F.array_position("header", "GEO_ID").cast("int").alias("_gi"),
         F.array_position("header", "NAME").cast("int").alias("_ni"),
         F.filter(entries, wanted).alias("_sel"))
-    headers = small_side(headers)
+    headers = materialise(headers)
+    held = headers.agg(F.sum(F.size("_sel"))).first()[0] or 0  # names that a broadcast would carry
+    if held <= MAX_BROADCAST_NAMES:
+        headers = F.broadcast(headers)
 
     data = rows.where(F.col("src_pos") >= 3).join(headers, "src_path")
-    # Cells up to the header's width; the row's own length is the last non-null cell.
+    # Cells up to the header's width; a record has as many as it was written with.
     cut = F.slice("cells", 1, F.col("_hw"))
-    last = F.size(cut) - F.coalesce(
-        F.array_position(F.transform(F.reverse(cut), lambda c: c.isNotNull()), F.lit(True)), F.lit(0)) + 1
-    present_len = F.when(F.exists(cut, lambda c: c.isNotNull()), last).otherwise(F.lit(0))
-    data = data.select("src_path", "src_blk", "src_pos", "_sel", cut.alias("_cells"), present_len.alias("_len"),
-                       F.when(F.col("_gi") > 0, F.element_at(cut, F.col("_gi"))).alias("_geo"),
-                       F.when(F.col("_ni") > 0, F.element_at(cut, F.col("_ni"))).alias("_name"))
+    data = data.select("src_path", "src_blk", "src_pos", "_sel", cut.alias("_cells"), F.size(cut).alias("_len"),
+                       F.get(cut, F.col("_gi") - 1).alias("_geo"), F.get(cut, F.col("_ni") - 1).alias("_name"))
     key = F.coalesce(clean_text("_geo"), clean_text("_name"))
     data = (data.withColumn(GEO, key).where(F.col(GEO).isNotNull())
             .withColumn("name", clean_text("_name"))
@@ -151,7 +170,7 @@ def scan_cells(spark: SparkSession, root: str, variables=None, file_glob: str =
                         F.explode("_sel").alias("_e"))
             .where(F.col("_e.i") <= F.col("_len"))
             .select(GEO, "name", YEAR, F.col("_e.name").alias(VARIABLE),
-                    F.element_at("_cells", F.col("_e.i")).alias("cell"),
+                    F.get("_cells", F.col("_e.i") - 1).alias("cell"),
                     "src_path", "src_blk", "src_pos", F.col("_e.i").alias("src_col")))
 
 

@@ -15,6 +15,8 @@ from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
 
 JSON_SCHEMA = "key ARRAY<STRING>, value MAP<STRING, DOUBLE>"
 
+MAX_VARIABLES = 100_000  # columns of a wide record
+
 
 def save_panel_json(panel: DataFrame, path: str) -> None:
     """One JSON line per (geo_id, year); replaces the target."""
@@ -40,7 +42,8 @@ def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save_panel_parquet(panel: DataFrame, path: str) -> None:
-    panel.write.mode("overwrite").partitionBy(YEAR).parquet(path)
+    # rows of a year and neighbouring geographies together: few files a year, hot years in several
+    panel.repartitionByRange(YEAR, GEO).write.mode("overwrite").partitionBy(YEAR).parquet(path)
 
 
 def load_panel_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -52,10 +55,11 @@ def load_features(spark: SparkSession, path: str, variables=None, expected=(2010
     ``(records, years, missing)`` -- one wide record per (geo_id, year) with
     the requested variables (all when None), the distinct years present, and
     the expected years that are absent."""
+    from panelkit.operators.common import bounded_collect
     from panelkit.operators.panel import feature_record, missing_years
     long = load_panel_json(spark, path)
     if variables is None:
-        variables = [r[0] for r in long.select(VARIABLE).distinct().orderBy(VARIABLE).collect()]
+        variables = sorted(r[0] for r in bounded_collect(long.where(F.col(VARIABLE).isNotNull()).select(VARIABLE).distinct(), MAX_VARIABLES, "variables"))
     records = feature_record(long, variables)
     years = long.where(F.col(YEAR).isNotNull()).select(YEAR).distinct()
     return records, years, missing_years(long, expected[0], expected[1])

@@ -3,12 +3,11 @@
 The driver's parquet tables have no ACS shape, so the panels below turn them
 into ``observations(geo_id, year, variable, value)``: one geography key, one
 integer period and a set of measures.  Each is a plain aggregate/projection,
-so its SQL twin (``panelkit.plans.oracles``) reproduces it exactly.
+so its SQL twin (``panelkit.plans.sqlparts``) reproduces it exactly.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +20,7 @@ LINE_FEATURES = ("qty", "price", "disc", "tax")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Keep every core busy on under-partitioned input.
-
-    A scan yields one task per parquet row group at most; a file written as a
-    single row group is read by one task, and every narrow operator after it
-    stays single-threaded.  When the scan has fewer partitions than the
-    session's default parallelism, the (then small) table is spread
-    round-robin once and kept (memory, spilling to disk).  A scan of a large
-    table already has more partitions than cores and is returned untouched.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def to_long(wide: DataFrame, keys: list[str], features) -> DataFrame:

@@ -104,3 +104,39 @@ def test_split_files_keep_file_order(spark, tree):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == want and auto == want
+
+
+def _write(tmp_path, lines, vintage=2020):
+    folder = tmp_path / "T1" / f"ACSDT5Y{vintage}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "x-Data.csv").write_text("\n".join(lines) + "\n")
+    return str(tmp_path)
+
+
+def test_trailing_empty_fields_are_nulls(spark, tmp_path):
+    """The later row's empty last field overwrites; blank lines count as records; quotes and commas survive."""
+    root = _write(tmp_path, ['"GEO_ID","NAME","V1","V2"', "id,name,a,b", "a,Aa,5,7", 'b,"B ""x"", b",1,2', "a,Aa,6,", "c,Cc,9,"])
+    got = {(r.geo_id, r.variable): r.value for r in acs.scan_acs(spark, root).collect()}
+    assert got == {("a", "V1"): 6.0, ("a", "V2"): None, ("b", "V1"): 1.0, ("b", "V2"): 2.0, ("c", "V1"): 9.0, ("c", "V2"): None}
+    names = {r.geo_id: r.name for r in acs.geo_dim(spark, root).collect()}
+    assert "b" in names and names["a"] == "Aa"
+
+
+def test_blank_second_record_counts(spark, tmp_path):
+    root = _write(tmp_path, ["GEO_ID,NAME,V1", "", "a,Aa,1", "b,Bb,2"])
+    assert acs.scan_acs(spark, root).count() == 2
+
+
+def test_rows_survive_other_split_sizes(spark, tmp_path):
+    """Built under one split size, read under another: the same rows."""
+    root = _write(tmp_path, ["GEO_ID,NAME,V1", "id,name,a", *[f"g{i},N{i},{i}" for i in range(20_000)]])
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "100k")
+        cells = acs.scan_cells(spark, root)
+        spark.conf.set(key, "30k")
+        assert cells.count() == 20_000
+        assert cells.agg({"src_pos": "max"}).first()[0] == 20_002
+    finally:
+        spark.conf.set(key, before)

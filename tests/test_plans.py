@@ -2,15 +2,15 @@
 
 import pytest
 
-import __spark_entry__ as E
-from panelkit.plans.inspect import plan_facts
+from panelkit.plans.catalog import all_queries
+from panelkit.plans.inspect import physical_plan, plan_facts
 
 from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
 def queries():
-    return E.queries()
+    return {name: fn for name, (fn, _sql) in all_queries().items()}
 
 
 def test_no_cartesian_or_python_anywhere(spark, queries):
@@ -37,5 +37,6 @@ def test_top_n_is_bounded(spark, queries):
 
 def test_scan_reads_only_used_columns(spark, queries):
     f = plan_facts(queries["summary_stats"](spark, SF_SMALL))
+    assert f["read_schemas"] and "RoundRobin" not in physical_plan(queries["summary_stats"](spark, SF_SMALL))
     for schema in f["read_schemas"]:
         assert "l_returnflag" not in schema and "l_partkey" not in schema
