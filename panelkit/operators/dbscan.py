@@ -3,12 +3,9 @@ pair-based formulation.  ``dbscan`` itself runs the clique-cell algorithm of
 ``dbscan_cells`` (no pairs inside dense regions); the steps below are its
 building blocks and the direct variant ``dbscan_pairs``.
 
-1. Neighbour pairs: points are put in grid cells of side ``eps`` on their
-   first ``grid_dims`` coordinates; each point probes its own and the
-   adjacent cells (3^grid_dims of them) through an equi-join on the cell, and
-   a pair is kept when its exact distance over *all* coordinates is <= eps
-   (a coordinate difference never exceeds the distance, so no pair is lost).
-   Hot cells are split by AQE's skew-join handling.
+1. Neighbour pairs: ``box_join.near_pairs`` splits the points on all
+   coordinates and drops pairs of nodes farther apart than eps; a pair is kept
+   when its exact distance is <= eps.
 2. Core points: at least ``min_samples`` points (itself included) within eps.
 3. Clusters: connected components of the core-core pairs, by min-label
    propagation with pointer jumping; each round's labels are checkpointed to
@@ -21,35 +18,25 @@ building blocks and the direct variant ``dbscan_pairs``.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.box_join import near_pairs, sum_of
 from panelkit.operators.ranking import with_global_index
 from panelkit.session import ensure_checkpoint_dir
 
 
-def _cells(x, eps: float, dims: int):
-    return F.array(*[F.floor(F.element_at(x, d + 1) / F.lit(float(eps))).cast("long") for d in range(dims)])
-
-
-def eps_neighbours(points: DataFrame, eps: float, id_col: str = "id", coords: str = "x",
-                   grid_dims: int = 2) -> DataFrame:
-    """Pairs ``(a, b, d2)`` with a < b and squared distance <= eps^2."""
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=grid_dims)]
-    home = points.select(F.col(id_col).alias("a"), F.col(coords).alias("xa"),
-                         _cells(F.col(coords), eps, grid_dims).alias("cell"))
-    off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    probe = (points.select(F.col(id_col).alias("b"), F.col(coords).alias("xb"),
-                           _cells(F.col(coords), eps, grid_dims).alias("_c"))
-             .select("b", "xb", "_c", F.explode(off).alias("_o"))
-             .select("b", "xb", F.zip_with("_c", "_o", lambda c, o: c + o).alias("cell")))
-    d2 = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0),
-                     lambda acc, v: acc + v)
-    pairs = (home.join(probe, "cell").where(F.col("a") < F.col("b"))
-             .select("a", "b", d2.alias("d2")))
-    return pairs.where(F.col("d2") <= F.lit(float(eps) * float(eps)))
+def eps_neighbours(points: DataFrame, eps: float, id_col: str = "id", coords: str = "x") -> DataFrame:
+    """Pairs ``(a, b, d2)`` with a < b and squared distance <= eps^2, over all coordinates."""
+    pts = points.select(F.col(id_col).alias("key"), F.col(coords).cast("array<double>").alias("x"))
+    d = int(pts.select(F.max(F.size("x"))).first()[0] or 0)
+    # box distances are summed in another form than d2: a little slack, then the exact test
+    near = near_pairs(pts.select("key", F.col("x").alias("lo"), F.col("x").alias("hi")), float(eps) ** 2 * (1 + 1e-9), d)
+    d2 = sum_of(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)))
+    return (near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+            .join(pts.select(F.col("key").alias("a"), F.col("x").alias("xa")), "a")
+            .join(pts.select(F.col("key").alias("b"), F.col("x").alias("xb")), "b")
+            .select("a", "b", d2.alias("d2")).where(F.col("d2") <= F.lit(float(eps) * float(eps))))
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -113,32 +100,48 @@ def dbscan_from_pairs(points: DataFrame, pairs: DataFrame, min_samples: int,
                     "is_core"))
 
 
-def dbscan_pairs(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
-                 grid_dims: int = 2) -> DataFrame:
+def dbscan_pairs(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x") -> DataFrame:
     """DBSCAN from the explicit eps-neighbour pairs (quadratic in a dense
     neighbourhood; kept as the direct formulation and for small inputs)."""
-    pairs = eps_neighbours(points, eps, id_col, coords, grid_dims).checkpoint(eager=True)
+    pairs = eps_neighbours(points, eps, id_col, coords).checkpoint(eager=True)
     return dbscan_from_pairs(points, pairs, min_samples, id_col)
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
-           grid_dims: int = 2) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x") -> DataFrame:
     """Labels ``(id, cluster, is_core)`` by the clique-cell algorithm
     (``panelkit.operators.dbscan_cells``), which never forms all pairs of a
-    dense region.  ``grid_dims`` is accepted for the pair-based variant."""
+    dense region."""
     from panelkit.operators.dbscan_cells import dbscan_cells
     return dbscan_cells(points, eps, min_samples, id_col, coords)
 
 
-def dbscan_grid(points: DataFrame, settings, id_col: str = "id", coords: str = "x",
-                grid_dims: int = 2) -> DataFrame:
-    """Cluster and noise counts for several (eps, min_samples) settings."""
-    settings = [(float(e), int(m)) for e, m in settings]
-    rows = []
+# The settings of the original grid.
+DEFAULT_GRID = ((2.0, 3), (2.5, 5), (2.7, 5), (3.0, 3))
+
+
+def dbscan_settings(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x") -> DataFrame:
+    """Labels of every (eps, min_samples) setting: ``eps, min_samples, id, cluster, is_core``."""
+    out = None
     for eps, ms in settings:
-        labels = dbscan(points, eps, ms, id_col, coords)
-        r = labels.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("c"),
-                       F.sum(F.when(F.col("cluster") == -1, 1).otherwise(0)).alias("noise")).first()
-        rows.append((eps, ms, int(r["c"]), int(r["noise"] or 0)))
-    return points.sparkSession.createDataFrame(
-        rows, "eps DOUBLE, min_samples INT, n_clusters INT, n_noise INT")
+        one = dbscan(points, eps, ms, id_col, coords).select(
+            F.lit(float(eps)).alias("eps"), F.lit(int(ms)).alias("min_samples"), id_col, "cluster", "is_core")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dbscan_grid(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x") -> DataFrame:
+    """Cluster and noise counts for several (eps, min_samples) settings."""
+    c = F.col("cluster")
+    return dbscan_settings(points, settings, id_col, coords).groupBy("eps", "min_samples").agg(
+        F.count_distinct(F.when(c != -1, c)).cast("int").alias("n_clusters"),
+        F.sum(F.when(c == -1, 1).otherwise(0)).cast("int").alias("n_noise"))
+
+
+def dbscan_grid_profile(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x",
+                        digits: int = 2) -> DataFrame:
+    """Mean of every coordinate (``dim``) per setting and cluster, noise dropped."""
+    labels = dbscan_settings(points, settings, id_col, coords).where("cluster <> -1")
+    long = points.select(id_col, F.posexplode(coords).alias("dim", "v"))
+    scale = F.lit(float(10 ** digits))
+    return (labels.join(long, id_col).groupBy("eps", "min_samples", "cluster", "dim")
+            .agg((F.floor(F.avg("v") * scale + F.lit(0.5)).cast("double") / scale).alias("mean")))

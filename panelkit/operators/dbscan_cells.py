@@ -18,19 +18,18 @@ over all d coordinates, so any two points of one cell are within eps.
   point (far smaller than the point graph), numbered by their smallest core
   id; a border point takes the smallest cluster among its core neighbours.
 
-Candidate cell pairs come from an equi-join of the *cell table* on a coarse
-grid (side eps, first two coordinates, offsets +-2) filtered by the exact
-box distance -- a join of aggregates, not of points.
+Candidate cell pairs come from ``box_join.near_pairs`` over the *cell table*,
+which splits on all coordinates -- a join of aggregates, not of points.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.box_join import box_max2, box_min2, near_pairs, sum_of
 from panelkit.operators.common import materialise
 from panelkit.operators.dbscan import connected_components
 from panelkit.operators.ranking import with_global_index
@@ -40,28 +39,8 @@ def _sq(c: Column) -> Column:
     return c * c
 
 
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _box_min2(lo_a, hi_a, lo_b, hi_b) -> Column:
-    """Squared smallest distance between two boxes."""
-    gaps = F.zip_with(F.zip_with(lo_a, hi_a, lambda l, h: F.struct(l.alias("l"), h.alias("h"))),
-                      F.zip_with(lo_b, hi_b, lambda l, h: F.struct(l.alias("l"), h.alias("h"))),
-                      lambda a, b: F.greatest(F.lit(0.0), b["l"] - a["h"], a["l"] - b["h"]))
-    return _sum(F.transform(gaps, _sq))
-
-
-def _box_max2(lo_a, hi_a, lo_b, hi_b) -> Column:
-    """Squared largest distance between two boxes."""
-    spans = F.zip_with(F.zip_with(lo_a, hi_a, lambda l, h: F.struct(l.alias("l"), h.alias("h"))),
-                       F.zip_with(lo_b, hi_b, lambda l, h: F.struct(l.alias("l"), h.alias("h"))),
-                       lambda a, b: F.greatest(F.abs(b["h"] - a["l"]), F.abs(a["h"] - b["l"])))
-    return _sum(F.transform(spans, _sq))
-
-
 def _dist2(x: Column, y: Column) -> Column:
-    return _sum(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)))
+    return sum_of(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)))
 
 
 def _index(x: Column, side: float) -> Column:
@@ -88,25 +67,15 @@ def dbscan_cells(points: DataFrame, eps: float, min_samples: int, id_col: str =
     pts = materialise(pts0.withColumn("cell", _index(F.col("x"), side)))
 
     cells = _boxes(pts, ["cell"], d).withColumn("dense", F.col("n") >= min_samples)
-    m = min(d, 2)
-    coarse = F.transform(F.slice("cell", 1, m), lambda c: F.floor(c.cast("double") * F.lit(side / eps)).cast("long"))
-    cells = materialise(cells.withColumn("coarse", coarse))
-
-    # Candidate cell pairs (A before B by smallest id) within eps by boxes.
-    offsets = [list(o) for o in itertools.product(range(-2, 3), repeat=m)]
-    probe = (cells.select(F.col("cell").alias("cb"), F.col("mid").alias("mb"), F.col("lo").alias("lob"),
-                          F.col("hi").alias("hib"), F.col("n").alias("nb"), F.col("dense").alias("db"),
-                          F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_o"),
-                          "coarse")
-             .select("*", F.zip_with("coarse", "_o", lambda c, o: c + o).alias("_k")).drop("coarse", "_o"))
-    home = cells.select(F.col("cell").alias("ca"), F.col("mid").alias("ma"), F.col("lo").alias("loa"),
-                        F.col("hi").alias("hia"), F.col("n").alias("na"), F.col("dense").alias("da"),
-                        F.col("coarse").alias("_k"))
-    pairs = (home.join(probe, "_k").where(F.col("ma") < F.col("mb"))
-             .where(_box_min2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2))
-             .drop("_k"))
+    cells = materialise(cells)
+
+    # Cell pairs (A before B by smallest id) whose boxes are within eps.
+    near = near_pairs(cells.select(F.col("mid").alias("key"), "lo", "hi"), eps2, d)
+    sides = {e: cells.select(F.col("mid").alias(f"k{e}"), F.col("cell").alias(f"c{e}"), F.col("lo").alias(f"lo{e}"),
+                             F.col("hi").alias(f"hi{e}"), F.col("n").alias(f"n{e}"), F.col("dense").alias(f"d{e}")) for e in "ab"}
+    pairs = near.join(sides["a"], "ka").join(sides["b"], "kb").drop("ka", "kb")
     pairs = materialise(pairs.withColumn(
-        "full", _box_max2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2)))
+        "full", box_max2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2)))
 
     # Sparse points against their neighbour cells (both directions of a pair).
     nbr = (pairs.select(F.col("ca").alias("cell"), F.col("cb").alias("oc"), F.col("lob").alias("olo"),
@@ -116,9 +85,9 @@ def dbscan_cells(points: DataFrame, eps: float, min_samples: int, id_col: str =
                                      F.col("na").alias("on"))))
     sparse_pts = pts.join(cells.where(~F.col("dense")).select("cell"), "cell", "left_semi")
     pc = sparse_pts.join(nbr, "cell")
-    pmin2 = _sum(F.transform(F.zip_with(F.col("x"), F.zip_with("olo", "ohi", lambda l, h: F.struct(
+    pmin2 = sum_of(F.transform(F.zip_with(F.col("x"), F.zip_with("olo", "ohi", lambda l, h: F.struct(
         l.alias("l"), h.alias("h"))), lambda v, b: F.greatest(F.lit(0.0), b["l"] - v, v - b["h"])), _sq))
-    pmax2 = _sum(F.transform(F.zip_with(F.col("x"), F.zip_with("olo", "ohi", lambda l, h: F.struct(
+    pmax2 = sum_of(F.transform(F.zip_with(F.col("x"), F.zip_with("olo", "ohi", lambda l, h: F.struct(
         l.alias("l"), h.alias("h"))), lambda v, b: F.greatest(F.abs(v - b["l"]), F.abs(b["h"] - v))), _sq))
     pc = materialise(pc.select("id", "cell", "oc", "on", pmin2.alias("_min2"), pmax2.alias("_max2"))
                      .where(F.col("_min2") <= F.lit(eps2)))
@@ -197,8 +166,8 @@ def _dense_links(pts: DataFrame, dd: DataFrame, side: float, eps2: float, brute_
         b = subs.select(F.col("cell").alias("cb"), F.col("par").alias("pb"), F.col("sub").alias("sb"),
                         F.col("n").alias("nb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
         cand = (todo.join(a, ["ca", "pa"]).join(b, ["cb", "pb"])
-                .where(_box_min2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2))
-                .withColumn("_full", _box_max2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2)))
+                .where(box_min2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2))
+                .withColumn("_full", box_max2(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib")) <= F.lit(eps2)))
         cand = materialise(cand.select("ca", "cb", "sa", "sb", "na", "nb", "_full"))
         hit_full = cand.where("_full").select("ca", "cb")
         small = cand.where(~F.col("_full") & ((F.col("na") * F.col("nb") <= brute_limit) | F.lit(level >= max_levels)))

@@ -22,7 +22,7 @@ from panelkit.sources import tables as T
 PCA_K = 6
 KMEANS_K = 6
 SEED = 42
-DB_EPS, DB_MIN = 0.02, 3
+DB_EPS, DB_MIN = 1.14, 3  # whole 64-D unit vectors
 # Settings for the rows-only grid on the 6-D PCA scores (the distances of the
 # unit-norm embeddings are far below the original grid's 2.0-3.0).
 DB_GRID = ((0.15, 3), (0.18, 5), (0.20, 5), (0.25, 5))
@@ -33,7 +33,8 @@ def _pca(spark, sf):
     return RD.pca_scores(v, PCA_K, keep=("vec_id", "label"))
 
 
-@query("feature_matrix", None)
+@query("feature_matrix", f"""SELECT geo_id, year, [{", ".join(f"coalesce({f}, 0.0)" for f in T.SUPPLIER_FEATURES)}] AS features
+FROM ({Q.SUPPLIER_WIDE})""")
 def q_feature_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
     m = RD.feature_matrix(T.supplier_year_wide(spark, sf), list(T.SUPPLIER_FEATURES))
@@ -117,26 +118,21 @@ def q_silhouette_samples(spark, sf):
         "vec_id", "label", "silhouette", "rank")
 
 
-def _points2d(spark, sf):
-    return T.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).alias("x"))
+def _points(spark, sf):
+    return T.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
 
 
-_EPS2 = repr(DB_EPS * DB_EPS)
-_PAIRS = f"""p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
-        FROM embeddings),
-pr AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
-       FROM p a JOIN p b ON a.id < b.id
-       WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_EPS2})"""
+def _pairs_sql(eps: float) -> str:
+    return f"""p AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pr AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b,
+         list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2
+       FROM p a JOIN p b ON a.id < b.id) WHERE d2 <= {eps * eps!r})"""
 
 
-@query("eps_neighbours", f"WITH {_PAIRS} SELECT a, b, {Q.r6('d2')} AS d2 FROM pr")
-def q_eps_neighbours(spark, sf):
-    return _round_all(DB.eps_neighbours(_points2d(spark, sf), DB_EPS), {"d2"})
-
-
-@query("dbscan_labels", f"""WITH RECURSIVE {_PAIRS},
+def _labels_sql(eps: float, least: int) -> str:
+    return f"""WITH RECURSIVE {_pairs_sql(eps)},
 deg AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM pr UNION ALL SELECT b AS id FROM pr) GROUP BY id),
-core AS (SELECT p.id FROM p LEFT JOIN deg ON deg.id = p.id WHERE coalesce(deg.d, 0) + 1 >= {DB_MIN}),
+core AS (SELECT p.id FROM p LEFT JOIN deg ON deg.id = p.id WHERE coalesce(deg.d, 0) + 1 >= {least}),
 ce AS (SELECT a, b FROM pr WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 und AS (SELECT a, b FROM ce UNION ALL SELECT b AS a, a AS b FROM ce),
 r(id, comp) AS (SELECT id, id FROM core UNION SELECT und.b, r.comp FROM r JOIN und ON r.id = und.a),
@@ -147,9 +143,17 @@ bd AS (SELECT u.a AS id, min(cl.cluster) AS bc
        FROM (SELECT a, b FROM pr UNION ALL SELECT b AS a, a AS b FROM pr) u JOIN cl ON cl.id = u.b GROUP BY u.a)
 SELECT p.id AS vec_id, CAST(CASE WHEN cl.cluster IS NOT NULL THEN cl.cluster ELSE coalesce(bd.bc, -1) END AS INTEGER)
   AS cluster, cl.cluster IS NOT NULL AS is_core
-FROM p LEFT JOIN cl ON cl.id = p.id LEFT JOIN bd ON bd.id = p.id""")
+FROM p LEFT JOIN cl ON cl.id = p.id LEFT JOIN bd ON bd.id = p.id"""
+
+
+@query("eps_neighbours", f"WITH {_pairs_sql(DB_EPS)} SELECT a, b, {Q.r6('d2')} AS d2 FROM pr")
+def q_eps_neighbours(spark, sf):
+    return _round_all(DB.eps_neighbours(_points(spark, sf), DB_EPS), {"d2"})
+
+
+@query("dbscan_labels", _labels_sql(DB_EPS, DB_MIN))
 def q_dbscan_labels(spark, sf):
-    return DB.dbscan(_points2d(spark, sf), DB_EPS, DB_MIN).withColumnRenamed("id", "vec_id")
+    return DB.dbscan(_points(spark, sf), DB_EPS, DB_MIN).withColumnRenamed("id", "vec_id")
 
 
 @query("dbscan_grid", None)
@@ -159,7 +163,19 @@ def q_dbscan_grid(spark, sf):
     return DB.dbscan_grid(pts, DB_GRID)
 
 
-_PROFILE_DIMS = 8
+# Settings on the raw vectors, where SQL can follow.
+PROFILE_GRID = ((1.11, 3), (1.14, 3))
+
+
+@query("dbscan_grid_profile", " UNION ALL ".join(f"""
+SELECT CAST({e!r} AS DOUBLE) AS eps, {m} AS min_samples, cluster, CAST(i - 1 AS INTEGER) AS dim, {Q.rnd('avg(v)', 2)} AS mean
+FROM (SELECT l.cluster, generate_subscripts(x.embedding, 1) AS i, CAST(unnest(x.embedding) AS DOUBLE) AS v
+      FROM ({_labels_sql(e, m)}) l JOIN embeddings x ON x.vec_id = l.vec_id WHERE l.cluster <> -1) GROUP BY cluster, i""" for e, m in PROFILE_GRID))
+def q_dbscan_grid_profile(spark, sf):
+    return DB.dbscan_grid_profile(_points(spark, sf), PROFILE_GRID)
+
+
+_PROFILE_DIMS = 64  # the whole vector
 
 
 @query("cluster_profile", f"""

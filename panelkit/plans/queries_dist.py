@@ -15,11 +15,6 @@ from panelkit.schema import VALUE, VARIABLE
 from panelkit.sources import tables as T
 
 
-def r9(c):
-    x = F.col(c)
-    return (F.floor(x * F.lit(1e9) + F.lit(0.5)).cast("double") / F.lit(1e9)).alias(c)
-
-
 @query("histogram50", Q.histogram_sql(Q.SUPPLIER_PANEL, ["variable"], 50))
 def q_histogram50(spark, sf):
     h = D.histogram(T.supplier_year_panel(spark, sf), (VARIABLE,), VALUE, 50)
@@ -50,20 +45,17 @@ _KDE_SQL = f"""WITH d AS (SELECT variable, value FROM ({Q.SUPPLIER_PANEL}) WHERE
 st AS (SELECT variable, count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
        FROM d GROUP BY variable),
 s AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st WHERE n > 1 AND sd > 0 AND hi > lo),
-c AS (SELECT d.variable, {Q.bin_sql('d.value', 's.lo', 's.hi', 512)} AS b, count(*) AS c
-      FROM d JOIN s ON d.variable = s.variable GROUP BY ALL),
-g AS (SELECT s.*, c.b, c.c, s.lo + (CAST(c.b AS DOUBLE) + 0.5) * ((s.hi - s.lo) / 512.0) AS centre,
-        CAST(j.range AS INTEGER) AS j
-      FROM c JOIN s ON c.variable = s.variable CROSS JOIN range(0, 200) j)
+g AS (SELECT s.*, d.value, CAST(j.range AS INTEGER) AS j
+      FROM d JOIN s ON d.variable = s.variable CROSS JOIN range(0, 200) j)
 SELECT variable, j, {Q.r6('min(lo + CAST(j AS DOUBLE) * (hi - lo) / 199.0)')} AS x,
-  {Q.rnd('sum(CAST(c AS DOUBLE) * exp(-0.5 * ((lo + CAST(j AS DOUBLE) * (hi - lo) / 199.0 - centre) / h) * ((lo + CAST(j AS DOUBLE) * (hi - lo) / 199.0 - centre) / h)) * ' + _NORM + ') / (min(CAST(n AS DOUBLE)) * min(h))', 9)} AS density
-FROM g GROUP BY variable, j"""
+  {Q.r6('sum(exp(-0.5 * pow((lo + CAST(j AS DOUBLE) * (hi - lo) / 199.0 - value) / h, 2)) * ' + _NORM + ') / (min(CAST(n AS DOUBLE)) * min(h))')} AS density
+FROM g GROUP BY variable, j"""  # the direct kernel sum
 
 
 @query("kde_curve", _KDE_SQL)
 def q_kde_curve(spark, sf):
-    k = D.kde_curve(T.supplier_year_panel(spark, sf), grid=200, fine_bins=512)
-    return _round_all(k, {"x"}).select(VARIABLE, "j", "x", r9("density"))
+    k = D.kde_curve(T.supplier_year_panel(spark, sf), grid=200)
+    return _round_all(k, {"x", "density"}).select(VARIABLE, "j", "x", "density")
 
 
 _PAIR_FEATURES = list(T.SUPPLIER_FEATURES)

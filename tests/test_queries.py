@@ -36,8 +36,8 @@ years_per_geo longest_run summary_stats yearly_distribution geo_delta_topn descr
 describe_per_year year_feature_moments cluster_profile dbscan_grid winsorize zscore silhouette_samples
 hash_sample union_tables histogram50 histogram_clipped30 histogram_by_year kde_curve pairwise_bins
 feature_matrix pca_scores kmeans_labels kmeans_centroids assign_fixed_centroids silhouette_score
-elbow_curve dbscan_labels ratio_feature panel_clusters""".split()
-ROWS_ONLY = {"feature_matrix", "pca_scores", "kmeans_labels", "kmeans_centroids", "elbow_curve",
+elbow_curve dbscan_labels dbscan_grid_profile ratio_feature panel_clusters""".split()
+ROWS_ONLY = {"pca_scores", "kmeans_labels", "kmeans_centroids", "elbow_curve",
              "dbscan_grid", "panel_clusters"}
 
 
@@ -80,4 +80,4 @@ def test_registry_imports_without_a_session():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
                          cwd=__import__("os").path.dirname(E.__file__))
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.split() == ["59", "52"]
+    assert out.stdout.split() == ["60", "54"]
