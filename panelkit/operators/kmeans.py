@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +50,13 @@ def assign_fixed_centroids(df: DataFrame, centroids: DataFrame, features: str, k
     squared distance to it.  The centroid table (bounded by ``max_k``) is
     folded into the projection as a literal, so the points are not joined."""
     rows = sorted(bounded_collect(centroids, max_k, "centroids"), key=lambda r: r[0])
-    ids = F.array(*[F.lit(int(r[0])) for r in rows])
-    cents = F.array(*[F.array(*[F.lit(float(v)) for v in r[1]]) for r in rows])
+    return _nearest(df, [int(r[0]) for r in rows], [r[1] for r in rows], features, keep)
+
+
+def _nearest(df: DataFrame, names: list, centres: list, features: str, keep=()) -> DataFrame:
+    ids = F.lit(names)
+    # one literal however many centres and coordinates; it folds to a constant array
+    cents = F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centres])), "array<array<double>>")
     x = F.col(features)
     d2 = F.transform(cents, lambda c: squared_distance(x, c))
     best = F.array_min(d2)
@@ -56,6 +64,48 @@ def assign_fixed_centroids(df: DataFrame, centroids: DataFrame, features: str, k
     return df.select(*keep, F.element_at(ids, pos.cast("int")).alias("cluster"), best.alias("dist2"))
 
 
+def kmeans_from(df: DataFrame, starts: list, features: str, tol: float = 1e-9, max_rounds: int = 1000) -> list:
+    """Centres from the given start centres: points go to their nearest centre, centres to the mean of their
+    points (one without points stays), until no coordinate moves by more than ``tol``.  A round is one scan
+    with a partial aggregate of k rows; only the k x d centres reach the driver.  Null vectors are left out;
+    an empty table returns the starts.  A fit still moving after ``max_rounds`` is reported by a warning."""
+    from pyspark.ml.functions import array_to_vector
+    centres = [[float(v) for v in c] for c in starts]
+    if len(centres) > MAX_K:
+        raise ValueError(f"more than {MAX_K} centres")
+    points = df.where(F.col(features).isNotNull()).select(features)
+    for _ in range(max_rounds):
+        near = _nearest(points, list(range(len(centres))), centres, features, keep=(features,))
+        means = near.groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m")).collect()
+        new = list(centres)
+        for r in means:
+            new[r["cluster"]] = [float(v) for v in r["m"].toArray()]
+        moved = max((abs(a - b) for p, q in zip(centres, new, strict=True) for a, b in zip(p, q, strict=True)), default=0.0)
+        centres = new
+        if moved <= tol:
+            return centres
+    warnings.warn(f"centres still moved after {max_rounds} rounds", stacklevel=2)
+    return centres
+
+
+def cluster_from(df: DataFrame, starts: list, features: str, keep=()) -> DataFrame:
+    """Cluster and squared distance of every point after ``kmeans_from``."""
+    known = df.where(F.col(features).isNotNull())
+    centres = kmeans_from(known, starts, features)
+    return _nearest(known, list(range(len(centres))), centres, features, keep)
+
+
+def elbow_from(df: DataFrame, starts: list, ks, features: str) -> DataFrame:
+    """``k, inertia`` of fits from the first k of the given start centres (independent fits, run concurrently)."""
+    ks = [int(k) for k in ks]
+
+    def fit(k):
+        return k, float(inertia(cluster_from(df, starts[:k], features)).first()[0] or 0.0)
+    with ThreadPoolExecutor(max_workers=min(len(ks), 8)) as pool:
+        rows = sorted(pool.map(fit, ks))
+    return df.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
+
+
 def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("dist2").alias("inertia"))
 
@@ -74,7 +124,6 @@ def elbow_curve(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str =
                 fraction: float = 1.0, key: str | None = None) -> DataFrame:
     """Within-cluster sum of squares for each k (one KMeans fit each).  With
     ``fraction`` < 1 the fits use a hash sample on ``key``."""
-    from concurrent.futures import ThreadPoolExecutor
     data = df if fraction >= 1.0 else hash_sample(df, key, fraction, seed)
     data = data.select(features).cache()
     ks = [int(k) for k in ks]
@@ -90,7 +139,7 @@ def elbow_curve(df: DataFrame, ks=range(2, 11), seed: int = 42, features: str =
 
 
 def cluster_kmeans(df: DataFrame, features: str = "pca", k: int = 6, seed: int = 42, keep=()) -> dict:
-    """Fit and return ``{"labels", "centroids", "inertia", "model"}``."""
+    """Random starts: fit and return ``{"labels", "centroids", "inertia", "model"}``."""
     model = kmeans_fit(df, k, seed, features)
     labels = model.transform(df).select(*keep, F.col("cluster").cast("int").alias("cluster"))
     return {"labels": labels, "centroids": centroid_table(model),

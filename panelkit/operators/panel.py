@@ -1,4 +1,5 @@
-"""Panel-shape operators on the long table ``(geo_id, year, variable, value)``.
+"""Panel-shape operators on the long table ``(geo_id, year, variable, value)``; tables with other column
+names pass them as ``cols`` (``PanelColumns``).
 
 Run lengths use gaps-and-islands over the *distinct* periods of a geography
 (at most one row per period, so a window per geography stays small however
@@ -12,62 +13,56 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.cells import is_valid_number
 from panelkit.operators.common import small_side
-from panelkit.schema import EXPECTED_YEARS, GEO, VALUE, VARIABLE, YEAR
+from panelkit.schema import EXPECTED_YEARS, PANEL, PanelColumns
 
 
-def years_per_geo(df: DataFrame) -> DataFrame:
+def years_per_geo(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Sorted distinct periods of each geography."""
-    return (df.where(F.col(YEAR).isNotNull()).groupBy(GEO)
-            .agg(F.sort_array(F.collect_set(YEAR)).alias("years")))
+    return (df.where(F.col(cols.year).isNotNull()).groupBy(cols.geo)
+            .agg(F.sort_array(F.collect_set(cols.year)).alias("years")))
 
 
-def longest_run(df: DataFrame) -> DataFrame:
+def longest_run(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Longest run of consecutive periods per geography."""
-    periods = df.where(F.col(YEAR).isNotNull()).select(GEO, YEAR).distinct()
-    rn = F.row_number().over(Window.partitionBy(GEO).orderBy(YEAR))
-    islands = periods.withColumn("_island", F.col(YEAR) - rn)
-    runs = islands.groupBy(GEO, "_island").agg(F.count(F.lit(1)).alias("_len"))
-    return runs.groupBy(GEO).agg(F.max("_len").cast("int").alias("longest_run"))
+    periods = df.where(F.col(cols.year).isNotNull()).select(cols.geo, cols.year).distinct()
+    rn = F.row_number().over(Window.partitionBy(cols.geo).orderBy(cols.year))
+    islands = periods.withColumn("_island", F.col(cols.year) - rn)
+    runs = islands.groupBy(cols.geo, "_island").agg(F.count(F.lit(1)).alias("_len"))
+    return runs.groupBy(cols.geo).agg(F.max("_len").cast("int").alias("longest_run"))
 
 
-def default_run_length(df: DataFrame) -> int:
+def default_run_length(df: DataFrame, cols: PanelColumns = PANEL) -> int:
     """Half the number of distinct periods, rounded down (0 for one period)."""
-    n_years = df.where(F.col(YEAR).isNotNull()).agg(F.count_distinct(YEAR)).first()[0]
+    n_years = df.where(F.col(cols.year).isNotNull()).agg(F.count_distinct(cols.year)).first()[0]
     return int(n_years / 2)
 
 
-def consecutive_year_filter(df: DataFrame, n: int | None = None) -> DataFrame:
+def consecutive_year_filter(df: DataFrame, n: int | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """Rows of the geographies having at least ``n`` consecutive periods."""
     if n is None:
-        n = default_run_length(df)
-    keep = longest_run(df).where(F.col("longest_run") >= n).select(GEO)
+        n = default_run_length(df, cols)
+    keep = longest_run(df, cols).where(F.col("longest_run") >= n).select(cols.geo)
     # One row per geography: broadcast when its size is within the bound, so
     # the panel is filtered where it lies (a geography holding a large share
     # of the rows is never gathered into one task); above the bound the join
     # is a shuffle semi-join whose hot partitions AQE splits.
-    return df.join(small_side(keep), GEO, "left_semi")
+    return df.join(small_side(keep), cols.geo, "left_semi")
 
 
-def year_coverage(df: DataFrame) -> DataFrame:
-    """Rows and geographies per period."""
-    return df.groupBy(YEAR).agg(F.count(F.lit(1)).alias("n_rows"),
-                                F.count_distinct(GEO).alias("n_geos"))
-
-
-def missing_years(df: DataFrame, start: int = EXPECTED_YEARS[0], end: int = EXPECTED_YEARS[1]) -> DataFrame:
+def missing_years(df: DataFrame, start: int = EXPECTED_YEARS[0], end: int = EXPECTED_YEARS[1], cols: PanelColumns = PANEL) -> DataFrame:
     """Expected periods ``start..end`` that no row has (left anti join)."""
     spark = df.sparkSession
-    expected = spark.range(start, end + 1).select(F.col("id").cast("int").alias(YEAR))
-    present = df.where(F.col(YEAR).isNotNull()).select(YEAR).distinct()
-    return expected.join(present, YEAR, "left_anti")
+    expected = spark.range(start, end + 1).select(F.col("id").cast("int").alias(cols.year))
+    present = df.where(F.col(cols.year).isNotNull()).select(cols.year).distinct()
+    return expected.join(present, cols.year, "left_anti")
 
 
-def merge_last_wins(df: DataFrame, order_cols: list[str]) -> DataFrame:
+def merge_last_wins(df: DataFrame, order_cols: list[str], cols: PanelColumns = PANEL) -> DataFrame:
     """One value per (geo_id, year, variable): the one of the last row in the
     order ``order_cols`` -- also when that value is null."""
     order = F.struct(*[F.col(c) for c in order_cols])
-    return (df.groupBy(GEO, YEAR, VARIABLE)
-            .agg(F.max_by(F.col(VALUE), order).alias(VALUE)))
+    return (df.groupBy(cols.geo, cols.year, cols.variable)
+            .agg(F.max_by(F.col(cols.value), order).alias(cols.value)))
 
 
 def union_tables(*frames: DataFrame) -> DataFrame:
@@ -78,26 +73,26 @@ def union_tables(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def extract_features(df: DataFrame, variables) -> DataFrame:
+def extract_features(df: DataFrame, variables, cols: PanelColumns = PANEL) -> DataFrame:
     """Typed feature rows: requested variables with a period and a
     non-negative value, all features in one long frame."""
-    return (df.where(F.col(VARIABLE).isin(list(variables)) & F.col(YEAR).isNotNull()
-                     & F.col(VALUE).isNotNull() & (F.col(VALUE) >= 0))
-            .select(GEO, YEAR, VARIABLE, VALUE))
+    return (df.where(F.col(cols.variable).isin(list(variables)) & F.col(cols.year).isNotNull()
+                     & F.col(cols.value).isNotNull() & (F.col(cols.value) >= 0))
+            .select(cols.geo, cols.year, cols.variable, cols.value))
 
 
-def feature_filter(df: DataFrame, variables) -> DataFrame:
+def feature_filter(df: DataFrame, variables, cols: PanelColumns = PANEL) -> DataFrame:
     """Keep only the requested variables (applied before any widening)."""
-    return df.where(F.col(VARIABLE).isin(list(variables)))
+    return df.where(F.col(cols.variable).isin(list(variables)))
 
 
-def feature_record(df: DataFrame, variables, static: DataFrame | None = None) -> DataFrame:
+def feature_record(df: DataFrame, variables, static: DataFrame | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """Long -> one record per (geo_id, year) with one column per requested
     variable in the given order (null when absent).  The variable list is
     passed explicitly, so no extra job looks for distinct values."""
-    wide = df.groupBy(GEO, YEAR).pivot(VARIABLE, list(variables)).agg(F.first(VALUE))
+    wide = df.groupBy(cols.geo, cols.year).pivot(cols.variable, list(variables)).agg(F.first(cols.value))
     if static is not None:
-        wide = wide.join(static, [GEO, YEAR], "left")
+        wide = wide.join(static, [cols.geo, cols.year], "left")
     return wide
 
 
@@ -105,17 +100,17 @@ def fill_zero(wide: DataFrame, features) -> DataFrame:
     return wide.fillna(0.0, subset=list(features))
 
 
-def ratio_feature(df: DataFrame, numerators, denominator: str, name: str) -> DataFrame:
+def ratio_feature(df: DataFrame, numerators, denominator: str, name: str, cols: PanelColumns = PANEL) -> DataFrame:
     """New long rows ``name`` = sum(numerators) / denominator per (geo_id,
     year); null when the denominator is missing or zero."""
-    v = F.col(VALUE)
-    agg = (df.where(F.col(VARIABLE).isin(list(numerators) + [denominator]))
-           .groupBy(GEO, YEAR)
-           .agg(F.sum(F.when(F.col(VARIABLE).isin(list(numerators)), v)).alias("_num"),
-                F.max(F.when(F.col(VARIABLE) == denominator, v)).alias("_den")))
+    v = F.col(cols.value)
+    agg = (df.where(F.col(cols.variable).isin(list(numerators) + [denominator]))
+           .groupBy(cols.geo, cols.year)
+           .agg(F.sum(F.when(F.col(cols.variable).isin(list(numerators)), v)).alias("_num"),
+                F.max(F.when(F.col(cols.variable) == denominator, v)).alias("_den")))
     ratio = F.when((F.col("_den").isNull()) | (F.col("_den") == 0), F.lit(None).cast("double")) \
         .otherwise(F.col("_num") / F.col("_den"))
-    return agg.select(GEO, YEAR, F.lit(name).alias(VARIABLE), ratio.alias(VALUE))
+    return agg.select(cols.geo, cols.year, F.lit(name).alias(cols.variable), ratio.alias(cols.value))
 
 
 def numeric_validity(df: DataFrame, text_col: str, keys=()) -> DataFrame:

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from panelkit.operators.common import join_on, small_side
 from panelkit.operators.quantiles import DEFAULT_ACCURACY, RankSpec, exact_quantiles, order_statistics
 from panelkit.operators.ranking import with_global_index
-from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
+from panelkit.schema import PANEL, PanelColumns
 
 
-def year_feature_moments(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALUE) -> DataFrame:
+def year_feature_moments(df: DataFrame, keys=None, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """count, mean and population std per (year, variable)."""
+    value = value or cols.value
+    keys = list((cols.year, cols.variable) if keys is None else keys)
     return (df.where(F.col(value).isNotNull()).groupBy(*keys)
             .agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
                  F.stddev_pop(value).alias("std")))
@@ -34,23 +36,26 @@ def winsor_specs(lower: float = 0.05, upper: float = 0.05) -> list[RankSpec]:
             RankSpec("high", 1.0 - upper, lambda n: n - F.floor(F.lit(float(upper)) * n))]
 
 
-def winsor_bounds(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALUE,
+def winsor_bounds(df: DataFrame, keys=None, value: str | None = None,
                   limits=(0.05, 0.05), accuracy: int = DEFAULT_ACCURACY,
-                  with_moments: bool = True) -> DataFrame:
+                  with_moments: bool = True, cols: PanelColumns = PANEL) -> DataFrame:
     """Per group: n, low, high (and mean, std of the raw values)."""
+    value = value or cols.value
+    keys = list((cols.year, cols.variable) if keys is None else keys)
     extra = [F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std")] if with_moments else []
-    return order_statistics(df, list(keys), value, winsor_specs(*limits), accuracy, extra)
+    return order_statistics(df, keys, value, winsor_specs(*limits), accuracy, extra)
 
 
 def _clip(x: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, x))
 
 
-def winsorize(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALUE,
+def winsorize(df: DataFrame, keys=None, value: str | None = None,
               limits=(0.05, 0.05), out: str = "raw_winsorized",
-              accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+              accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
     """Adds ``out`` = value clipped to its group's winsor bounds."""
-    keys = list(keys)
+    value = value or cols.value
+    keys = list((cols.year, cols.variable) if keys is None else keys)
     bounds = small_side(winsor_bounds(df, keys, value, limits, accuracy, with_moments=False))
     return (join_on(df, bounds.select(*keys, "low", "high"), keys, "left")
             .withColumn(out, _clip(F.col(value), F.col("low"), F.col("high")))
@@ -61,16 +66,17 @@ def zscore(x: Column, mean: Column, std: Column) -> Column:
     return F.when(std == 0, F.lit(0.0)).otherwise((x - mean) / std)
 
 
-def standardize_per_year(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALUE,
+def standardize_per_year(df: DataFrame, keys=None, value: str | None = None,
                          limits=(0.05, 0.05), stats_on: str = "raw",
-                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                         accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
     """Long panel -> ``(geo_id, year, variable, raw_winsorized, z)``.
 
     ``stats_on='raw'`` (default) scores the winsorized value against the raw
     mean/std; ``'winsorized'`` uses moments of the winsorized values instead.
     Rows whose value is null carry no score and are dropped.
     """
-    keys = list(keys)
+    value = value or cols.value
+    keys = list((cols.year, cols.variable) if keys is None else keys)
     data = df.where(F.col(value).isNotNull())
     bounds = small_side(winsor_bounds(data, keys, value, limits, accuracy))
     scored = (join_on(data, bounds.select(*keys, "low", "high", "mean", "std"), keys)
@@ -85,7 +91,7 @@ def standardize_per_year(df: DataFrame, keys=(YEAR, VARIABLE), value: str = VALU
 
 
 def standardize_wide(scored: DataFrame, variables: list[str], geo_dim: DataFrame | None = None,
-                     field: str | None = None) -> DataFrame:
+                     field: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """Long scores -> one row per (geo_id, year) with a
     ``STRUCT<raw_winsorized, z>`` column per variable (or just the ``field``
     when given).  ``geo_dim`` (geo_id, year, static columns) is inner-joined:
@@ -94,10 +100,10 @@ def standardize_wide(scored: DataFrame, variables: list[str], geo_dim: DataFrame
         cell = F.struct(F.col("raw_winsorized"), F.col("z"))
     else:
         cell = F.col(field)
-    wide = (scored.groupBy(GEO, YEAR).pivot(VARIABLE, list(variables))
+    wide = (scored.groupBy(cols.geo, cols.year).pivot(cols.variable, list(variables))
             .agg(F.first(cell, ignorenulls=True)))
     if geo_dim is not None:
-        wide = wide.join(geo_dim, [GEO, YEAR], "inner")
+        wide = wide.join(geo_dim, [cols.geo, cols.year], "inner")
     return wide
 
 
@@ -113,29 +119,30 @@ def flatten_z(wide: DataFrame) -> DataFrame:
     return wide.select(*cols)
 
 
-def zscore_outliers(scored: DataFrame, variable: str, threshold: float = 3.0) -> DataFrame:
+def zscore_outliers(scored: DataFrame, variable: str, threshold: float = 3.0, cols: PanelColumns = PANEL) -> DataFrame:
     """Split of one variable's z-scores at ``threshold`` with a ``geo-year``
     label and the 0-based position in (geo_id, year) order (the plot's x)."""
-    one = scored.where(F.col(VARIABLE) == variable).select(GEO, YEAR, VARIABLE, "z")
-    indexed = with_global_index(one, [GEO, YEAR], "idx")
+    one = scored.where(F.col(cols.variable) == variable).select(cols.geo, cols.year, cols.variable, "z")
+    indexed = with_global_index(one, [cols.geo, cols.year], "idx")
     return indexed.select(
-        GEO, YEAR, VARIABLE, "z", "idx",
-        F.concat_ws("-", F.col(GEO), F.col(YEAR).cast("string")).alias("label"),
+        cols.geo, cols.year, cols.variable, "z", "idx",
+        F.concat_ws("-", F.col(cols.geo), F.col(cols.year).cast("string")).alias("label"),
         (F.abs("z") > F.lit(float(threshold))).alias("is_outlier"))
 
 
-def quantile_clip(df: DataFrame, keys=(VARIABLE,), value: str = VALUE,
+def quantile_clip(df: DataFrame, keys=None, value: str | None = None,
                   lower: float = 0.01, upper: float = 0.99, out: str = "clipped",
-                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                  accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
     """Clip every value to its group's linear-interpolated lower/upper
     quantiles (pandas ``quantile`` + ``clip``); null values are dropped."""
-    keys = list(keys)
+    value = value or cols.value
+    keys = list((cols.variable,) if keys is None else keys)
     data = df.where(F.col(value).isNotNull())
     q = small_side(exact_quantiles(data, keys, value, [lower, upper], ["q_low", "q_high"], accuracy))
     return (join_on(data, q.select(*keys, "q_low", "q_high"), keys)
             .withColumn(out, _clip(F.col(value), F.col("q_low"), F.col("q_high"))))
 
 
-def find_outliers_zscore(scored: DataFrame, variable: str, threshold: float = 3.0) -> DataFrame:
+def find_outliers_zscore(scored: DataFrame, variable: str, threshold: float = 3.0, cols: PanelColumns = PANEL) -> DataFrame:
     """Name used by the original documentation for ``zscore_outliers``."""
-    return zscore_outliers(scored, variable, threshold)
+    return zscore_outliers(scored, variable, threshold, cols)

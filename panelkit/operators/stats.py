@@ -13,46 +13,51 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.common import join_on
 from panelkit.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
-from panelkit.schema import GEO, VALUE, VARIABLE, YEAR
+from panelkit.schema import PANEL, PanelColumns
 
 
-def summary_stats(df: DataFrame, keys=(VARIABLE,), value: str = VALUE) -> DataFrame:
+def summary_stats(df: DataFrame, keys=None, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """count, mean, population std, min, max per group (nulls ignored)."""
+    value = value or cols.value
+    keys = list((cols.variable,) if keys is None else keys)
     v = F.col(value)
     return (df.where(v.isNotNull()).groupBy(*keys)
             .agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
                  F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")))
 
 
-def yearly_distribution(df: DataFrame, variable: str | None = None, value: str = VALUE) -> DataFrame:
+def yearly_distribution(df: DataFrame, variable: str | None = None, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """mean, min, max per (variable, year), ordered by year."""
-    data = df if variable is None else df.where(F.col(VARIABLE) == variable)
+    value = value or cols.value
+    data = df if variable is None else df.where(F.col(cols.variable) == variable)
     v = F.col(value)
-    return (data.where(v.isNotNull()).groupBy(VARIABLE, YEAR)
+    return (data.where(v.isNotNull()).groupBy(cols.variable, cols.year)
             .agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
-            .orderBy(VARIABLE, YEAR))
+            .orderBy(cols.variable, cols.year))
 
 
-def geo_deltas(df: DataFrame, variable: str, value: str = VALUE) -> DataFrame:
+def geo_deltas(df: DataFrame, variable: str, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """Change per geography: value at its last period minus value at its
     first (0.0 for a single period); equal periods order by value."""
+    value = value or cols.value
     v = F.col(value)
-    order = F.struct(F.col(YEAR), v)
-    return (df.where((F.col(VARIABLE) == variable) & v.isNotNull() & F.col(YEAR).isNotNull())
-            .groupBy(GEO)
+    order = F.struct(F.col(cols.year), v)
+    return (df.where((F.col(cols.variable) == variable) & v.isNotNull() & F.col(cols.year).isNotNull())
+            .groupBy(cols.geo)
             .agg((F.max_by(v, order) - F.min_by(v, order)).alias("delta"),
                  F.count(v).alias("n_periods")))
 
 
-def geo_delta_topn(df: DataFrame, variable: str, n: int = 10, value: str = VALUE) -> DataFrame:
+def geo_delta_topn(df: DataFrame, variable: str, n: int = 10, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """Top ``n`` geographies by |change| (ties by geo_id): a bounded
     TakeOrderedAndProject, never a full sort."""
-    d = geo_deltas(df, variable, value)
-    return d.orderBy(F.abs("delta").desc(), F.col(GEO).asc()).limit(n)
+    value = value or cols.value
+    d = geo_deltas(df, variable, value, cols)
+    return d.orderBy(F.abs("delta").desc(), F.col(cols.geo).asc()).limit(n)
 
 
-def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataFrame | None = None,
-             accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
+def describe(df: DataFrame, keys=None, value: str | None = None, records: DataFrame | None = None,
+             accuracy: int = DEFAULT_ACCURACY, approximate: bool = False, cols: PanelColumns = PANEL) -> DataFrame:
     """pandas-style describe per group: count, mean, sample std, min,
     25/50/75 % (linear interpolation), max, missing, zeros, distinct.
 
@@ -62,7 +67,8 @@ def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataF
     ``approximate=True`` trades exactness for one pass: ``percentile_approx``
     quartiles and ``approx_count_distinct``.
     """
-    keys = list(keys)
+    value = value or cols.value
+    keys = list((cols.variable,) if keys is None else keys)
     v = F.col(value)
     base = df.groupBy(*keys).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
@@ -77,12 +83,12 @@ def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataF
     else:
         q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], accuracy)
     rec = records if records is not None else df
-    other = [k for k in keys if k != VARIABLE]
+    other = [k for k in keys if k != cols.variable]
     if other:
-        n_rec = rec.select(*other, GEO).distinct().groupBy(*other).agg(F.count(F.lit(1)).alias("_records"))
+        n_rec = rec.select(*other, cols.geo).distinct().groupBy(*other).agg(F.count(F.lit(1)).alias("_records"))
         out = join_on(join_on(base, q.drop("n") if "n" in q.columns else q, keys, "left"), n_rec, other, "left")
     else:
-        n_rec_value = rec.select(GEO, YEAR).distinct().count()
+        n_rec_value = rec.select(cols.geo, cols.year).distinct().count()
         out = (join_on(base, q.drop("n") if "n" in q.columns else q, keys, "left")
                .withColumn("_records", F.lit(n_rec_value)))
     missing = F.col("_nulls") + (F.col("_records") - F.col("count") - F.col("_nulls"))
@@ -91,23 +97,24 @@ def describe(df: DataFrame, keys=(VARIABLE,), value: str = VALUE, records: DataF
                       "distinct")
 
 
-def describe_per_year(df: DataFrame, value: str = VALUE, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def describe_per_year(df: DataFrame, value: str | None = None, accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
     """``describe`` per (year, variable)."""
-    return describe(df, (YEAR, VARIABLE), value, accuracy=accuracy)
+    value = value or cols.value
+    return describe(df, (cols.year, cols.variable), value, accuracy=accuracy, cols=cols)
 
 
-def year_counts(df: DataFrame) -> DataFrame:
+def year_counts(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Records per period (distinct geographies per year)."""
-    return df.groupBy(YEAR).agg(F.count_distinct(GEO).alias("n_geos"))
+    return df.groupBy(cols.year).agg(F.count_distinct(cols.geo).alias("n_geos"))
 
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "missing", "zeros", "distinct")
 
 
-def describe_wide(per_year: DataFrame, years) -> DataFrame:
+def describe_wide(per_year: DataFrame, years, cols: PanelColumns = PANEL) -> DataFrame:
     """The per-year description laid out as rows (variable, stat) and one
     column per year (the explicit ``years`` list avoids a distinct job)."""
-    long = per_year.select(YEAR, VARIABLE, *[F.col(c).cast("double").alias(c) for c in DESCRIBE_STATS])
-    stacked = long.unpivot([YEAR, VARIABLE], list(DESCRIBE_STATS), "stat", "v")
-    return (stacked.groupBy(VARIABLE, "stat").pivot(YEAR, [int(y) for y in years]).agg(F.first("v"))
-            .orderBy(VARIABLE, "stat"))
+    long = per_year.select(cols.year, cols.variable, *[F.col(c).cast("double").alias(c) for c in DESCRIBE_STATS])
+    stacked = long.unpivot([cols.year, cols.variable], list(DESCRIBE_STATS), "stat", "v")
+    return (stacked.groupBy(cols.variable, "stat").pivot(cols.year, [int(y) for y in years]).agg(F.first("v"))
+            .orderBy(cols.variable, "stat"))

@@ -187,6 +187,20 @@ def q_describe_per_year(spark, sf):
     return _round_all(SS.describe_per_year(T.line_panel(spark, sf)), _DESC_COLS)
 
 
+_YEARS = range(1992, 1999)  # of lineitem's ship dates
+
+
+@query("describe_wide", f"""
+SELECT variable, stat, {", ".join(f'max(v) FILTER (year = {y}) AS "{y}"' for y in _YEARS)}
+FROM (SELECT variable, year, unnest([{", ".join(f"'{s}'" for s in SS.DESCRIBE_STATS)}]) AS stat,
+        unnest([{", ".join(f'CAST("{s}" AS DOUBLE)' for s in SS.DESCRIBE_STATS)}]) AS v
+      FROM ({_describe_sql(Q.LINE_PANEL, "year, variable", f"SELECT count(DISTINCT geo_id) FROM ({Q.LINE_PANEL}) r WHERE r.year = p.year")}))
+GROUP BY variable, stat""")
+def q_describe_wide(spark, sf):
+    per_year = _round_all(SS.describe_per_year(T.line_panel(spark, sf)), _DESC_COLS)
+    return SS.describe_wide(per_year, _YEARS)
+
+
 @query("year_counts", f"""
 SELECT year, count(DISTINCT geo_id) AS n_geos FROM ({Q.CUSTOMER_PANEL}) GROUP BY year""")
 def q_year_counts(spark, sf):

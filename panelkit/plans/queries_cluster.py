@@ -41,6 +41,15 @@ def q_feature_matrix(spark, sf):
     return m.select("geo_id", "year", vector_to_array("features").alias("features"))
 
 
+@query("feature_columns", f"""SELECT geo_id, year, [{", ".join(f"coalesce({f}, 0.0)" for f in T.SUPPLIER_FEATURES)}] AS features
+FROM ({Q.SUPPLIER_WIDE})""")
+def q_feature_columns(spark, sf):
+    """The matrix of all columns that are not static ones (no list given)."""
+    from pyspark.ml.functions import vector_to_array
+    m = RD.feature_matrix(T.supplier_year_wide(spark, sf))
+    return m.select("geo_id", "year", vector_to_array("features").alias("features"))
+
+
 @query("pca_scores", None)
 def q_pca_scores(spark, sf):
     return _round_all(_pca(spark, sf).drop("pca"), {f"pc{i + 1}" for i in range(PCA_K)})
@@ -88,6 +97,47 @@ def q_assign_fixed_centroids(spark, sf):
     return _round_all(out, {"dist2"})
 
 
+def _lloyd_sql(k: int) -> str:
+    """Centres from the first k vectors, moved until they stand still, as a one-row CTE ``fit``; points ``p``."""
+    d2 = "list_transform(r.centres, lambda c: list_sum(list_transform(list_zip(p.e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    return f"""RECURSIVE p AS MATERIALIZED ({_P}),
+r(round, centres, moved) AS (
+  SELECT 0, (SELECT list(e ORDER BY vec_id) FROM (SELECT vec_id, e FROM p ORDER BY vec_id LIMIT {k})), 1.0::DOUBLE
+  UNION ALL
+  SELECT round + 1, now, list_max(list_transform(list_zip(flatten(was), flatten(now)), lambda z: abs(z[1] - z[2])))
+  FROM (SELECT round, any_value(centres) AS was, list(coalesce(m, centres[s]) ORDER BY s) AS now FROM (
+    SELECT r.round, r.centres, s.s, (SELECT list(v ORDER BY i) FROM (
+        SELECT i, avg(v) AS v FROM (SELECT generate_subscripts(e, 1) AS i, unnest(e) AS v FROM (
+          SELECT p.e, list_position(ds, list_min(ds)) AS c FROM (SELECT p.e, {d2} AS ds FROM p, r) p) WHERE c = s.s) GROUP BY i)) AS m
+    FROM r, (SELECT unnest(range(1, {k + 1})) AS s) s WHERE r.moved > 1e-9) GROUP BY round)),
+fit AS (SELECT centres FROM r ORDER BY round DESC LIMIT 1),
+got AS (SELECT vec_id, list_position(ds, list_min(ds)) - 1 AS cluster, list_min(ds) AS dist2
+        FROM (SELECT p.vec_id, {d2} AS ds FROM p, fit r))"""
+
+
+def _first_vectors(spark, sf, k):
+    rows = T.vectors(spark, sf).orderBy("vec_id").limit(k).collect()
+    return [r["embedding"] for r in rows]
+
+
+@query("cluster_kmeans", f"""WITH {_lloyd_sql(KMEANS_K)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, {Q.r6('dist2')} AS dist2 FROM got""")
+def q_cluster_kmeans(spark, sf):
+    """KMeans from given start centres to the end (the fits from random starts have no SQL form)."""
+    out = KM.cluster_from(T.vectors(spark, sf), _first_vectors(spark, sf, KMEANS_K), "embedding", keep=("vec_id",))
+    return _round_all(out, {"dist2"})
+
+
+ELBOW_KS = range(2, 11)
+
+
+@query("elbow_from_starts", " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_lloyd_sql(k)} SELECT {k} AS k, {Q.r6('sum(dist2)')} AS inertia FROM got)" for k in ELBOW_KS))
+def q_elbow_from_starts(spark, sf):
+    out = KM.elbow_from(T.vectors(spark, sf), _first_vectors(spark, sf, max(ELBOW_KS)), ELBOW_KS, "embedding")
+    return _round_all(out, {"inertia"})
+
+
 _SIL = f"""WITH p AS ({_P}),
 cnt AS (SELECT label, count(*) AS n FROM p GROUP BY label),
 d AS (SELECT a.vec_id, a.label AS la, b.label AS lb,

@@ -138,6 +138,17 @@ def q_panel_parquet_roundtrip(spark, sf):
     return _round_all(storage.load_panel_parquet(spark, path), {VALUE})
 
 
+@query("load_features", f"""SELECT geo_id, year, {", ".join(f"{Q.r6(f)} AS {f}" for f in T.SUPPLIER_FEATURES)} FROM ({Q.SUPPLIER_WIDE})
+UNION ALL SELECT NULL, CAST(range AS INTEGER), {", ".join("NULL" for _ in T.SUPPLIER_FEATURES)} FROM range(1990, 2001)
+WHERE range NOT IN (SELECT year FROM ({Q.SUPPLIER_WIDE}))""")
+def q_load_features(spark, sf):
+    """Reloaded records, and a row without geography for every expected year that is absent."""
+    path = scratch_path(spark, "features")
+    storage.save_panel_json(T.supplier_year_panel(spark, sf), path)
+    records, _years, missing = storage.load_features(spark, path, expected=(1990, 2000))
+    return _round_all(records.unionByName(missing, allowMissingColumns=True), set(T.SUPPLIER_FEATURES))
+
+
 @query("summary_csv_roundtrip", f"""
 SELECT variable, count(value) AS count, {Q.r6('avg(value)')} AS mean, {Q.r6('stddev_pop(value)')} AS std,
   {Q.r6('min(value)')} AS min, {Q.r6('max(value)')} AS max

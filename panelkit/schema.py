@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -11,6 +13,18 @@ YEAR = "year"
 VARIABLE = "variable"
 VALUE = "value"
 
+
+class PanelColumns(NamedTuple):
+    """Names of a long panel's columns, for tables that call them otherwise."""
+
+    geo: str = GEO
+    year: str = YEAR
+    variable: str = VARIABLE
+    value: str = VALUE
+
+
+PANEL = PanelColumns()
+
 # Columns that describe a geography / period rather than a measure.  The union
 # of every static list the original layouts use (forecasting names included).
 STATIC_COLS = ("unique_id", "ds", "y", "year", "geo_id", "GEO_ID", "NAME", "name",

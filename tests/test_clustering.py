@@ -118,3 +118,21 @@ def test_cell_dbscan_refinement(spark, vec, dims, eps, ms, limit):
     pts = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).alias("x"))
     got = {r.id: r.cluster for r in dbscan_cells(pts, eps, ms, brute_limit=limit).collect()}
     assert [got[i] for i in ids] == list(_np_dbscan(X[:, :dims], eps, ms))
+
+
+def test_kmeans_from_starts_ends_at_a_fixed_point(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(m, 0.3, (40, 3)) for m in (0.0, 3.0, 9.0)])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id INT, x ARRAY<DOUBLE>")
+    starts = [list(map(float, x[i])) for i in (0, 41, 81)] + [[1e6] * 3]  # the last never gets a point
+    centres = np.array(KM.kmeans_from(df, starts, "x"))
+    near = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+    for c in range(3):
+        assert np.allclose(centres[c], x[near == c].mean(0))
+    assert np.array_equal(centres[3], [1e6] * 3)
+    got = {r["id"]: r["cluster"] for r in KM.cluster_from(df, starts, "x", keep=("id",)).collect()}
+    assert got == dict(enumerate(near))
+    assert KM.kmeans_from(df.limit(0), starts, "x") == starts
+    curve = {r["k"]: r["inertia"] for r in KM.elbow_from(df, starts, (1, 2, 3), "x").collect()}
+    assert np.isclose(curve[3], ((x - centres[near]) ** 2).sum()) and curve[1] > curve[2] > curve[3]

@@ -1,7 +1,9 @@
 """Run length, coverage, merge, pivot (FIXTURES §2 and properties)."""
 
-
 from panelkit.operators import panel as PN
+from panelkit.operators import standardize as ST
+from panelkit.operators import stats as SS
+from panelkit.schema import PanelColumns
 
 
 def _long(spark, rows):
@@ -47,3 +49,26 @@ def test_ratio_feature_null_on_zero(spark):
     df = _long(spark, [("a", 1, "n", 6.0), ("a", 1, "d", 3.0), ("b", 1, "n", 1.0), ("b", 1, "d", 0.0)])
     got = {r.geo_id: r.value for r in PN.ratio_feature(df, ["n"], "d", "r").collect()}
     assert got == {"a": 2.0, "b": None}
+
+
+def test_other_column_names(spark):
+    """Every panel, statistics and standardize operator takes the table's own column names."""
+    rows = [(f"g{i % 7}", 2010 + i % 4, f"v{i % 2}", float(i * i % 23)) for i in range(56)]
+    own = _long(spark, rows)
+    cols = PanelColumns("store", "week", "measure", "amount")
+    other = own.toDF(*cols)
+    calls = [
+        (PN.years_per_geo, ()), (PN.longest_run, ()), (PN.consecutive_year_filter, ()), (PN.missing_years, (2008, 2015)),
+        (PN.extract_features, (["v0"],)), (PN.feature_filter, (["v1"],)), (PN.feature_record, (["v0", "v1"],)),
+        (PN.ratio_feature, (["v0"], "v1", "r")), (SS.summary_stats, ()), (SS.yearly_distribution, ()),
+        (SS.geo_delta_topn, ("v0", 3)), (SS.describe_per_year, ()), (SS.year_counts, ()),
+        (ST.year_feature_moments, ()), (ST.quantile_clip, ())]
+    for fn, args in calls:
+        a, b = fn(own, *args), fn(other, *args, cols=cols)
+        swap = dict(zip(PanelColumns(), cols, strict=True))
+        assert [swap.get(c, c) for c in a.columns] == b.columns, fn.__name__
+        assert sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.collect()))), fn.__name__
+    scored, scored2 = ST.standardize_per_year(own), ST.standardize_per_year(other, cols=cols)
+    for fn, args in ((ST.standardize_wide, (["v0", "v1"],)), (ST.zscore_outliers, ("v0",))):
+        a, b = fn(scored, *args).collect(), fn(scored2, *args, cols=cols).collect()
+        assert sorted(map(repr, map(tuple, a))) == sorted(map(repr, map(tuple, b))), fn.__name__
