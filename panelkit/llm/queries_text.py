@@ -162,5 +162,7 @@ FROM b LEFT JOIN kept ON b.doc_id = kept.doc_id
 
 @register("op4_suffix_dedup", OP4_SQL)
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that 50-byte strings of smaller documents cover."""
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    """Bytes of every document that 50-byte strings of smaller documents cover; counts and digest of the spans
+    and of the bytes left."""
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -12,7 +12,7 @@ single order over 100 TB cannot be one task, so the collection is dealt out firs
    anchor's bucket.  There equal strings are combined once more.  An anchor with one string left is settled
    by that: its windows occur nowhere else.  All other strings form the bucket's collection; its order groups
    equal windows (runs of common prefixes of 50 or more), and each group gets its smallest owner.
-4. The answers go back to the chunks, which cut the covered bytes.
+4. The answers go back to the chunks, which cut the covered bytes and return the cut ranges and what is left.
 
 A bucket holds a hash-dealt share of the distinct strings and its size does not grow with the corpus (the
 number of buckets does); copies are combined before every shuffle.  An anchor in more than ``HOT`` chunks
@@ -27,7 +27,6 @@ table gives an empty result; texts are taken whole (a document lies in one chunk
 from __future__ import annotations
 
 import contextlib
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,7 @@ PRINT_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20  # text bytes per bucket of anchor
 HOT = 4096
 _LOW = np.uint64((1 << 40) - 1)
 _WEIGHTS = np.random.default_rng(50).integers(0, 2**64, (2, 2 * WINDOW), dtype=np.uint64)
-_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = "id long, n_bytes long, spans array<struct<start: long, `end`: long>>, kept binary"
 
 
 def _pack(raw: bytes) -> bytes:
@@ -301,24 +300,27 @@ def _apply(buckets: int):
                     np.add.at(covered, where, 1)
                     np.add.at(covered, where + WINDOW, -1)
                 mask = np.cumsum(covered[:-1]) > 0
-                out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-                begin = 0
-                for i, known, end in zip(c.ids.tolist(), c.known.tolist(), c.ends.tolist(), strict=True):
+                edges, kept, begin = [], [], 0
+                for end in c.ends.tolist():
                     m, d = mask[begin:end], c.data[begin:end]
-                    k = int(np.count_nonzero(m))
-                    out["id"].append(i if known else None)
-                    out["n_bytes"].append(end - begin)
-                    out["n_removed"].append(k)
-                    out["n_spans"].append(int(np.count_nonzero(m[1:] & ~m[:-1])) + int(m[0]) if k else 0)
-                    out["kept_sha256"].append(hashlib.sha256((d[~m] if k else d).tobytes()).hexdigest())
+                    edge = np.flatnonzero(np.diff(m, prepend=False, append=False))  # where ranges start and end, in turn
+                    edges.append(edge)
+                    kept.append((d[~m] if len(edge) else d).tobytes())
                     begin = end
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                    [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+                flat = np.concatenate(edges).astype(np.int64)
+                offsets = np.cumsum([0, *(len(x) // 2 for x in edges)], dtype=np.int32)
+                spans = pa.StructArray.from_arrays([pa.array(flat[::2]), pa.array(flat[1::2])], names=["start", "end"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.ids, pa.int64(), mask=~c.known), pa.array(np.diff(c.ends, prepend=0), pa.int64()),
+                     pa.ListArray.from_arrays(offsets, spans), pa.array(kept, pa.binary())],
+                    names=["id", "n_bytes", "spans", "kept"])
     return run
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    """One row per input row: id, ``n_bytes``, ``spans`` (the removed byte ranges, ascending, ends exclusive) and
+    ``kept`` (the bytes left; a cut may fall inside a character).  ``n_removed``, ``n_spans`` and ``kept_sha256``
+    are expressions on these, computed only where they are read."""
     spark = docs.sparkSession
     small_batches(spark)
     chunks = stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
@@ -335,4 +337,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       .groupBy("bucket").applyInArrow(_owners_of_windows, "chunk long, bucket int, owners binary"), "owners")
         back = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "owners")).alias("found"))
         out = stage(asked.join(back, "chunk", "left").mapInArrow(_apply(buckets), _RESULT), "substrings")
-    return out.withColumnRenamed("id", id_col)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return (out.withColumn("n_removed", removed).withColumn("n_spans", F.size("spans").cast("long"))
+            .withColumn("kept_sha256", F.sha2("kept", 256)).withColumnRenamed("id", id_col))

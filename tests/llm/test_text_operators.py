@@ -214,6 +214,23 @@ def test_substrings_odd(odd, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substrings_returns_spans_and_kept_bytes(spark):
+    """The real outputs: byte ranges and what is left, also between neighbours in a chunk and inside characters."""
+    a, b = "0123456789" * 6, "é" * 40
+    docs = {1: a + "|" + b, 2: b + " own " + a, 3: a, 4: a + "tail", 5: "x" + b, 6: "", 7: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(df).collect()}
+    want = brute_substrings({d: (t or "").encode() for d, t in docs.items()})
+    for d, t in docs.items():
+        raw, at, left = (t or "").encode(), 0, b""
+        for x in got[d].spans:
+            assert at <= x.start < x.end <= len(raw)
+            left, at = left + raw[at:x.start], x.end
+        assert bytes(got[d].kept) == left + raw[at:]
+        assert hashlib.sha256(bytes(got[d].kept)).hexdigest() == want[d][3] and len(got[d].spans) == want[d][2]
+    assert [tuple(x) for x in got[2].spans] == [(0, 80), (85, 145)] and bytes(got[4].kept) == b"tail" and got[1].spans == []
+
+
 def test_collection_order(monkeypatch):
     rnd = random.Random(1)
     monkeypatch.setattr(collection_bwt, "_LONG", 4)
