@@ -9,9 +9,9 @@ single order over 100 TB cannot be one task, so the collection is dealt out firs
    chunk sends its distinct anchor hashes (40 bits, the rest is in the address) to the hash's bucket, which
    answers which of them occur in more than one document.  Wrong matches only cost work.
 3. The segments under such anchors go, distinct within their chunk and with the smallest owner, to the
-   anchor's bucket.  There equal strings are combined once more.  An anchor with one string left is settled
-   by that: its windows occur nowhere else.  All other strings form the bucket's collection; its order groups
-   equal windows (runs of common prefixes of 50 or more), and each group gets its smallest owner.
+   anchor's bucket.  There equal strings are combined once more, and all distinct strings form the bucket's
+   collection; its order groups equal windows (runs of common prefixes of 50 or more), and each group gets its
+   smallest owner.
 4. The answers go back to the chunks, which cut the covered bytes and return the cut ranges and what is left.
 
 A bucket holds a hash-dealt share of the distinct strings and its size does not grow with the corpus (the
@@ -263,17 +263,7 @@ def _owners_of_windows(t: pa.Table) -> pa.Table:
             mine.append(k)
         rows.append((r["chunk"], r["bucket"], mine))
     strings, owners = list(number), np.array(least, np.int64)
-    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - WINDOW + 1
-    # strings by anchor: an anchor with a single string has no other place for its windows
-    ends = np.cumsum(windows + WINDOW - 1)
-    _, _, anchor, of = segments(np.frombuffer(b"".join(strings), np.uint8), ends)
-    own = np.zeros(len(strings), np.uint64)
-    own[of] = anchor
-    _, group, times = np.unique(own, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(times[group] > 1)
-    answer: list[np.ndarray] = [np.full(n, o) for n, o in zip(windows, owners, strict=True)]
-    for k, found in zip(several, first_owner([strings[k] for k in several], owners[several], WINDOW), strict=True):
-        answer[k] = found
+    answer = first_owner(strings, owners, WINDOW)
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
                      "owners": pa.array([_pack(np.concatenate([answer[k] for k in r[2]]).astype(np.int64).tobytes()) for r in rows], pa.binary())})
 

@@ -231,6 +231,21 @@ def test_substrings_returns_spans_and_kept_bytes(spark):
     assert [tuple(x) for x in got[2].spans] == [(0, 80), (85, 145)] and bytes(got[4].kept) == b"tail" and got[1].spans == []
 
 
+def test_all_strings_of_a_bucket_are_ordered(monkeypatch):
+    """Strings that are alone under their anchor go through the construction as the others do."""
+    import pyarrow as pa
+    seen = []
+    monkeypatch.setattr(substring_dedup, "first_owner", lambda s, o, k: seen.extend(s) or collection_bwt.first_owner(s, o, k))
+    rnd = random.Random(12)
+    strings = [bytes(rnd.choice(b"abcdefgh") for _ in range(50 + i % 3)) for i in range(20)]
+    row = lambda chunk, own: {"chunk": chunk, "bucket": 0, "text": substring_dedup._pack(b"".join(strings)),
+                              "windows": bytes(len(s) - 49 for s in strings), "owners": substring_dedup._pack(np.array(own, np.int64).tobytes())}
+    out = substring_dedup._owners_of_windows(pa.Table.from_pylist([row(1, range(20)), row(2, range(19, -1, -1))]))
+    assert sorted(seen) == sorted(strings)
+    want = [min(i, 19 - i) for i, s in enumerate(strings) for _ in range(len(s) - 49)]
+    assert [np.frombuffer(substring_dedup._unpack(x), np.int64).tolist() for x in out["owners"].to_pylist()] == [want, want]
+
+
 def test_collection_order(monkeypatch):
     rnd = random.Random(1)
     monkeypatch.setattr(collection_bwt, "_LONG", 4)
