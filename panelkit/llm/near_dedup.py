@@ -16,10 +16,10 @@ Links are confirmed on full sets, never on signatures:
 3. Buckets that still hold different components are checked exactly, in blocks: classes that such buckets
    connect form a cluster, cut into blocks of ``BLOCK``; a task takes two blocks, counts all intersections
    by one matrix product, and returns only links that join two components.  No pair becomes a row, and a
-   class is sent once per block of its cluster.  Clusters of more than ``CLUSTER`` classes are checked bucket
-   by bucket instead: each class outside a bucket's largest component against the members of other
-   components, as pairs.  Either way no candidate pair between two components is left unchecked, so no link
-   between different texts is lost.
+   class is sent once per block of its cluster.  Clusters of more than ``CLUSTER`` classes are cut by bucket
+   and the buckets blocked: a bucket's largest component stands last in its order, and two blocks wholly of
+   that component are passed over.  Either way no candidate pair between two components is left unchecked, so
+   no link between different texts is lost.
 
 Buckets are never collected: every step is a partial aggregate or a join dealt by (band, value) whose hot
 keys Spark can split, and sets travel only for classes that are candidates.
@@ -35,11 +35,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import broadcast_if_small, cut, map_columns, small_batches, stage
 from panelkit.operators.dbscan import connected_components
+from panelkit.operators.ranking import with_global_index
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 PERMUTATIONS, PER_BAND = 64, 2
@@ -186,14 +187,36 @@ def _joining_links(percent: int):
     return run
 
 
-def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within each cluster; ``mixed`` has cluster, rep, comp, n (one row a class)."""
-    kind = mixed.schema["rep"].dataType.simpleString()
-    by_size = Window.partitionBy("cluster").orderBy("n", "rep")  # at most CLUSTER rows
-    blocked = (mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-               .withColumn("blocks", F.max("block").over(Window.partitionBy("cluster"))))
+def _block(at: Column) -> Column:
+    return F.floor(at / BLOCK).cast("int")
+
+
+def cluster_blocks(mixed: DataFrame) -> DataFrame:
+    """Blocks of whole clusters; ``mixed`` has cluster, m (its classes, at most CLUSTER), rep, comp, n."""
+    by_size = Window.partitionBy("cluster").orderBy("n", "rep")
+    last = _block(F.col("m") - 1)
+    return mixed.select("cluster", "rep", "comp", _block(F.row_number().over(by_size) - 1).alias("block"),
+                        last.alias("last"), last.alias("reach"))
+
+
+def bucket_blocks(mixed: DataFrame) -> DataFrame:
+    """Blocks of single buckets of any size, numbered by a range-partitioned sort; ``mixed`` has band, value,
+    rep, comp, n and top, the bucket's largest component."""
+    mixed = mixed.withColumn("is_top", F.col("comp") == F.col("top"))
+    sizes = mixed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_top")).alias("others"))
+    placed = with_global_index(mixed, ["band", "value", "is_top", "n", "rep"], "at", ["band", "value"])
+    return (placed.join(cut(sizes), ["band", "value"])
+            .select(F.struct("band", "value").alias("cluster"), "rep", "comp", _block(F.col("at")).alias("block"),
+                    _block(F.col("m") - 1).alias("last"), _block(F.col("others") - 1).alias("reach")))
+
+
+def block_links(blocked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within each cluster; ``blocked`` has cluster, rep, comp, block, the cluster's
+    last block and ``reach``: two blocks after that one need no check."""
+    kind = blocked.schema["rep"].dataType.simpleString()
+    others = F.sequence(F.lit(0), F.when(F.col("block") <= F.col("reach"), F.col("last")).otherwise(F.col("reach")))
     dealt = (blocked.join(sets.withColumnRenamed("doc", "rep"), "rep")
-             .select("cluster", "block", "rep", "comp", "words", F.explode(F.sequence(F.lit(0), "blocks")).alias("other"))
+             .select("cluster", "block", "rep", "comp", "words", F.explode(others).alias("other"))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other"))
     return dealt.groupBy("cluster", "i", "j").applyInArrow(_joining_links(percent), f"a {kind}, b {kind}")
 
@@ -268,14 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = cut(named.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
     small = named.join(sizes.where(F.col("m") <= CLUSTER), "cluster")
     if not small.isEmpty():
-        join_up(stage(block_links(small, sets, percent), "block-links"))
+        join_up(stage(block_links(cluster_blocks(small), sets, percent), "block-links"))
     large = sizes.where(F.col("m") > CLUSTER)
     if not large.isEmpty():
-        rest = left.join(named.join(large, "cluster").select("rep"), "rep", "left_semi")
-        minority = rest.where("comp <> top").select("band", "value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        others = rest.select("band", "value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        add(minority.join(others, ["band", "value"])
-            .where("cx <> cy AND 100 * least(nx, ny) >= " + str(int(percent)) + " * greatest(nx, ny)").select(*ordered("x", "nx", "y", "ny")))
+        rest = left.join(named.join(large, "cluster").select("rep"), "rep", "left_semi").select("band", "value", "rep", "comp", "n", "top")
+        join_up(stage(block_links(bucket_blocks(rest), sets, percent), "bucket-links"))
 
     named = classes.select("key", F.col("rep").alias("id")).join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     return (rows.join(named, "key", "left")

@@ -162,6 +162,20 @@ def test_near_duplicates(spark, monkeypatch, block, cluster):
     assert got == brute_near(docs)
 
 
+def test_large_clusters_are_checked_in_blocks(spark, monkeypatch):
+    """A shared passage puts unlinked texts and a linked group in one bucket: no pair rows after the hubs."""
+    calls, plain = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "CLUSTER", 3)
+    monkeypatch.setattr(near_dedup, "confirmed", lambda *a: calls.append(1) or plain(*a))
+    common = [f"c{i}" for i in range(90)]
+    docs = {i: " ".join(common + [f"u{i if i < 24 else 12 + i // 2}x{j}" for j in range(30)] + [f"v{i}"]) for i in range(36)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_near(docs) and len({c for _, c in got.values()}) == 30
+    assert len(calls) <= near_dedup.HUB_ROUNDS
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dedup.near_duplicates(odd)
     assert ids(got) == ids(odd)
