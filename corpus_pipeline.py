@@ -51,7 +51,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go: exact windows of ten words only.  The proximity search is
+    off here, so an item copied with a word changed in every ten passes."""
     return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark"), near=False).where("n_hit > 0"))
 
 
