@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelkit.llm import queries_model, queries_text, queries_web
+from panelkit.llm import queries_model, queries_text, queries_vectors, queries_web
 
 
 def text_queries() -> dict:
-    return {**queries_text.REGISTRY, **queries_model.REGISTRY, **queries_web.REGISTRY}
+    return {**queries_text.REGISTRY, **queries_model.REGISTRY, **queries_web.REGISTRY, **queries_vectors.REGISTRY}
