@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelkit.llm.common import table
 from panelkit.llm.packing import pack
+from panelkit.llm.whitening import whiten
 
 REGISTRY: dict = {}
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector, with the exact deviation and the measured identity error
+    (eigenvectors have no SQL form; tested against NumPy)."""
+    rows, model = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*map(F.lit, model.explained.tolist())) if len(model.eigenvalues) else F.lit([]).cast("array<double>")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        explained[F.col("at")].alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+REGISTRY["op11_embedding_whitening"] = (op11_embedding_whitening, None)
+
+
 def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 2048 tokens (tokens have no SQL form; tested against
     the tokenizer library and by unpacking)."""
