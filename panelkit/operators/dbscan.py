@@ -1,42 +1,72 @@
-"""DBSCAN as DataFrame jobs: neighbour pairs, connected components, and the
-pair-based formulation.  ``dbscan`` itself runs the clique-cell algorithm of
-``dbscan_cells`` (no pairs inside dense regions); the steps below are its
-building blocks and the direct variant ``dbscan_pairs``.
-
-1. Neighbour pairs: ``box_join.near_pairs`` splits the points on all
-   coordinates and drops pairs of nodes farther apart than eps; a pair is kept
-   when its exact distance is <= eps.
-2. Core points: at least ``min_samples`` points (itself included) within eps.
-3. Clusters: connected components of the core-core pairs, by min-label
-   propagation with pointer jumping; each round's labels are checkpointed to
-   the shared checkpoint folder (lineage cut, survives executor loss).
-4. Cluster numbers follow the smallest core id of each component (0, 1, ...),
-   a border point takes the smallest cluster among its core neighbours,
-   everything else is noise (-1).  For ids in row order this is exactly the
+"""DBSCAN by spatial partitioning, for one or many (eps, min_samples) settings at a time.
+
+1. Points with the same coordinates are one weighted point; points are numbered in the order of their ids.
+2. ``spatial.blocks`` partitions them once for all radii of the settings: halo points are sent to the groups whose
+   box they can reach, node pairs wholly within a radius are settled in bulk, and all others are compared inside
+   groups of two bounded blocks.
+3. One neighbour pass counts every point's neighbours within every radius; core points follow for every setting.
+4. One link pass returns, per group and setting, a forest of the group's core-core links (never its pairs) and one
+   core neighbour per border point and local component.
+5. The forests are merged by connected components on (point, setting), all settings in the same rounds.
+6. Cluster numbers follow the smallest core id of each component (0, 1, ...), a border point takes the smallest
+   cluster among its core neighbours, everything else is noise (-1).  For ids in row order this is exactly the
    labelling of the sequential algorithm.
+
+Rows with a null id are left out; rows whose vector is null, empty, of another length than the longest, or holds a
+null or NaN are noise.  ``dbscan_pairs`` is the direct formulation on explicit pairs, ``dbscan_cells`` the clique-cell
+variant.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.box_join import near_pairs, sum_of
+from panelkit.operators import spatial
+from panelkit.operators.common import materialise
 from panelkit.operators.ranking import with_global_index
 from panelkit.session import ensure_checkpoint_dir
 
+SALTS = 8
+# A distinct vector that more rows share is joined back by broadcast (n / HEAVY_SHARE bounds their number).
+HEAVY_SHARE = 10_000
+
+
+def _sound(points: DataFrame, id_col: str, coords: str) -> tuple[DataFrame, int]:
+    """``id, x`` of the points that can have neighbours, and their number of coordinates."""
+    pts = points.select(F.col(id_col).alias("id"), F.col(coords).cast("array<double>").alias("x"))
+    d = int(pts.select(F.max(F.size("x"))).first()[0] or 0)
+    return pts.where(F.col("id").isNotNull() & (F.size("x") == d) & (F.size("x") > 0)
+                     & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))), d
+
 
 def eps_neighbours(points: DataFrame, eps: float, id_col: str = "id", coords: str = "x") -> DataFrame:
     """Pairs ``(a, b, d2)`` with a < b and squared distance <= eps^2, over all coordinates."""
-    pts = points.select(F.col(id_col).alias("key"), F.col(coords).cast("array<double>").alias("x"))
-    d = int(pts.select(F.max(F.size("x"))).first()[0] or 0)
-    # box distances are summed in another form than d2: a little slack, then the exact test
-    near = near_pairs(pts.select("key", F.col("x").alias("lo"), F.col("x").alias("hi")), float(eps) ** 2 * (1 + 1e-9), d)
-    d2 = sum_of(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)))
-    return (near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-            .join(pts.select(F.col("key").alias("a"), F.col("x").alias("xa")), "a")
-            .join(pts.select(F.col("key").alias("b"), F.col("x").alias("xb")), "b")
-            .select("a", "b", d2.alias("d2")).where(F.col("d2") <= F.lit(float(eps) * float(eps))))
+    pts, d = _sound(points, id_col, coords)
+    numbered = with_global_index(pts, ["id"], "idx")  # stored
+    n = numbered.count()
+    if n == 0:
+        return pts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2"))
+    made = spatial.blocks(numbered.select("idx", F.lit(1).cast("long").alias("w"), "x"), n, d, [float(eps)], materialise)
+    if made.bulk:  # pairs are asked for one by one, so nothing is settled in bulk
+        made = made.opened()
+    limit = float(eps) * float(eps)
+
+    def find(left, right, d2):
+        i, j = np.nonzero(d2 <= limit)
+        a, b = left.column("idx").to_numpy()[i], right.column("idx").to_numpy()[j]
+        keep = a < b if left is right else a >= 0
+        a, b, near = a[keep], b[keep], d2[i, j][keep]
+        return pa.table({"ia": np.minimum(a, b), "ib": np.maximum(a, b), "d2": near})
+
+    pairs = made.by_group(made.points, find, "ia long, ib long, d2 double")
+    ids = numbered.select("idx", "id")
+    return (pairs.join(ids.select(F.col("idx").alias("ia"), F.col("id").alias("a")), "ia")
+            .join(ids.select(F.col("idx").alias("ib"), F.col("id").alias("b")), "ib").select("a", "b", "d2"))
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -64,9 +94,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         hooked = (labels.join(offers, "id", "left")
                   .select("id", F.col("comp").alias("_old"),
                           F.least("comp", F.coalesce("_m", "comp")).alias("comp")))
-        parent = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("_pc"))
-        jumped = (hooked.join(parent, "comp", "left")
-                  .select("id", "_old", F.least("comp", F.coalesce("_pc", "comp")).alias("comp"))
+        # a label can be that of a third of all vertices: only distinct labels look up their own label (unique
+        # on both sides), and the answer goes back to the vertices by (label, salt)
+        roots = hooked.select("comp").distinct()
+        parent = (roots.join(hooked.select(F.col("id").alias("comp"), F.col("comp").alias("_pc")), "comp")
+                  .where("_pc < comp").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        jumped = (hooked.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(parent, ["comp", "_salt"], "left")
+                  .select("id", "_old", F.coalesce("_pc", "comp").alias("comp"))
                   .checkpoint(eager=True))
         changed = jumped.where(F.col("comp") != F.col("_old")).limit(1).count()
         labels = jumped.drop("_old")
@@ -107,28 +141,207 @@ def dbscan_pairs(points: DataFrame, eps: float, min_samples: int, id_col: str =
     return dbscan_from_pairs(points, pairs, min_samples, id_col)
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x") -> DataFrame:
-    """Labels ``(id, cluster, is_core)`` by the clique-cell algorithm
-    (``panelkit.operators.dbscan_cells``), which never forms all pairs of a
-    dense region."""
-    from panelkit.operators.dbscan_cells import dbscan_cells
-    return dbscan_cells(points, eps, min_samples, id_col, coords)
-
-
 # The settings of the original grid.
 DEFAULT_GRID = ((2.0, 3), (2.5, 5), (2.7, 5), (3.0, 3))
 
 
-def dbscan_settings(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x") -> DataFrame:
-    """Labels of every (eps, min_samples) setting: ``eps, min_samples, id, cluster, is_core``."""
-    out = None
-    for eps, ms in settings:
-        one = dbscan(points, eps, ms, id_col, coords).select(
-            F.lit(float(eps)).alias("eps"), F.lit(int(ms)).alias("min_samples"), id_col, "cluster", "is_core")
-        out = one if out is None else out.unionByName(one)
+def _components(adjacent: np.ndarray) -> np.ndarray:
+    """Smallest row number of each row's component (a symmetric matrix)."""
+    comp = np.full(len(adjacent), -1)
+    for seed in range(len(adjacent)):
+        if comp[seed] < 0:
+            comp[seed] = seed
+            front = np.array([seed])
+            while len(front):
+                front = np.flatnonzero(adjacent[front].any(axis=0) & (comp < 0))
+                comp[front] = seed
+    return comp
+
+
+def _links(settings, limits):
+    """Per group and setting: forest links of core points, and border points with a core neighbour."""
+    def find(left, right, d2):
+        same = left is right
+        found: list[tuple[np.ndarray, ...]] = []
+        li, ri = left.column("idx").to_numpy(), right.column("idx").to_numpy()
+        lf, rf = left.column("flags").to_numpy(), right.column("flags").to_numpy()
+        idx = li if same else np.concatenate([li, ri])
+        flags = lf if same else np.concatenate([lf, rf])
+        for s in range(len(settings)):
+            near = d2 <= limits[s]
+            if same:
+                full = near
+            else:
+                full = np.zeros((len(idx), len(idx)), bool)
+                full[:len(li), len(li):] = near
+                full[len(li):, :len(li)] = near.T
+            core = np.flatnonzero((flags >> s) & 1)
+            if not len(core):
+                continue
+            comp = core[_components(full[np.ix_(core, core)])]
+            linked = comp != core
+            found.append((np.full(linked.sum(), s), np.zeros(linked.sum(), np.int64), idx[core[linked]], idx[comp[linked]]))
+            rest = np.flatnonzero(((flags >> s) & 1) == 0)
+            roots, at = np.unique(comp, return_inverse=True)
+            member = np.zeros((len(core), len(roots)), np.float32)
+            member[np.arange(len(core)), at] = 1
+            i, j = np.nonzero(full[np.ix_(rest, core)].astype(np.float32) @ member)
+            found.append((np.full(len(i), s), np.ones(len(i), np.int64), idx[rest[i]], idx[roots[j]]))
+        s, kind, a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4))
+        return pa.table({"s": pa.array(s, pa.int32()), "border": pa.array(kind == 1), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return find
+
+
+def _core_counts(radii):
+    def find(left, right, d2):
+        same = left is right
+        lw, rw = left.column("w").to_numpy().astype(float), right.column("w").to_numpy().astype(float)
+        out = {"idx": left.column("idx").to_numpy() if same else np.concatenate([left.column("idx").to_numpy(), right.column("idx").to_numpy()])}
+        for k, r in enumerate(radii):
+            near = (d2 <= r * r).astype(float)
+            out[f"c{k}"] = (near @ rw if same else np.concatenate([near @ rw, lw @ near])).astype(np.int64)
+        return pa.table(out)
+    return find
+
+
+@dataclass
+class _Bulk:
+    """What node pairs wholly within a radius say, per leaf and setting (all of it bounded by the leaves)."""
+    made: spatial.Blocks
+    settings: tuple
+    which: list[int]  # a setting's radius
+
+    def counts(self) -> np.ndarray:
+        """Weight of the bulk neighbours of each leaf's points within each radius."""
+        out = np.zeros((len(self.made.weight), len(self.made.radii)), np.int64)
+        total = np.concatenate([[0], np.cumsum(self.made.weight)])
+        for (a0, a1), (b0, b1), inside in self.made.bulk:
+            for k in np.flatnonzero(inside):
+                out[a0:a1, k] += total[b1] - total[b0]
+                if (a0, a1) != (b0, b1):
+                    out[b0:b1, k] += total[a1] - total[a0]
+        return out
+
+    def partners(self, core: np.ndarray) -> tuple[list, list]:
+        """``core[leaf, s]``: a core point of the leaf or -1.  Rows (leaf, s, partner point): all of the leaf's core
+        points are linked to that point; and links (s, a, b) between leaves."""
+        partner, links = [], []
+        for s in range(len(self.settings)):
+            mate, mine = np.full(len(core), -1), core[:, s]
+            for (a0, a1), (b0, b1), inside in self.made.bulk:
+                if not inside[self.which[s]]:
+                    continue
+                left, right = (np.arange(lo, hi)[mine[lo:hi] >= 0] for lo, hi in ((a0, a1), (b0, b1)))
+                if len(left) and len(right):
+                    mate[left], mate[right] = mine[right[0]], mine[left[0]]
+                    links += [(s, int(mine[left[0]]), int(mine[x])) for x in {*left.tolist(), *right.tolist()} if x != left[0]]
+            partner += [(int(n), s, int(mate[n])) for n in np.flatnonzero(mate >= 0)]
+        return partner, list(dict.fromkeys(links))
+
+    def borders(self, cluster: np.ndarray) -> list:
+        """``cluster[leaf, s]``: smallest cluster of the leaf's core points or -1.  Rows (leaf, s, smallest cluster
+        among bulk neighbours)."""
+        out = []
+        none = np.iinfo(np.int64).max
+        for s in range(len(self.settings)):
+            mine = np.where(cluster[:, s] < 0, none, cluster[:, s])
+            best = np.full(len(mine), none)
+            for (a0, a1), (b0, b1), inside in self.made.bulk:
+                if inside[self.which[s]]:
+                    best[a0:a1] = np.minimum(best[a0:a1], mine[b0:b1].min())
+                    best[b0:b1] = np.minimum(best[b0:b1], mine[a0:a1].min())
+            out += [(int(n), s, int(best[n])) for n in np.flatnonzero(best < none)]
+        return out
+
+
+def _per_leaf(rows: DataFrame, leaves: int, settings: int) -> np.ndarray:
+    out = np.full((leaves, settings), -1, np.int64)
+    for r in rows.groupBy("leaf", "s").agg(F.min("v").alias("v")).collect():  # leaves x settings
+        out[r["leaf"], r["s"]] = r["v"]
     return out
 
 
+def dbscan_settings(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x",
+                    report: dict | None = None, block: int = spatial.BLOCK) -> DataFrame:
+    """Labels of every (eps, min_samples) setting: ``eps, min_samples, id, cluster, is_core``.  ``report`` receives
+    the number of distinct ``points``, ``leaves``, ``bulk`` node pairs and ``compared`` pairs a point (upper bound)."""
+    spark = points.sparkSession
+    settings = tuple((float(e), int(m)) for e, m in settings)
+    radii = sorted({e for e, _ in settings})
+    which = [radii.index(e) for e, _ in settings]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("eps"), F.lit(m).alias("min_samples"))
+                               for s, (e, m) in enumerate(settings)])).alias("setting")
+    everyone = points.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(coords).cast("array<double>").alias("x"))
+    sound, d = _sound(points, id_col, coords)
+    merged = sound.groupBy("x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
+    numbered = with_global_index(merged, ["rep", "x"], "idx")  # stored
+    n = numbered.count()
+    if n == 0:
+        return (everyone.select("id", each).select("setting.eps", "setting.min_samples", F.col("id").alias(id_col),
+                                                   F.lit(-1).alias("cluster"), F.lit(False).alias("is_core")))
+    made = spatial.blocks(numbered.select("idx", "w", "x"), n, d, radii, materialise, block)
+    bulk = _Bulk(made, settings, which)
+    leaves, kinds = len(made.weight), len(settings)
+    if report is not None:
+        report.update(points=n, leaves=leaves, bulk=len(made.bulk), compared=made.compared / n)
+
+    counted = (made.by_group(made.points, _core_counts(radii), "idx long, " + ", ".join(f"c{k} long" for k in range(len(radii))))
+               .groupBy("idx").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(radii))]))
+    extra = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(bulk.counts())], "leaf int, more array<long>")
+    total = [F.coalesce(f"c{k}", F.lit(0)) + F.col("more")[k] for k in range(len(radii))]
+    flag = sum((F.when(total[which[s]] >= m, 1 << s).otherwise(0) for s, (_, m) in enumerate(settings)), F.lit(0)).cast("long")
+    flagged = materialise(made.points.join(counted, "idx", "left").join(F.broadcast(extra), "leaf")
+                          .select("idx", "w", "x", "leaf", flag.alias("flags")))
+
+    found = materialise(made.by_group(flagged, _links(settings, [e * e for e, _ in settings]), "s int, border boolean, a long, b long"))
+    key = lambda c, s="s": (F.col(c) * kinds + F.col(s)).cast("long")
+    links = found.where("NOT border").select(key("a").alias("a"), key("b").alias("b"))
+    cores = (flagged.select("idx", "leaf", F.explode(F.array(*[F.when(F.col("flags").bitwiseAND(1 << s) != 0, s) for s in range(kinds)])).alias("s"))
+             .where("s IS NOT NULL"))
+    if made.bulk:
+        partner, between = bulk.partners(_per_leaf(cores.withColumn("v", F.col("idx")), leaves, kinds))
+        partner = spark.createDataFrame(partner, "leaf int, s int, mate long")  # at most leaves x settings rows
+        between = spark.createDataFrame(between, "s int, a long, b long")
+        own = cores.join(F.broadcast(partner), ["leaf", "s"]).where("idx <> mate")
+        links = (links.unionByName(own.select(key("idx").alias("a"), key("mate").alias("b")))
+                 .unionByName(between.select(key("a").alias("a"), key("b").alias("b"))))
+    comps = connected_components(cores.select(key("idx").alias("id")), links.where("a <> b").distinct())
+    comps = comps.withColumn("s", F.pmod("id", F.lit(kinds)).cast("int"))
+    numbers = with_global_index(comps.select("s", "comp").distinct(), ["s", "comp"], "cluster", ["s"])
+    # a component can hold a third of all points: its number goes to them by (component, salt)
+    numbers = numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("s")
+    core_of = materialise(comps.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(numbers, ["comp", "_salt"])
+                          .select(F.expr(f"id div {kinds}").alias("idx"), "s", F.col("cluster").cast("int")))
+    offers = (found.where("border").join(core_of.select(F.col("idx").alias("b"), "s", "cluster"), ["b", "s"])
+              .select(F.col("a").alias("idx"), "s", "cluster"))
+    if made.bulk:
+        at_leaf = core_of.join(flagged.select("idx", "leaf"), "idx").select("leaf", "s", F.col("cluster").alias("v"))
+        near = spark.createDataFrame(bulk.borders(_per_leaf(at_leaf, leaves, kinds)), "leaf int, s int, cluster int")
+        offers = offers.unionByName(flagged.select("idx", "leaf").join(F.broadcast(near), "leaf").select("idx", "s", "cluster"))
+    border = offers.groupBy("idx", "s").agg(F.min("cluster").alias("cluster"))
+    labels = (core_of.withColumn("is_core", F.lit(True))
+              .unionByName(border.join(core_of, ["idx", "s"], "left_anti").withColumn("is_core", F.lit(False))))
+    per_point = labels.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("cluster", "is_core")))).alias("got"))
+    known = numbered.select("idx", "x", "w").join(per_point, "idx").select("x", "w", "got")
+    # rows find their vector; vectors that very many rows share are few and go by broadcast
+    heavy = F.col("w") > max(1000, everyone.count() // HEAVY_SHARE)
+    known = materialise(known.withColumn("heavy", heavy))
+    common = F.broadcast(known.where("heavy").select("x", F.col("got").alias("g1"), F.lit(True).alias("hot")))
+    tagged = everyone.join(common, "x", "left")
+    rest = (tagged.where("hot IS NULL").join(known.where("NOT heavy").select("x", "got"), "x", "left").select("id", "got")
+            .unionByName(tagged.where("hot").select("id", F.col("g1").alias("got"))))
+    mine = F.col("got")[F.col("setting.s")]
+    return rest.select("id", "got", each).select(
+        "setting.eps", "setting.min_samples", F.col("id").alias(id_col), F.coalesce(mine["cluster"], F.lit(-1)).alias("cluster"),
+        F.coalesce(mine["is_core"], F.lit(False)).alias("is_core"))
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", coords: str = "x",
+           report: dict | None = None) -> DataFrame:
+    """Labels ``(id, cluster, is_core)`` of one setting."""
+    return dbscan_settings(points, ((eps, min_samples),), id_col, coords, report).drop("eps", "min_samples")
+
+
 def dbscan_grid(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x") -> DataFrame:
     """Cluster and noise counts for several (eps, min_samples) settings."""
     c = F.col("cluster")

@@ -35,7 +35,7 @@ def plan_facts(df: DataFrame) -> dict:
         "broadcast_joins": len(re.findall(r"BroadcastHashJoin", p)),
         "sort_merge_joins": len(re.findall(r"SortMergeJoin", p)),
         "cartesian": len(re.findall(r"CartesianProduct|BroadcastNestedLoopJoin", p)),
-        "python_udf": len(re.findall(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas", p)),
+        "python_udf": len(re.findall(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|MapInArrow|FlatMapGroupsInArrow", p)),
         "windows": len(re.findall(r"\bWindow\b", p)),
         "take_ordered": len(re.findall(r"TakeOrderedAndProject", p)),
         "pushed_filters": re.findall(r"PushedFilters: \[([^\]]*)\]", p),

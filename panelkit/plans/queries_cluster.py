@@ -206,8 +206,9 @@ def q_dbscan_labels(spark, sf):
     return DB.dbscan(_points(spark, sf), DB_EPS, DB_MIN).withColumnRenamed("id", "vec_id")
 
 
-@query("dbscan_grid", None)
-def q_dbscan_grid(spark, sf):
+@query("dbscan_grid_pca", None)
+def q_dbscan_grid_pca(spark, sf):
+    """The grid on the PCA scores, as the original runs it (the scores have no SQL form)."""
     pts = _pca(spark, sf).select(F.col("vec_id").alias("id"),
                                  F.array(*[F.col(f"pc{i + 1}") for i in range(PCA_K)]).alias("x"))
     return DB.dbscan_grid(pts, DB_GRID)
@@ -215,6 +216,14 @@ def q_dbscan_grid(spark, sf):
 
 # Settings on the raw vectors, where SQL can follow.
 PROFILE_GRID = ((1.11, 3), (1.14, 3))
+RAW_GRID = ((1.08, 3), (1.11, 3), (1.14, 3), (1.14, 8))
+
+
+@query("dbscan_grid", " UNION ALL ".join(f"""
+SELECT CAST({e!r} AS DOUBLE) AS eps, {m} AS min_samples, CAST(count(DISTINCT cluster) FILTER (cluster <> -1) AS INTEGER) AS n_clusters,
+       CAST(count(*) FILTER (cluster = -1) AS INTEGER) AS n_noise FROM ({_labels_sql(e, m)})""" for e, m in RAW_GRID))
+def q_dbscan_grid(spark, sf):
+    return DB.dbscan_grid(_points(spark, sf), RAW_GRID)
 
 
 @query("dbscan_grid_profile", " UNION ALL ".join(f"""
