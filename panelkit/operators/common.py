@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.session import ensure_checkpoint_dir
+from panelkit.session import ensure_checkpoint_dir, scratch_path
 
 # Row bound under which a derived lookup table (one row per group, per
 # cluster, per file ...) is broadcast.  Above it the join stays a shuffle join.
@@ -22,6 +22,36 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Plan nodes that cost about as much to run again as to read back.
+PLAIN_NODES = {"Project", "Filter", "Expand", "Generate", "Union", "LogicalRelation", "LocalRelation", "LogicalRDD", "RelationV2",
+               "DataSourceV2ScanRelation"}
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads, projects and filters."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in PLAIN_NODES:
+            return False
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return True
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is a plain scan; otherwise written once as Parquet below the shared checkpoint folder
+    and read from there, so that several passes do not run the plan behind it several times."""
+    return df if is_plain_scan(df) else written(df, "input")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a per-group table once and broadcast it only when its row
     count is proven to be within ``max_rows``; otherwise return it for an

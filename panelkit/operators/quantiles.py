@@ -1,20 +1,21 @@
-"""Exact order statistics and quantiles per group, without one task per group.
-
-A (year, variable) group can hold a large share of all rows, so sorting each
-group inside one window task does not scale.  Instead:
-
-1. one aggregate per group: ``n``, min, max (and any extra moments) and a
-   ``percentile_approx`` sketch at ``p - d`` and ``p + d`` for every wanted
-   position ``p`` (mergeable, partial aggregation, bounded memory);
-2. one pass that keeps only the values inside the brackets, collapsed to
-   ``(group, value, count)``, and the number of rows below each bracket.
-   With accuracy A a bracket holds about 4n/A rows; ties collapse to one row;
-3. a running sum over that small table gives each value's exact rank.  If a
-   wanted rank is not inside its bracket (the sketch missed), that bracket is
-   redone over the group's whole range -- so the result is always exact.
-
-Every pass is a broadcast join to a per-group table plus a partial/final
-aggregate: no exchange of the full data, no single hot task.
+"""Exact order statistics and quantiles per group by digit selection, without one task per group.
+
+A (year, variable) group can hold a large share of all rows, so sorting each group inside one task does not
+scale.  Instead the interval that holds each wanted rank is narrowed by a fixed number of histogram passes:
+
+1. every value has a digit that never falls as the value rises.  In the first pass it is its sign and logarithm in
+   ``DIGITS`` steps over all doubles; after that it is the place between the smallest and largest value of the
+   interval, in ``DIGITS`` equal steps.  One aggregate per (group, interval, digit) counts rows and takes the
+   smallest and largest value; only rows in a wanted interval of their group take part.
+2. the counts of an interval's digits are added up in order (a window of at most ``DIGITS`` rows, never of data
+   rows); the digit that reaches a wanted rank is its next interval, and the rows below it leave the rank.
+
+A rank is done when the smallest and largest value of its interval agree.  A logarithmic step spans about 2**46.5
+neighbouring doubles, so three passes of 2**16 equal steps come down to single values: four passes at most (more
+with fewer steps), two for values of a few significant digits.  There is no sketch to miss and nothing to fall back to.  The
+data is never shuffled as long as the table of groups is small enough to broadcast (checked).
+
+An input that is more than a plain scan (an aggregate, a join ...) is written once and read by every pass.
 """
 
 from __future__ import annotations
@@ -25,163 +26,69 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import join_on, materialise, small_side
+from panelkit.operators.common import join_on, materialise, small_side, stored
 
-DEFAULT_ACCURACY = 10_000
-# Largest number of rows a bracket may hand to the final per-group window.
-MAX_BRACKET = 1_000_000
+DIGITS = 2**16
 
 
 @dataclass(frozen=True)
 class RankSpec:
-    """A wanted order statistic: ``rank(n)`` is its 1-based rank in a group
-    of ``n`` non-null values; ``prob`` is roughly rank / n (for the bracket)."""
+    """A wanted order statistic: ``rank(n)`` is its 1-based rank in a group of ``n`` non-null values."""
     name: str
-    prob: float
     rank: Callable[[Column], Column]
 
 
+def log_digit(v: Column, digits: int) -> Column:
+    """A whole number that never falls as ``v`` rises: sign and logarithm, NaN above all (as Spark orders it)."""
+    a, top = F.abs(v), digits // 2
+    step = F.floor((F.log2(a) + 1075.0) * (top / 2100)).cast("long") + 1  # 1 to ``top`` over all finite doubles
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(top + 1).cast("long")).otherwise(step)
+    return F.when(F.isnan(v), F.lit(top + 2).cast("long")).otherwise(F.when(v < 0, -size).otherwise(size))
+
+
+def _bins(rows: DataFrame, keys: list[str], digit: Column, more=()) -> DataFrame:
+    """Rows, smallest and largest value per group, interval and digit."""
+    return rows.groupBy(*keys, "_from", digit.alias("_digit")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *more)
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, specs: list[RankSpec],
-                     accuracy: int = DEFAULT_ACCURACY,
-                     extra_aggs: list[Column] | None = None,
-                     max_bracket: int = MAX_BRACKET) -> DataFrame:
-    """One row per group: ``keys``, ``n``, one column per spec (the exact
-    value at that rank), plus the ``extra_aggs`` columns (which may refer to
-    the value as ``_v``).  No bracket handed to the final window holds more
-    than about ``max_bracket`` rows (see ``_refine``)."""
+                     moments: bool = False, digits: int = DIGITS) -> DataFrame:
+    """One row per group: ``keys``, ``n``, one column per spec (the exact value at that rank, a double), and with
+    ``moments`` also ``mean`` and the population deviation ``std``.  A null key is a key like any other."""
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    probs = sorted({s.prob for s in specs})
-    slack = 2.0 / accuracy
-    pct = []
-    for p in probs:
-        pct += [max(0.0, p - slack), min(1.0, p + slack)]
-    P = len(probs)
-
-    # Pass 1: size, range, moments and a mergeable sketch per group.
-    stats = base.groupBy(*keys).agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", pct, accuracy).alias("_qa"),
-        *(extra_aggs or []))
-    extra_names = [c for c in stats.columns if c not in set(keys) | {"n", "_qa"}]
-    stats = small_side(stats.select(
-        *keys, "n", *extra_names,
-        *[F.col("_qa")[j].alias(f"_b{j}") for j in range(2 * P)]))
-    # Groups so large that a sketch bracket may exceed max_bracket rows get
-    # their brackets narrowed first (exact counts verify every step).
-    if stats.where(F.col("n") * F.lit(4.0 / accuracy) > F.lit(float(max_bracket))).limit(1).count() > 0:
-        stats = small_side(_refine(base, stats, keys, specs, probs, accuracy, max_bracket))
-    bounds = [F.col(f"_b{j}") for j in range(2 * P)]
-
-    # Pass 2 (one aggregate): a row inside a bracket keeps its value; a row
-    # outside every bracket only records its gap -- the bracket it lies just
-    # below -- so those rows collapse to at most P+1 rows per group.
-    v = F.col("_v")
-    inside = [v.between(bounds[2 * i], bounds[2 * i + 1]) for i in range(P)]
-    inside_any = inside[0]
-    for t in inside[1:]:
-        inside_any = inside_any | t
-    gap = sum((F.when(bounds[2 * i + 1] < v, 1).otherwise(0) for i in range(P)), F.lit(0))
-    collapsed = (join_on(base, stats.select(*keys, *[f"_b{j}" for j in range(2 * P)]), keys)
-                 .select(*keys, *[f"_b{j}" for j in range(2 * P)],
-                         F.when(inside_any, v).alias("_x"),
-                         F.when(inside_any, F.lit(P + 1)).otherwise(gap).alias("_gap"))
-                 .groupBy(*keys, *[f"_b{j}" for j in range(2 * P)], "_gap", "_x")
-                 .agg(F.count(F.lit(1)).alias("_c")))
-    # Sort position of a gap row: just below the low end of the next bracket
-    # (or above everything for the last gap); values sort by themselves.
-    lows = F.array(*[bounds[2 * i] for i in range(P)], F.lit(float("inf")))
-    pos = F.when(F.col("_x").isNotNull(), F.struct(F.col("_x").alias("a"), F.lit(1).alias("b"))) \
-        .otherwise(F.struct(F.element_at(lows, (F.col("_gap") + 1).cast("int")).alias("a"),
-                            F.lit(0).alias("b")))
-    values = materialise(_pick(collapsed.withColumn("_pos", pos), stats, keys, specs))
-
-    # A wanted rank that landed in a gap (the sketch missed): recount that
-    # group over all its values -- exact, and never expected in practice.
-    missed = values.where(F.greatest(*[F.col(s.name).isNull().cast("int") for s in specs]) == 1) \
-        .select(*keys)
-    if missed.limit(1).count() > 0:
-        full = (join_on(base, F.broadcast(missed), keys)
-                .groupBy(*keys, F.col("_v").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-                .withColumn("_pos", F.struct(F.col("_x").alias("a"), F.lit(1).alias("b"))))
-        values = (join_on(values, F.broadcast(missed), keys, "left_anti")
-                  .unionByName(_pick(full, stats, keys, specs)))
-    return join_on(stats.select(*keys, "n", *extra_names), values, keys)
-
-
-def _refine(base: DataFrame, stats: DataFrame, keys: list[str], specs, probs, accuracy: int,
-            max_bracket: int, grid: int = 64, max_rounds: int = 8) -> DataFrame:
-    """Narrow the brackets of very large groups.
-
-    Per bracket: count the rows below and inside it exactly; where more than
-    ``max_bracket`` rows are inside, sketch only those rows on a grid of
-    ``grid`` quantiles and keep the grid cells around the wanted ranks (one
-    cell of margin each side).  A narrowed bracket is kept only if the exact
-    counts of the next round confirm the wanted ranks are still inside it;
-    otherwise the previous bracket stays.  Ties cannot be split, so a bracket
-    of one repeated value stops (its rows collapse to one later anyway)."""
-    P = len(probs)
-    fracs = [j / grid for j in range(grid + 1)]
-    n = F.col("n")
-    for i, p in enumerate(probs):
-        ranks = [s.rank(n) for s in specs if s.prob == p]
-        r_lo = F.least(*ranks) if len(ranks) > 1 else ranks[0]
-        r_hi = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
-        cur = stats.select(*keys, "n", F.col(f"_b{2 * i}").alias("_lo"), F.col(f"_b{2 * i + 1}").alias("_hi"),
-                           F.col(f"_b{2 * i}").alias("_plo"), F.col(f"_b{2 * i + 1}").alias("_phi"))
-        cur = materialise(cur.where(n * F.lit(4.0 / accuracy) > F.lit(float(max_bracket))))
-        done = None
-        for _ in range(max_rounds):
-            counted = (join_on(base, F.broadcast(cur.select(*keys, "_lo", "_hi")), keys)
-                       .groupBy(*keys)
-                       .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-                            F.sum(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), 1).otherwise(0))
-                            .alias("_inside")))
-            st = join_on(cur, counted, keys, "left").fillna(0, ["_below", "_inside"])
-            ok = (F.col("_below") < r_lo) & (F.col("_below") + F.col("_inside") >= r_hi)
-            # Unconfirmed narrowing: fall back to the previous bracket and stop.
-            st = st.select(*keys, "n", F.when(ok, F.col("_lo")).otherwise(F.col("_plo")).alias("_lo"),
-                           F.when(ok, F.col("_hi")).otherwise(F.col("_phi")).alias("_hi"),
-                           "_below", "_inside",
-                           (ok & (F.col("_inside") > max_bracket) & (F.col("_lo") < F.col("_hi"))).alias("_more"))
-            st = materialise(st)
-            finished = st.where(~F.col("_more")).select(*keys, "_lo", "_hi")
-            done = finished if done is None else done.unionByName(finished)
-            todo = st.where("_more")
-            if todo.limit(1).count() == 0:
-                break
-            sk = (join_on(base, F.broadcast(todo.select(*keys, "_lo", "_hi")), keys)
-                  .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                  .groupBy(*keys).agg(F.percentile_approx("_v", fracs, accuracy).alias("_g")))
-            pos_lo = F.greatest(F.floor((r_lo - F.col("_below") - 1) / F.col("_inside") * grid) - 1, F.lit(0))
-            pos_hi = F.least(F.ceil((r_hi - F.col("_below")) / F.col("_inside") * grid) + 1, F.lit(grid))
-            cur = materialise(join_on(todo, sk, keys).select(
-                *keys, "n",
-                F.element_at("_g", (pos_lo + 1).cast("int")).alias("_lo"),
-                F.element_at("_g", (pos_hi + 1).cast("int")).alias("_hi"),
-                F.col("_lo").alias("_plo"), F.col("_hi").alias("_phi")))
-        else:
-            done = done.unionByName(cur.select(*keys, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi")))
-        done = materialise(done)
-        stats = (join_on(stats, done.select(*keys, F.col("_lo").alias("_nlo"), F.col("_hi").alias("_nhi")), keys, "left")
-                 .withColumn(f"_b{2 * i}", F.coalesce("_nlo", f"_b{2 * i}"))
-                 .withColumn(f"_b{2 * i + 1}", F.coalesce("_nhi", f"_b{2 * i + 1}"))
-                 .drop("_nlo", "_nhi"))
-    return stats
-
-
-def _pick(collapsed: DataFrame, stats: DataFrame, keys: list[str], specs) -> DataFrame:
-    """Running count per group over the (small) collapsed table, then for each
-    spec the first row whose count reaches the wanted rank; null when that row
-    is a gap row."""
-    w = (Window.partitionBy(*keys).orderBy("_pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (collapsed.select(*keys, "_pos", "_x", "_c")
-              .transform(lambda t: join_on(t, stats.select(*keys, "n"), keys))
-              .withColumn("_cum", F.sum("_c").over(w)))
-    picks = [F.min_by(F.col("_x"), F.when(F.col("_cum") >= s.rank(F.col("n")), F.col("_pos")))
-             .alias(s.name) for s in specs]
-    return ranked.groupBy(*keys).agg(*picks)
+    base = stored(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    more = [F.avg("_v").alias("_avg"), F.var_pop("_v").alias("_var")] if moments else []
+    bins = materialise(_bins(base.withColumn("_from", F.lit(0.0)), keys, log_digit(F.col("_v"), digits), more))
+    stats = bins.groupBy(*keys).agg(F.sum("_c").alias("n"), *([(F.sum(F.col("_c") * F.col("_avg")) / F.sum("_c")).alias("mean")] if moments else []))
+    if moments:  # the digits' moments are put together around the group's mean
+        spread = F.col("_var") + (F.col("_avg") - F.col("mean")) * (F.col("_avg") - F.col("mean"))
+        stats = join_on(bins, stats, keys).groupBy(*keys, "n", "mean").agg(F.sqrt(F.sum(F.col("_c") * spread) / F.first("n")).alias("std"))
+    stats = small_side(stats)
+
+    # the state: one row per group and wanted rank that is not done; ``_from`` names its interval
+    state = stats.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("_j"), s.rank(F.col("n")).cast("long").alias("_r")) for j, s in enumerate(specs)])).alias("_s"))
+    state = state.select(*keys, "_s._j", "_s._r", F.lit(0.0).alias("_from"))
+    done = None
+    while True:
+        w = Window.partitionBy(*keys, "_from").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = join_on(bins.withColumn("_upto", F.sum("_c").over(w)), state, [*keys, "_from"])
+        found = found.where((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_c") < F.col("_r")))
+        found = materialise(found.select(*keys, "_j", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_r"), "_lo", "_hi",
+                                         F.col("_lo").eqNullSafe(F.col("_hi")).alias("_done")))
+        ready = found.where("_done").select(*keys, "_j", "_lo")
+        done = ready if done is None else done.unionByName(ready)
+        left = found.where("NOT _done")
+        if left.isEmpty():
+            break
+        state = left.select(*keys, "_j", "_r", F.col("_lo").alias("_from"))
+        wanted = small_side(left.select(*keys, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).distinct())  # a few per group
+        v, start, end = F.col("_v"), F.col("_from"), F.col("_to")
+        rows = join_on(base, wanted, keys).where((v >= start) & (v <= end))
+        bins = _bins(rows, keys, F.floor((v - start) / (end - start) * float(digits - 1)).cast("long"))
+    values = done.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, F.col("_lo"))).alias(s.name) for j, s in enumerate(specs)])
+    return join_on(stats, values, keys)
 
 
 def linear_quantile_specs(probs) -> list[RankSpec]:
@@ -190,18 +97,16 @@ def linear_quantile_specs(probs) -> list[RankSpec]:
     specs = []
     for j, p in enumerate(probs):
         p = float(p)
-        specs.append(RankSpec(f"_q{j}_a", p, lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1))
-        specs.append(RankSpec(f"_q{j}_b", p, lambda n, p=p: F.least(F.floor((n - 1) * F.lit(p)) + 2, n)))
+        specs.append(RankSpec(f"_q{j}_a", lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1))
+        specs.append(RankSpec(f"_q{j}_b", lambda n, p=p: F.least(F.floor((n - 1) * F.lit(p)) + 2, n)))
     return specs
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, names,
-                    accuracy: int = DEFAULT_ACCURACY,
-                    extra_aggs: list[Column] | None = None,
-                    max_bracket: int = MAX_BRACKET) -> DataFrame:
+                    digits: int = DIGITS) -> DataFrame:
     """Linear-interpolated quantiles per group, exact (same as
     ``percentile``/``quantile_cont``), one column per name."""
-    stats = order_statistics(df, keys, value, linear_quantile_specs(probs), accuracy, extra_aggs, max_bracket)
+    stats = order_statistics(df, keys, value, linear_quantile_specs(probs), digits=digits)
     cols = []
     for j, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("n") - 1) * F.lit(float(p))

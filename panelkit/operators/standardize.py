@@ -6,9 +6,10 @@ with k = floor(0.05 n) the k smallest become the (k+1)-th smallest and the k
 largest the (n-k)-th), then score it against the mean and population standard
 deviation of the *raw* values (0 when the deviation is 0).
 
-Plan: the bounds and moments come from ``order_statistics`` (sketch-bracketed
-exact selection, partial aggregates only); the scores are one broadcast join
-of the data to that per-group table.  The data itself is never shuffled.
+Plan: the bounds and moments come from ``order_statistics`` (digit selection,
+partial aggregates only); the scores are one broadcast join of the data to
+that per-group table.  An input that is more than a plain scan is written once
+and read by all passes; the data itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import join_on, small_side
-from panelkit.operators.quantiles import DEFAULT_ACCURACY, RankSpec, exact_quantiles, order_statistics
+from panelkit.operators.common import join_on, small_side, stored
+from panelkit.operators.quantiles import RankSpec, exact_quantiles, order_statistics
 from panelkit.operators.ranking import with_global_index
 from panelkit.schema import PANEL, PanelColumns
 
@@ -32,18 +33,17 @@ def year_feature_moments(df: DataFrame, keys=None, value: str | None = None, col
 
 
 def winsor_specs(lower: float = 0.05, upper: float = 0.05) -> list[RankSpec]:
-    return [RankSpec("low", lower, lambda n: F.floor(F.lit(float(lower)) * n) + 1),
-            RankSpec("high", 1.0 - upper, lambda n: n - F.floor(F.lit(float(upper)) * n))]
+    return [RankSpec("low", lambda n: F.floor(F.lit(float(lower)) * n) + 1),
+            RankSpec("high", lambda n: n - F.floor(F.lit(float(upper)) * n))]
 
 
 def winsor_bounds(df: DataFrame, keys=None, value: str | None = None,
-                  limits=(0.05, 0.05), accuracy: int = DEFAULT_ACCURACY,
+                  limits=(0.05, 0.05),
                   with_moments: bool = True, cols: PanelColumns = PANEL) -> DataFrame:
     """Per group: n, low, high (and mean, std of the raw values)."""
     value = value or cols.value
     keys = list((cols.year, cols.variable) if keys is None else keys)
-    extra = [F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std")] if with_moments else []
-    return order_statistics(df, keys, value, winsor_specs(*limits), accuracy, extra)
+    return order_statistics(df, keys, value, winsor_specs(*limits), with_moments)
 
 
 def _clip(x: Column, low: Column, high: Column) -> Column:
@@ -52,11 +52,12 @@ def _clip(x: Column, low: Column, high: Column) -> Column:
 
 def winsorize(df: DataFrame, keys=None, value: str | None = None,
               limits=(0.05, 0.05), out: str = "raw_winsorized",
-              accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
+              cols: PanelColumns = PANEL) -> DataFrame:
     """Adds ``out`` = value clipped to its group's winsor bounds."""
     value = value or cols.value
     keys = list((cols.year, cols.variable) if keys is None else keys)
-    bounds = small_side(winsor_bounds(df, keys, value, limits, accuracy, with_moments=False))
+    df = stored(df)
+    bounds = small_side(winsor_bounds(df, keys, value, limits, with_moments=False))
     return (join_on(df, bounds.select(*keys, "low", "high"), keys, "left")
             .withColumn(out, _clip(F.col(value), F.col("low"), F.col("high")))
             .drop("low", "high"))
@@ -68,7 +69,7 @@ def zscore(x: Column, mean: Column, std: Column) -> Column:
 
 def standardize_per_year(df: DataFrame, keys=None, value: str | None = None,
                          limits=(0.05, 0.05), stats_on: str = "raw",
-                         accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
+                         cols: PanelColumns = PANEL) -> DataFrame:
     """Long panel -> ``(geo_id, year, variable, raw_winsorized, z)``.
 
     ``stats_on='raw'`` (default) scores the winsorized value against the raw
@@ -77,8 +78,8 @@ def standardize_per_year(df: DataFrame, keys=None, value: str | None = None,
     """
     value = value or cols.value
     keys = list((cols.year, cols.variable) if keys is None else keys)
-    data = df.where(F.col(value).isNotNull())
-    bounds = small_side(winsor_bounds(data, keys, value, limits, accuracy))
+    data = stored(df.where(F.col(value).isNotNull()))
+    bounds = small_side(winsor_bounds(data, keys, value, limits))
     scored = (join_on(data, bounds.select(*keys, "low", "high", "mean", "std"), keys)
               .withColumn("raw_winsorized", _clip(F.col(value), F.col("low"), F.col("high"))))
     if stats_on == "winsorized":
@@ -132,17 +133,12 @@ def zscore_outliers(scored: DataFrame, variable: str, threshold: float = 3.0, co
 
 def quantile_clip(df: DataFrame, keys=None, value: str | None = None,
                   lower: float = 0.01, upper: float = 0.99, out: str = "clipped",
-                  accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
+                  cols: PanelColumns = PANEL) -> DataFrame:
     """Clip every value to its group's linear-interpolated lower/upper
     quantiles (pandas ``quantile`` + ``clip``); null values are dropped."""
     value = value or cols.value
     keys = list((cols.variable,) if keys is None else keys)
-    data = df.where(F.col(value).isNotNull())
-    q = small_side(exact_quantiles(data, keys, value, [lower, upper], ["q_low", "q_high"], accuracy))
+    data = stored(df.where(F.col(value).isNotNull()))
+    q = small_side(exact_quantiles(data, keys, value, [lower, upper], ["q_low", "q_high"]))
     return (join_on(data, q.select(*keys, "q_low", "q_high"), keys)
             .withColumn(out, _clip(F.col(value), F.col("q_low"), F.col("q_high"))))
-
-
-def find_outliers_zscore(scored: DataFrame, variable: str, threshold: float = 3.0, cols: PanelColumns = PANEL) -> DataFrame:
-    """Name used by the original documentation for ``zscore_outliers``."""
-    return zscore_outliers(scored, variable, threshold, cols)

@@ -2,17 +2,19 @@
 
 All of them group by (variable) or (year, variable) and let Spark's hash
 aggregate combine map-side.  Exact quartiles go through ``exact_quantiles``
-(sketch-bracketed selection) instead of ``percentile``, whose final merge
+(digit selection) instead of ``percentile``, whose final merge
 holds every distinct value of a group in one task.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import join_on
-from panelkit.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
+from panelkit.operators.common import join_on, materialise, stored
+from panelkit.operators.quantiles import exact_quantiles
 from panelkit.schema import PANEL, PanelColumns
 
 
@@ -57,7 +59,7 @@ def geo_delta_topn(df: DataFrame, variable: str, n: int = 10, value: str | None
 
 
 def describe(df: DataFrame, keys=None, value: str | None = None, records: DataFrame | None = None,
-             accuracy: int = DEFAULT_ACCURACY, approximate: bool = False, cols: PanelColumns = PANEL) -> DataFrame:
+             accuracy: int = 10_000, approximate: bool = False, cols: PanelColumns = PANEL) -> DataFrame:
     """pandas-style describe per group: count, mean, sample std, min,
     25/50/75 % (linear interpolation), max, missing, zeros, distinct.
 
@@ -65,8 +67,11 @@ def describe(df: DataFrame, keys=None, value: str | None = None, records: DataFr
     altogether; the number of records is the distinct (geo_id, year) pairs of
     ``records`` (default: the panel itself, within the other keys).
     ``approximate=True`` trades exactness for one pass: ``percentile_approx``
-    quartiles and ``approx_count_distinct``.
+    quartiles (``accuracy``) and ``approx_count_distinct``.  The exact distinct
+    count shuffles a group's distinct values (combined map-side), dealt by
+    (group, value), so no group is one task.
     """
+    df = stored(df)
     value = value or cols.value
     keys = list((cols.variable,) if keys is None else keys)
     v = F.col(value)
@@ -81,7 +86,10 @@ def describe(df: DataFrame, keys=None, value: str | None = None, records: DataFr
         q = base.select(*keys, *[F.col("_pq")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
         base = base.drop("_pq")
     else:
-        q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], accuracy)
+        with ThreadPoolExecutor(1) as jobs:  # the aggregate and the selection are independent jobs
+            first = jobs.submit(materialise, base)
+            q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+            base = first.result()
     rec = records if records is not None else df
     other = [k for k in keys if k != cols.variable]
     if other:
@@ -97,10 +105,10 @@ def describe(df: DataFrame, keys=None, value: str | None = None, records: DataFr
                       "distinct")
 
 
-def describe_per_year(df: DataFrame, value: str | None = None, accuracy: int = DEFAULT_ACCURACY, cols: PanelColumns = PANEL) -> DataFrame:
+def describe_per_year(df: DataFrame, value: str | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """``describe`` per (year, variable)."""
     value = value or cols.value
-    return describe(df, (cols.year, cols.variable), value, accuracy=accuracy, cols=cols)
+    return describe(df, (cols.year, cols.variable), value, cols=cols)
 
 
 def year_counts(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
