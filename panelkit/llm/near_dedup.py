@@ -8,26 +8,26 @@ about 5e-8.
 
 Links are confirmed on full sets, never on signatures:
 
-1. Documents with the same set are one class (grouped by a 128-bit digest, map-side combined), represented
-   by its smallest id.  Copies are not expanded.
+1. Documents with the same set are one class (grouped by a 128-bit digest, map-side combined), named by the
+   digest.  Copies are not expanded.  Classes that share an id are linked: they are one document.
 2. ``HUB_ROUNDS`` times: each bucket of classes that are not all connected yet elects a hub by hash, and
    every other member is checked against it; confirmed links are joined into components.  A group of n near
    copies so costs about n checks, not n * n.
-3. Buckets that still hold different components are checked exactly, in blocks: classes that such buckets
-   connect form a cluster, cut into blocks of ``BLOCK``; a task takes two blocks, counts all intersections
-   by one matrix product, and returns only links that join two components.  No pair becomes a row, and a
-   class is sent once per block of its cluster.  Clusters of more than ``CLUSTER`` classes are cut by bucket
-   and the buckets blocked: a bucket's largest component stands last in its order, and two blocks wholly of
-   that component are passed over.  Either way no candidate pair between two components is left unchecked, so
-   no link between different texts is lost.
+3. Buckets that still hold different components are checked exactly.  Classes that such buckets connect form a
+   cluster.  A class can only have a link when the threshold's share of its shingles occurs in another class of its
+   cluster; all others (texts that merely share a passage) leave here.  What remains is ordered by set size and cut
+   into blocks of ``BLOCK``; pairs of blocks whose sizes allow a link are dealt by (cluster, i, j), and a task
+   counts all intersections of its two blocks by one matrix product and returns only links that join two
+   components.  No pair becomes a row, and no candidate pair between two components is left unchecked, so no link
+   between different texts is lost.
 
 Buckets are never collected: every step is a partial aggregate or a join dealt by (band, value) whose hot
 keys Spark can split, and sets travel only for classes that are candidates.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own component; a row with
-a null id links with nothing, has a null component and is kept; rows that share an id are one document;
-repeated rows get equal results; texts are taken whole; other columns are ignored; an empty table gives an
-empty result.
+a null id links with nothing, has a null component and is kept; rows that share an id are one document, which
+has the links of all its texts; repeated rows get equal results; texts are taken whole; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import broadcast_if_small, cut, map_columns, small_batches, stage
@@ -45,7 +45,8 @@ from panelkit.operators.ranking import with_global_index
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 PERMUTATIONS, PER_BAND = 64, 2
 HUB_ROUNDS = 2
-BLOCK, CLUSTER = 512, 8192
+BLOCK = 1024
+SALTS = 8
 SEED = 20_240_229
 
 
@@ -112,20 +113,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                        f"doc {kind}, n long, key binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Stored ``(doc, words)`` of the wanted ids: their whole sets, as sorted 64-bit hashes."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Stored ``(key, words)`` of the wanted classes ``(id, doc)``: their whole sets, as sorted 64-bit hashes; the
+    text is that of a document of the class."""
     texts = (docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-             .join(broadcast_if_small(ids.select(F.col("id").alias("doc")), n_ids), "doc", "left_semi"))
-    return stage(map_columns(texts, lambda doc, text: {"doc": doc, "words": [shingle_set(t, k).tobytes() for t in text]},
-                             f"doc {kind}, words binary").dropDuplicates(["doc"]), "shingle-sets")
+             .join(broadcast_if_small(wanted.select("doc"), n_wanted), "doc", "left_semi"))
+
+    def run(text):
+        sets = [shingle_set(t, k).tobytes() for t in text]
+        return {"key": [xxhash.xxh3_128_digest(s) for s in sets], "words": sets}
+
+    sets = map_columns(texts.select("text"), run, "key binary, words binary")
+    return stage(sets.join(broadcast_if_small(wanted.select(F.col("id").alias("key")), n_wanted), "key", "left_semi")
+                 .dropDuplicates(["key"]), "shingle-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the threshold."""
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("words").alias("wa")), "a")
-              .join(sets.select(F.col("doc").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
+    joined = (pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
+              .join(sets.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
 
     def check(batches):
         for batch in batches:
@@ -187,38 +194,39 @@ def _joining_links(percent: int):
     return run
 
 
-def _block(at: Column) -> Column:
-    return F.floor(at / BLOCK).cast("int")
-
-
-def cluster_blocks(mixed: DataFrame) -> DataFrame:
-    """Blocks of whole clusters; ``mixed`` has cluster, m (its classes, at most CLUSTER), rep, comp, n."""
-    by_size = Window.partitionBy("cluster").orderBy("n", "rep")
-    last = _block(F.col("m") - 1)
-    return mixed.select("cluster", "rep", "comp", _block(F.row_number().over(by_size) - 1).alias("block"),
-                        last.alias("last"), last.alias("reach"))
-
-
-def bucket_blocks(mixed: DataFrame) -> DataFrame:
-    """Blocks of single buckets of any size, numbered by a range-partitioned sort; ``mixed`` has band, value,
-    rep, comp, n and top, the bucket's largest component."""
-    mixed = mixed.withColumn("is_top", F.col("comp") == F.col("top"))
-    sizes = mixed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_top")).alias("others"))
-    placed = with_global_index(mixed, ["band", "value", "is_top", "n", "rep"], "at", ["band", "value"])
-    return (placed.join(cut(sizes), ["band", "value"])
-            .select(F.struct("band", "value").alias("cluster"), "rep", "comp", _block(F.col("at")).alias("block"),
-                    _block(F.col("m") - 1).alias("last"), _block(F.col("others") - 1).alias("reach")))
-
-
-def block_links(blocked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within each cluster; ``blocked`` has cluster, rep, comp, block, the cluster's
-    last block and ``reach``: two blocks after that one need no check."""
-    kind = blocked.schema["rep"].dataType.simpleString()
-    others = F.sequence(F.lit(0), F.when(F.col("block") <= F.col("reach"), F.col("last")).otherwise(F.col("reach")))
-    dealt = (blocked.join(sets.withColumnRenamed("doc", "rep"), "rep")
-             .select("cluster", "block", "rep", "comp", "words", F.explode(others).alias("other"))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other"))
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(_joining_links(percent), f"a {kind}, b {kind}")
+def linkable(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes of ``named`` (cluster, rep, comp, n) of whose shingles enough occur in another class of their
+    cluster: a link needs ``percent`` of the union, so of each set, in common."""
+    kind = named.schema["cluster"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            sizes = np.array([len(w) // 8 for w in b.column("words").to_pylist()])
+            rows = np.repeat(np.arange(b.num_rows), sizes)
+            words = np.frombuffer(b"".join(b.column("words").to_pylist()), np.int64)
+            for i in range(0, len(rows), 1 << 16):
+                part = b.select(["cluster", "rep"]).take(pa.array(rows[i:i + (1 << 16)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words[i:i + (1 << 16)])], ["cluster", "rep", "word"])
+
+    words = (named.join(sets.withColumnRenamed("key", "rep"), "rep").select("cluster", "rep", "words")
+             .mapInArrow(run, f"cluster {kind}, rep binary, word long"))
+    common = words.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster", "word")
+    shared = words.join(common, ["cluster", "word"], "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    return stage(named.join(shared, "rep").where(100 * F.col("shared") >= percent * F.col("n")).drop("shared"), "linkable")
+
+
+def block_links(named: DataFrame, sets: DataFrame, percent: int, block: int | None = None) -> DataFrame:
+    """Links between components within each cluster of ``named`` (cluster, rep, comp, n)."""
+    placed = with_global_index(named, ["cluster", "n", "rep"], "at", ["cluster"])
+    placed = placed.withColumn("block", F.floor(F.col("at") / (block or BLOCK)).cast("int")).drop("at")
+    spans = cut(placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    one = spans.select("cluster", F.col("block").alias("i"), F.col("hi").alias("hi_i"))
+    other = spans.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
+    pairs = one.join(other, "cluster").where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j"))).select("cluster", "i", "j")
+    sides = pairs.withColumn("block", F.col("i")).unionByName(pairs.where("i < j").withColumn("block", F.col("j")))
+    dealt = (placed.join(sides, ["cluster", "block"]).join(sets.withColumnRenamed("key", "rep"), "rep")
+             .select("cluster", "i", "j", "block", "rep", "comp", "words").repartition("cluster", "i", "j"))
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_joining_links(percent), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -226,20 +234,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``."""
     rows = stage(sketches(docs, id_col, text_col, shingle), "sketches")
     known = rows.where("key IS NOT NULL AND doc IS NOT NULL")
-    # copies of a set, and rows that share an id, count as one class
-    classes = known.groupBy("key").agg(F.min("doc").alias("rep"))
-    classes = stage(classes.join(known.select("key", F.col("doc").alias("rep"), "n", "bands"), ["key", "rep"])
-                    .dropDuplicates(["key"]), "classes")
+    # a class is named by its set's digest; ``doc`` is its smallest id
+    classes = stage(known.groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                    .withColumnRenamed("key", "rep"), "classes")
+    # classes of one document, where ids repeat with different texts
+    texts_of = known.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc", "a")
+    same_doc = cut(known.join(texts_of, "doc").where("key <> a").select("a", F.col("key").alias("b")).distinct())
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
     spread = (buckets.groupBy("band", "value").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
               .select("band", "value"))
     members = stage(buckets.join(cut(spread), ["band", "value"]), "buckets")
-    vertices = cut(members.select(F.col("rep").alias("id")).distinct())
+    ends = same_doc.select(F.col("a").alias("rep")).unionByName(same_doc.select(F.col("b").alias("rep")))
+    vertices = cut(members.select("rep").unionByName(ends).distinct().withColumnRenamed("rep", "id"))
     n_vertices = vertices.count()
     small_batches(docs.sparkSession)
-    sets = full_sets(docs, vertices, n_vertices, id_col, text_col, shingle)
+    wanted = cut(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "doc"), "id"))
+    sets = full_sets(docs, wanted, n_vertices, id_col, text_col, shingle)
     labels = vertices.select("id", F.col("id").alias("comp"))
-    links = tried = None
+    tried = None
+    links = None if same_doc.isEmpty() else same_doc
+    if links is not None:
+        labels = cut(connected_components(vertices, links))
 
     def add(pairs: DataFrame):
         """Confirms new pairs and joins components; pairs whose sizes alone rule a link out are passed over."""
@@ -278,26 +293,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(*ordered("rep", "n", "hub", "hub_n")))
 
     mixed = labelled()
-    sizes = mixed.groupBy("band", "value", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = stage(sizes.groupBy("band", "value").agg(F.max(F.struct("m", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .where("lo <> hi").select("band", "value", F.col("top.comp").alias("top")), "mixed")
-    left = stage(mixed.join(largest, ["band", "value"]), "left")
+    still = stage(mixed.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                  .where("lo <> hi").select("band", "value"), "mixed")
+    left = stage(mixed.join(still, ["band", "value"]), "left")
     # clusters: classes that mixed buckets connect
     star = left.groupBy("band", "value").agg(F.min("rep").alias("b"))
     star = left.join(cut(star), ["band", "value"]).select(F.col("rep").alias("a"), "b").distinct().where("a <> b")
     classes_left = cut(left.select("rep", "n", "comp").distinct())
     clusters = connected_components(classes_left.select(F.col("rep").alias("id")), star)
     named = cut(classes_left.join(clusters.select(F.col("id").alias("rep"), F.col("comp").alias("cluster")), "rep"))
-    sizes = cut(named.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
-    small = named.join(sizes.where(F.col("m") <= CLUSTER), "cluster")
-    if not small.isEmpty():
-        join_up(stage(block_links(cluster_blocks(small), sets, percent), "block-links"))
-    large = sizes.where(F.col("m") > CLUSTER)
-    if not large.isEmpty():
-        rest = left.join(named.join(large, "cluster").select("rep"), "rep", "left_semi").select("band", "value", "rep", "comp", "n", "top")
-        join_up(stage(block_links(bucket_blocks(rest), sets, percent), "bucket-links"))
-
-    named = classes.select("key", F.col("rep").alias("id")).join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
+    open_classes = linkable(named, sets, percent)
+    if not open_classes.isEmpty():
+        join_up(stage(block_links(open_classes, sets, percent), "block-links"))
+
+    # a component's name is the smallest id of its classes
+    placed = classes.select("rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep")
+    names = placed.groupBy("comp").agg(F.min("doc").alias("name"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a component can be a third of all
+    named = (placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(names, ["comp", "salt"]).select("rep", "name"))
+    named = (classes.select("rep", "doc").join(named, "rep", "left")
+             .select(F.col("rep").alias("key"), F.coalesce("name", "doc").alias("comp")))
     return (rows.join(named, "key", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component_id"))

@@ -143,11 +143,11 @@ def brute_near(docs, k=4, percent=80):
     return {d: (len(sets[d]), root(d)) for d in docs}
 
 
-@pytest.mark.parametrize("block,cluster", [(512, 8192), (7, 8192), (512, 3)])
-def test_near_duplicates(spark, monkeypatch, block, cluster):
-    """Chains of edits, below and above the threshold; small blocks and clusters force every path."""
+@pytest.mark.parametrize("block,hubs", [(1024, 2), (7, 2), (5, 0)])
+def test_near_duplicates(spark, monkeypatch, block, hubs):
+    """Chains of edits, below and above the threshold; small blocks, and blocks alone without hubs."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "CLUSTER", cluster)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", hubs)
     rnd, docs = random.Random(11), {}
     for g in range(4):
         words = [f"w{g}x{i}" for i in range(80)]
@@ -166,7 +166,6 @@ def test_large_clusters_are_checked_in_blocks(spark, monkeypatch):
     """A shared passage puts unlinked texts and a linked group in one bucket: no pair rows after the hubs."""
     calls, plain = [], near_dedup.confirmed
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
-    monkeypatch.setattr(near_dedup, "CLUSTER", 3)
     monkeypatch.setattr(near_dedup, "confirmed", lambda *a: calls.append(1) or plain(*a))
     common = [f"c{i}" for i in range(90)]
     docs = {i: " ".join(common + [f"u{i if i < 24 else 12 + i // 2}x{j}" for j in range(30)] + [f"v{i}"]) for i in range(36)}
@@ -176,6 +175,26 @@ def test_large_clusters_are_checked_in_blocks(spark, monkeypatch):
     assert len(calls) <= near_dedup.HUB_ROUNDS
 
 
+def test_texts_that_share_an_id_keep_all_links(spark):
+    """Id 1 has texts A and B; 2 is near B, 3 near A: one component on every partitioning.  Rows that repeat are equal."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "x"])), (3, " ".join([*a, "y"])), (4, "all alone here today"), (2, " ".join([*b, "x"]))]
+    for parts in (1, 3, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text, "en"), (3, "something else entirely written here", "en"), (1, text + " x", "de"), (None, "t", None), (None, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.lang or "") for r in out.collect()) == [(False, 1, "en"), (False, 3, "en"), (True, 0, ""), (True, 0, "")]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dedup.near_duplicates(odd)
     assert ids(got) == ids(odd)
@@ -389,4 +408,5 @@ def test_pipeline_on_odd_documents(spark, odd):
     for _, step in corpus_pipeline.STAGES[:-1]:
         docs = step(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= 0
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert all(r.n_copies > 0 for r in out.collect()) and out.count() <= docs.count()
