@@ -31,6 +31,17 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of every id that repeats (the smallest in the order of its columns); null ids all stay."""
+    again = cut(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again")))
+    n = again.count()
+    if not n:
+        return docs
+    few = broadcast_if_small(again, n)
+    one = docs.join(few, F.col("doc_id") == F.col("__again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return docs.join(few, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(one.select("__row.*"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return keep_quality(docs)
@@ -46,8 +57,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each near-duplicate group stays."""
-    return _without(docs, near_duplicates(docs, shingle=NEAR_WORDS).where("NOT kept"))
+    """The smallest id of each near-duplicate group stays, in one row."""
+    return _one_row_each(_without(docs, near_duplicates(docs, shingle=NEAR_WORDS).where("NOT kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
