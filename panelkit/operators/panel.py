@@ -1,47 +1,45 @@
 """Panel-shape operators on the long table ``(geo_id, year, variable, value)``; tables with other column
 names pass them as ``cols`` (``PanelColumns``).
 
-Run lengths use gaps-and-islands over the *distinct* periods of a geography
-(at most one row per period, so a window per geography stays small however
-many measures the panel holds); the filter itself is a left-semi join.
+The periods of a geography are bit words combined in one partial aggregate (``operators/periods.py``), run
+lengths come from shifts of those words, and the filter itself is a left-semi join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.cells import is_valid_number
 from panelkit.operators.common import small_side
+from panelkit.operators.periods import Span, longest_run_of, period_span, period_words, periods_of
 from panelkit.schema import EXPECTED_YEARS, PANEL, PanelColumns
 
 
-def years_per_geo(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+def years_per_geo(df: DataFrame, cols: PanelColumns = PANEL, span: Span | None = None) -> DataFrame:
     """Sorted distinct periods of each geography."""
-    return (df.where(F.col(cols.year).isNotNull()).groupBy(cols.geo)
-            .agg(F.sort_array(F.collect_set(cols.year)).alias("years")))
+    kind = df.schema[cols.year].dataType.simpleString()
+    return (period_words(df, [cols.geo], cols.year, span)
+            .select(cols.geo, periods_of(F.col("words"), kind).alias("years")))
 
 
-def longest_run(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+def longest_run(df: DataFrame, cols: PanelColumns = PANEL, span: Span | None = None) -> DataFrame:
     """Longest run of consecutive periods per geography."""
-    periods = df.where(F.col(cols.year).isNotNull()).select(cols.geo, cols.year).distinct()
-    rn = F.row_number().over(Window.partitionBy(cols.geo).orderBy(cols.year))
-    islands = periods.withColumn("_island", F.col(cols.year) - rn)
-    runs = islands.groupBy(cols.geo, "_island").agg(F.count(F.lit(1)).alias("_len"))
-    return runs.groupBy(cols.geo).agg(F.max("_len").cast("int").alias("longest_run"))
+    return (period_words(df, [cols.geo], cols.year, span)
+            .select(cols.geo, longest_run_of(F.col("words")).alias("longest_run")))
 
 
 def default_run_length(df: DataFrame, cols: PanelColumns = PANEL) -> int:
     """Half the number of distinct periods, rounded down (0 for one period)."""
-    n_years = df.where(F.col(cols.year).isNotNull()).agg(F.count_distinct(cols.year)).first()[0]
-    return int(n_years / 2)
+    return period_span(df, cols.year).n_periods // 2
 
 
 def consecutive_year_filter(df: DataFrame, n: int | None = None, cols: PanelColumns = PANEL) -> DataFrame:
-    """Rows of the geographies having at least ``n`` consecutive periods."""
+    """Rows of the geographies having at least ``n`` consecutive periods (half of the table's periods by default)."""
+    span = period_span(df, cols.year)
     if n is None:
-        n = default_run_length(df, cols)
-    keep = longest_run(df, cols).where(F.col("longest_run") >= n).select(cols.geo)
+        n = span.n_periods // 2
+    keep = longest_run(df, cols, span).where(F.col("longest_run") >= n).select(cols.geo)
     # One row per geography: broadcast when its size is within the bound, so
     # the panel is filtered where it lies (a geography holding a large share
     # of the rows is never gathered into one task); above the bound the join
