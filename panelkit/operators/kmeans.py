@@ -53,39 +53,69 @@ def assign_fixed_centroids(df: DataFrame, centroids: DataFrame, features: str, k
     return _nearest(df, [int(r[0]) for r in rows], [r[1] for r in rows], features, keep)
 
 
+def _literal(centres) -> Column:
+    # one literal however many centres and coordinates; it folds to a constant array
+    return F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centres])), "array<array<double>>")
+
+
 def _nearest(df: DataFrame, names: list, centres: list, features: str, keep=()) -> DataFrame:
     ids = F.lit(names)
-    # one literal however many centres and coordinates; it folds to a constant array
-    cents = F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centres])), "array<array<double>>")
     x = F.col(features)
-    d2 = F.transform(cents, lambda c: squared_distance(x, c))
+    d2 = F.transform(_literal(centres), lambda c: squared_distance(x, c))
     best = F.array_min(d2)
     pos = F.array_position(d2, best)
     return df.select(*keep, F.element_at(ids, pos.cast("int")).alias("cluster"), best.alias("dist2"))
 
 
-def kmeans_from(df: DataFrame, starts: list, features: str, tol: float = 1e-9, max_rounds: int = 1000) -> list:
-    """Centres from the given start centres: points go to their nearest centre, centres to the mean of their
-    points (one without points stays), until no coordinate moves by more than ``tol``.  A round is one scan
-    with a partial aggregate of k rows; only the k x d centres reach the driver.  Null vectors are left out;
-    an empty table returns the starts.  A fit still moving after ``max_rounds`` is reported by a warning."""
+def _nearest_each(df: DataFrame, fits: dict, features: str, keep=()) -> DataFrame:
+    """A row per point and fit of ``fits`` (name -> centres): ``fit, cluster, dist2``; the points are read once."""
+    x = F.col(features)
+    rows = F.array(*[_near_entry(name, F.transform(_literal(c), lambda v: squared_distance(x, v))) for name, c in fits.items()])
+    return df.select(*keep, F.explode(rows).alias("__near")).select(*keep, "__near.*")
+
+
+def _near_entry(name: int, d2: Column) -> Column:
+    return F.aggregate(d2, F.struct(F.lit(name).alias("fit"), F.lit(0).alias("cluster"), F.lit(None).cast("double").alias("dist2"), F.lit(0).alias("at")),
+                       lambda acc, d: F.struct(acc["fit"].alias("fit"),
+                                               F.when(acc["dist2"].isNull() | (d < acc["dist2"]), acc["at"]).otherwise(acc["cluster"]).alias("cluster"),
+                                               F.least(acc["dist2"], d).alias("dist2"), (acc["at"] + 1).alias("at")),
+                       lambda acc: F.struct(acc["fit"].alias("fit"), acc["cluster"].alias("cluster"), acc["dist2"].alias("dist2")))
+
+
+def kmeans_fits(df: DataFrame, fits: dict, features: str, tol: float = 1e-9, max_rounds: int = 1000, report: dict | None = None) -> dict:
+    """Centres of several fits (name -> start centres) that advance together: points go to their nearest centre of
+    every fit, centres to the mean of their points (one without points stays), until no coordinate of a fit moves by
+    more than ``tol``; a fit that stands still leaves the rounds.  A round is one scan with a partial aggregate of a
+    row a (fit, cluster), so there are as many scans as the longest fit has rounds (``report["scans"]``); only the
+    centres reach the driver.  Null vectors are left out; an empty table returns the starts.  Fits still moving after
+    ``max_rounds`` are reported by a warning."""
     from pyspark.ml.functions import array_to_vector
-    centres = [[float(v) for v in c] for c in starts]
-    if len(centres) > MAX_K:
+    done = {int(n): [[float(v) for v in c] for c in starts] for n, starts in fits.items()}
+    if max(map(len, done.values()), default=0) > MAX_K:
         raise ValueError(f"more than {MAX_K} centres")
     points = df.where(F.col(features).isNotNull()).select(features)
-    for _ in range(max_rounds):
-        near = _nearest(points, list(range(len(centres))), centres, features, keep=(features,))
-        means = near.groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m")).collect()
-        new = list(centres)
+    moving = {n: c for n, c in done.items() if c}
+    scans = 0
+    while moving and scans < max_rounds:
+        near = _nearest_each(points, moving, features, keep=(features,))
+        means = near.groupBy("fit", "cluster").agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m")).collect()
+        scans += 1
+        new = {n: list(c) for n, c in moving.items()}
         for r in means:
-            new[r["cluster"]] = [float(v) for v in r["m"].toArray()]
-        moved = max((abs(a - b) for p, q in zip(centres, new, strict=True) for a, b in zip(p, q, strict=True)), default=0.0)
-        centres = new
-        if moved <= tol:
-            return centres
-    warnings.warn(f"centres still moved after {max_rounds} rounds", stacklevel=2)
-    return centres
+            new[r["fit"]][r["cluster"]] = [float(v) for v in r["m"].toArray()]
+        shift = {n: max(abs(a - b) for p, q in zip(c, new[n], strict=True) for a, b in zip(p, q, strict=True)) for n, c in moving.items()}
+        done.update(new)
+        moving = {n: c for n, c in new.items() if shift[n] > tol}
+    if moving:
+        warnings.warn(f"centres still moved after {max_rounds} rounds", stacklevel=2)
+    if report is not None:
+        report["scans"] = scans
+    return done
+
+
+def kmeans_from(df: DataFrame, starts: list, features: str, tol: float = 1e-9, max_rounds: int = 1000) -> list:
+    """Centres of one fit from the given start centres (see ``kmeans_fits``)."""
+    return kmeans_fits(df, {0: starts}, features, tol, max_rounds)[0]
 
 
 def cluster_from(df: DataFrame, starts: list, features: str, keep=()) -> DataFrame:
@@ -95,15 +125,14 @@ def cluster_from(df: DataFrame, starts: list, features: str, keep=()) -> DataFra
     return _nearest(known, list(range(len(centres))), centres, features, keep)
 
 
-def elbow_from(df: DataFrame, starts: list, ks, features: str) -> DataFrame:
-    """``k, inertia`` of fits from the first k of the given start centres (independent fits, run concurrently)."""
-    ks = [int(k) for k in ks]
-
-    def fit(k):
-        return k, float(inertia(cluster_from(df, starts[:k], features)).first()[0] or 0.0)
-    with ThreadPoolExecutor(max_workers=min(len(ks), 8)) as pool:
-        rows = sorted(pool.map(fit, ks))
-    return df.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
+def elbow_from(df: DataFrame, starts: list, ks, features: str, report: dict | None = None) -> DataFrame:
+    """``k, inertia`` of fits from the first k of the given start centres.  All k advance in the same scans, and one
+    more scan sums the squared distances of every fit."""
+    known = df.where(F.col(features).isNotNull())
+    fits = kmeans_fits(known, {int(k): starts[:int(k)] for k in ks}, features, report=report)
+    rows = {r["fit"]: float(r["inertia"] or 0.0)
+            for r in _nearest_each(known, fits, features).groupBy("fit").agg(F.sum("dist2").alias("inertia")).collect()}
+    return df.sparkSession.createDataFrame([(k, rows.get(k, 0.0)) for k in sorted(fits)], "k INT, inertia DOUBLE")
 
 
 def inertia(assigned: DataFrame) -> DataFrame:

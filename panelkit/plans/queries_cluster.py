@@ -15,6 +15,7 @@ from panelkit.operators import kmeans as KM
 from panelkit.operators import profile as PR
 from panelkit.operators import reduce as RD
 from panelkit.operators import silhouette as SI
+from panelkit.operators.sampling import hash_sample
 from panelkit.plans import sqlparts as Q
 from panelkit.plans.queries import _round_all, query
 from panelkit.sources import tables as T
@@ -168,6 +169,30 @@ def q_silhouette_samples(spark, sf):
         "vec_id", "label", "silhouette", "rank")
 
 
+SAMPLE = 0.05
+# the same sums over plain distances, for the hash sample of points against all points
+_SIL_EUCLID = (_SIL.replace("sum(list_sum(", "sum(sqrt(list_sum(").replace("(z[1] - z[2]))))", "(z[1] - z[2])))))")
+               .replace("FROM p a JOIN p b", "FROM sm a JOIN p b").replace("FROM p JOIN cnt cn", "FROM sm p JOIN cnt cn")
+               .replace("d AS (SELECT a.vec_id", f"""sm AS (SELECT * FROM p WHERE ((vec_id % 2147483647) * 48271 + {SEED}) % 2147483647 % 10000 < {int(SAMPLE * 10000)}),
+d AS (SELECT a.vec_id"""))
+
+
+def _euclid(spark, sf):
+    v = T.vectors(spark, sf)
+    return SI.euclidean_silhouette(v, hash_sample(v, "vec_id", SAMPLE, SEED), "embedding", "label", "vec_id")
+
+
+@query("silhouette_euclidean", f"{_SIL_EUCLID} SELECT vec_id, label, {Q.r6('silhouette')} AS silhouette FROM s")
+def q_silhouette_euclidean(spark, sf):
+    """The original's measure on its 5 % sample of points, each against the whole table."""
+    return _round_all(_euclid(spark, sf), {"silhouette"})
+
+
+@query("silhouette_euclidean_score", f"{_SIL_EUCLID} SELECT {Q.r6('avg(silhouette)')} AS silhouette_score FROM s")
+def q_silhouette_euclidean_score(spark, sf):
+    return _round_all(_euclid(spark, sf).agg(F.avg("silhouette").alias("silhouette_score")), {"silhouette_score"})
+
+
 def _points(spark, sf):
     return T.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
 

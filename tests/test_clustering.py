@@ -77,6 +77,53 @@ def test_silhouette_matches_distance_matrix(spark, vec):
         assert got[ids[i]] == pytest.approx(s, abs=1e-9)
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 400])
+def test_euclidean_silhouette_matches_distance_matrix(spark, vec, block_bytes):
+    """Also with the sample in several blocks; nulls, equal points, a lone point and another id type."""
+    _, X, lab, _ = vec
+    X, lab = X[:150, :5].copy(), [int(c) for c in lab[:150]]
+    X[1], lab[1] = X[0], lab[0]
+    lab[7] = 77  # alone in its cluster
+    rows = [(f"p{i}", c, [float(v) for v in p]) for i, (p, c) in enumerate(zip(X, lab, strict=True))]
+    df = spark.createDataFrame(rows + [("nul", 0, None), ("nolabel", None, [0.0] * 5)], "id STRING, c INT, x ARRAY<DOUBLE>").repartition(5)
+    sample = df.where("id IN ('p0', 'p1', 'p7', 'nul', 'nolabel') OR id LIKE 'p%3'")
+    got = {r.id: r.silhouette for r in SI.euclidean_silhouette(df, sample, "x", "c", "id", block_bytes).collect()}
+    assert set(got) == {"p0", "p1", "p7"} | {f"p{i}" for i in range(150) if i % 10 == 3}
+    lab = np.array(lab)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    for name, s in got.items():
+        i = int(name[1:])
+        n_own = (lab == lab[i]).sum()
+        b = min(D[i, lab == c].mean() for c in set(lab) if c != lab[i])
+        a = D[i, lab == lab[i]].sum() / (n_own - 1) if n_own > 1 else 0.0
+        assert s == pytest.approx(0.0 if n_own == 1 else (b - a) / max(a, b), abs=1e-12)
+
+
+def test_euclidean_silhouette_defined_cases(spark):
+    df = spark.createDataFrame([(1, 3, [1.0, 2.0]), (2, 3, [1.0, 2.0])], "id LONG, c LONG, x ARRAY<FLOAT>")
+    got = SI.euclidean_silhouette(df, df, "x", "c", "id")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 0.0), (2, 3, 0.0)]  # one cluster of equal points
+    none = SI.euclidean_silhouette(df.limit(0), df.limit(0), "x", "c", "id")
+    assert none.columns == ["id", "c", "silhouette"] and none.collect() == []
+
+
+def test_fits_of_an_elbow_share_their_scans(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 0.8, (60, 2)) for m in (0.0, 2.0, 5.0)])
+    df = spark.createDataFrame([([float(v) for v in p],) for p in x], "x ARRAY<DOUBLE>")
+    starts = [[float(v) for v in x[i]] for i in (0, 70, 140, 10)]
+    alone = {}
+    for k in (1, 2, 4):
+        r = {}
+        centres = KM.kmeans_fits(df, {k: starts[:k]}, "x", report=r)[k]
+        alone[k] = (r["scans"], centres)
+    r = {}
+    together = KM.kmeans_fits(df, {k: starts[:k] for k in alone}, "x", report=r)
+    assert r["scans"] == max(n for n, _ in alone.values())
+    for k, (_, centres) in alone.items():
+        assert np.allclose(together[k], centres, atol=1e-9)
+
+
 def _np_dbscan(P, eps, ms):
     d = np.sqrt(((P[:, None, :] - P[None, :, :]) ** 2).sum(-1))
     nb = [np.where(d[i] <= eps)[0] for i in range(len(P))]

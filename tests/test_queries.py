@@ -13,7 +13,7 @@ FAST = ["summary_stats", "yearly_distribution", "geo_delta_topn", "year_counts",
         "longest_run", "consecutive_year_filter", "missing_years", "merge_last_wins", "union_tables",
         "extract_features", "feature_record", "fill_zero", "ratio_feature", "cell_normalise",
         "numeric_validity", "geo_region", "hash_sample", "pairwise_bins", "winsorize", "quantile_clip",
-        "histogram50", "kde_curve", "silhouette_score", "assign_fixed_centroids", "eps_neighbours", "dbscan_labels", "dbscan_grid",
+        "histogram50", "kde_curve", "silhouette_score", "silhouette_euclidean", "silhouette_euclidean_score", "elbow_from_starts", "assign_fixed_centroids", "eps_neighbours", "dbscan_labels", "dbscan_grid",
         "cluster_profile", "zscore_outliers", "panel_json_roundtrip"]
 
 
