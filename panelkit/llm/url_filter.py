@@ -52,13 +52,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _pieces(framed: Column, mark: str, n: int) -> Column:
+    """All pieces of ``n`` characters, behind their mark."""
+    # one parameter only: a second one, a default too, would be given the position in the array
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))),
+                         lambda i: F.concat(F.lit(mark), framed.substr(i, F.lit(n))))
+    return F.when(F.length(framed) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(text: Column, mark: str, sizes=SIZES) -> Column:
     """N-grams of ``^text$``, each marked with the part of the url it comes from."""
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [F.when(F.length(framed) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))),
-        lambda i, n=n: F.concat(F.lit(mark), framed.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*parts)
+    return F.concat(*[_pieces(framed, mark, n) for n in sizes])
 
 
 def featured(urls: DataFrame) -> DataFrame:
