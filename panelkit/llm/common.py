@@ -59,6 +59,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the caller's columns named like an operator's output renamed to ``input_<name>`` (``input_`` again
+    while that is taken), and the names given."""
+    taken, given = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            new = f"input_{c}"
+            while new.lower() in taken:
+                new = f"input_{new}"
+            taken.add(new.lower())
+            given[c] = new
+    return (df.withColumnsRenamed(given) if given else df), given
+
+
+def entries(df: DataFrame, lists: str) -> int:
+    """Rows of a stored table plus the entries of its array column: what a broadcast of it would carry."""
+    return df.agg(F.coalesce(F.sum(F.greatest(F.size(lists), F.lit(0)) + 1), F.lit(0))).first()[0]
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a count; beyond the limit the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index (DataFrame operations only).
 
-* Index: one posting ``(term, doc, pos)`` for every training word that some benchmark item uses, stored as
-  Parquet.  The word list of the items is broadcast when it is counted small, else joined by shuffle.  A last
-  posting with the empty term holds each document's number of words.
+* Index: one posting ``(term, doc, pos)`` for every training word, stored as Parquet; it depends on the documents
+  only, so one index serves any benchmark (``contamination(..., index=)``).  A last posting with the empty term
+  holds each document's number of words.
 * Search: in every window of ``WINDOW`` item words the rarest term (by corpus frequency) is probed.  A hit
   fixes the alignment ``diag = doc position - item position``.  The list of the window's second rarest term,
   adjusted by its offset, is intersected with it; only alignments found in both go on.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import broadcast_if_small, cut, stage
+from panelkit.llm.common import broadcast_if_small, cut, entries, stage
 
 WINDOW = 10
 NEAR_TERMS, NEAR_SPAN = 5, 40
@@ -43,17 +43,17 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
             .distinct().select("item", F.size("w").alias("n"), F.posexplode("w").alias("at", "term")))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings ``(term, doc, pos)`` of the wanted ``terms``, and a posting ``('', doc, n_words)``."""
-    wanted = cut(terms.select("term").distinct().union(docs.sparkSession.sql("SELECT '' AS term")))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings ``(term, doc, pos)`` of all words, and a posting ``('', doc, n_words)``."""
     words = F.concat(F.coalesce(words_of(F.col(text_col)), F.array().cast("array<string>")), F.array(F.lit("")))
-    postings = docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "term"))
-    return stage(postings.join(broadcast_if_small(wanted, wanted.count()), "term").select("term", "doc", "pos"), "postings")
+    return stage(docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "term")).select("term", "doc", "pos"), "postings")
 
 
 def frequencies(index: DataFrame, words: DataFrame) -> DataFrame:
     """The item words with the corpus frequency of their terms (0 included)."""
-    cf = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    terms = cut(words.select("term").distinct())
+    cf = (index.join(broadcast_if_small(terms, terms.count()), "term", "left_semi")
+          .groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
     return cut(words.join(cf, "term", "left").na.fill(0, ["cf"]).select("item", "n", "at", "term", "cf"))
 
 
@@ -111,12 +111,13 @@ def proximity_matches(index: DataFrame, words: DataFrame, terms: int = NEAR_TERM
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
-                  text_col: str = "text", near: bool = True) -> DataFrame:
+                  text_col: str = "text", near: bool = True, index: DataFrame | None = None) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit`` (words inside matched windows), ``item_ids`` (sorted as
-    strings) and, unless ``near`` is off, ``n_near_items`` (items with a proximity match)."""
-    words = cut(item_words(items))
-    index = build_index(docs, words, id_col, text_col)
-    words = frequencies(index, words)
+    strings) and, unless ``near`` is off, ``n_near_items`` (items with a proximity match).  ``index`` is what
+    ``build_index`` gave for the same documents."""
+    if index is None:
+        index = build_index(docs, id_col, text_col)
+    words = frequencies(index, cut(item_words(items)))
     matches = cut(phrase_matches(index, words, window))
     hit = (matches.select("doc", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos")).distinct()
            .groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit")))
@@ -129,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         hits = hits.join(close, "doc", "full")
     hits = cut(hits)
     out = (index.where("term = ''").select("doc", F.col("pos").cast("long").alias("n_words"))
-            .join(broadcast_if_small(hits, hits.count(), 50_000), "doc", "left")
+            .join(broadcast_if_small(hits, entries(hits, "item_ids")), "doc", "left")
             .select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     *([F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items")] if near else [])))

@@ -11,7 +11,8 @@ else a shuffle join of two plain exchanges, whose hot keys Spark splits).
 
 Defined cases: null or empty texts, documents of fewer than three such lines and rows with a null id stay as
 they are; rows that share id and text are the same occurrence and get the same result; other columns pass
-through untouched; an empty table gives an empty result.
+through untouched, those named ``n_lines`` or ``n_removed`` as ``input_n_lines``, ``input_n_removed``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WS, broadcast_if_small, small_batches, stage
+from panelkit.llm.common import WS, aside, broadcast_if_small, entries, small_batches, stage
 
 LINES = 3
+OUTPUTS = ("n_lines", "n_removed")
 FILLED = r"[^\x20\x09-\x0D]"
 
 
@@ -69,7 +71,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with repeated windows cut out of the text, plus ``n_lines`` and ``n_removed`` (lines)."""
     gone = stage(removed_windows(docs, id_col, text_col, k)
                  .withColumnsRenamed({"doc": "__doc", "removed": "__removed"}), "line-removed")
-    kept = docs.join(broadcast_if_small(gone, gone.count(), 20_000), F.col(id_col) == F.col("__doc"), "left")
+    docs, _ = aside(docs, OUTPUTS)
+    kept = docs.join(broadcast_if_small(gone, entries(gone, "__removed")), F.col(id_col) == F.col("__doc"), "left")
     # only texts that lose lines go through Python
     hit = F.col("__removed").isNotNull()
     small_batches(docs.sparkSession)

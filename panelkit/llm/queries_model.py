@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import table
 from panelkit.llm.language_id import fit, predict
-from panelkit.llm.mixing import ROUNDS, mix
+from panelkit.llm.mixing import mix
 
 REGISTRY: dict = {}
 
@@ -24,7 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["op2_language_id"] = (op2_language_id, None)
 
 
-def mixing_sql(rounds: int = ROUNDS) -> str:
+SQL_ROUNDS = 60  # unrolled; mix() stops by tolerance, here the rounds past it change nothing
+
+
+def mixing_sql(rounds: int = SQL_ROUNDS) -> str:
     steps, last = [], "r0"
     for i in range(rounds):
         for m in ("source", "lang", "topic"):

@@ -121,6 +121,10 @@ def test_line_dedup(spark, odd, empty):
     out = line_dedup.dedup_lines(odd.withColumnRenamed("n", "lines"))
     assert ids(out) == ids(odd) and out.where("doc_id = 0").first().text is None
     assert line_dedup.dedup_lines(empty).count() == 0
+    clash = df.withColumn("n_lines", F.lit(-1)).withColumn("n_removed", F.lit("x")).withColumn("input_n_lines", F.lit(-2))
+    out = line_dedup.dedup_lines(clash)
+    assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == brute_lines(docs)
+    assert out.where("input_input_n_lines <> -1 OR input_n_removed <> 'x' OR input_n_lines <> -2").count() == 0
 
 
 # ---- near duplicates -----------------------------------------------------------------------------
@@ -345,6 +349,10 @@ def test_decontamination(spark, odd, empty):
     assert got == want
     assert ids(decontam.contamination(odd, bench)) == ids(odd)
     assert decontam.contamination(empty, bench).count() == 0
+    index = decontam.build_index(df)  # all words, so one index serves any benchmark
+    assert index.where("term <> ''").count() == sum(len(get(t)) for t in docs.values())
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(df, bench, index=index).collect()}
+    assert got == want
     none = decontam.contamination(df, bench.limit(0))
     assert none.agg(F.sum("n_hit")).first()[0] == 0 and none.count() == 80
 
@@ -391,9 +399,38 @@ def test_raking_meets_the_margins(spark):
     rnd = random.Random(9)
     cells = [(s, la, t, float(rnd.randint(1, 1000))) for s in ("a", "b", None) for la in ("x", "y") for t in (0, 1, 2)]
     df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens double")
-    out = mixing.raked(df, targets={"source": {"a": 1, "b": 2, None: 1}}, shapes={"lang": 0.5, "topic": 0.0}, rounds=25).toPandas()
-    assert np.allclose(out.groupby("topic").w.sum(), 1 / 3, atol=1e-9)
-    assert np.allclose(out.groupby(out.source.fillna("-")).w.sum().loc[["a", "b", "-"]], [0.25, 0.5, 0.25], atol=1e-6)
+    out = mixing.raked(df, targets={"source": {"a": 1, "b": 2, None: 1}}, shapes={"lang": 0.5, "topic": 0.0}).toPandas()
+    assert np.allclose(out.groupby("topic").w.sum(), 1 / 3, atol=1e-11)
+    assert np.allclose(out.groupby(out.source.fillna("-")).w.sum().loc[["a", "b", "-"]], [0.25, 0.5, 0.25], atol=1e-11)
+
+
+def test_distributed_raking_takes_the_same_steps(spark, monkeypatch):
+    rnd = random.Random(10)
+    cells = [(s, la, float(rnd.randint(1, 1000))) for s in ("a", "b", None) for la in ("x", "y", None) if (s, la) != ("a", "x")]
+    df = spark.createDataFrame(cells, "source string, lang string, tokens double")
+    both = []
+    for limit in (100, 0):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", limit)
+        both.append({(r.source, r.lang): r.w for r in mixing.raked(df, ("source", "lang"), shapes={"source": 0.5, "lang": 0.0}, tolerance=1e-3).collect()})
+    assert both[0] == pytest.approx(both[1], rel=1e-12) and len(both[0]) == 8
+
+
+def test_raking_tells_what_it_cannot_meet(spark):
+    # "a" has only "x": both margins cannot hold
+    df = spark.createDataFrame([("a", "x", 5.0), ("b", "x", 5.0)], "source string, lang string, tokens double")
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.raked(df, ("lang", "source"), {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 1}}, max_rounds=3)
+
+
+def test_mix_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "some words here again", "s", "en", "law" if i % 2 else "art", 9.0, 3) for i in range(8)],
+                                 "doc_id long, text string, source string, lang string, topic string, expected_copies double, n_tokens long")
+    out = mixing.mix(docs)
+    assert {r.input_topic for r in out.collect()} == {"law", "art"} and out.where("input_expected_copies <> 9 OR input_n_tokens <> 3").count() == 0
+    assert out.where("n_tokens <> 4 OR topic < 0").count() == 0
+    by_topic = mixing.mix(docs, topic_col="topic")
+    assert {r.topic for r in by_topic.collect()} == {"law", "art"}
+    assert by_topic.agg(F.sum("expected_copies")).first()[0] == pytest.approx(4)
 
 
 def test_mix_odd(odd, empty):
@@ -404,9 +441,10 @@ def test_mix_odd(odd, empty):
 
 def test_pipeline_on_odd_documents(spark, odd):
     import corpus_pipeline
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", F.lit("law").alias("topic"), F.lit(-5).alias("n_removed"))
+    names = docs.columns
     for _, step in corpus_pipeline.STAGES[:-1]:
         docs = step(spark, docs, "/root/testdata/sf0.001")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == names and docs.where("topic <> 'law' OR n_removed <> -5").count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert all(r.n_copies > 0 for r in out.collect()) and out.count() <= docs.count()
