@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the last return the columns of
-``documents``; the last adds ``topic``, ``n_tokens``, ``expected_copies`` and ``n_copies``.
+``documents``; the last adds ``topic``, ``n_tokens``, ``expected_copies`` and ``n_copies`` (a column of the caller
+with such a name goes on as ``input_<name>``).
 
 Rows with null ids pass every stage that names documents by id; null texts fail the first quality rule.
 """
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import broadcast_if_small, cut, stage, table
+from panelkit.llm.common import aside, broadcast_if_small, cut, stage, table
 from panelkit.llm.decontam import contamination
-from panelkit.llm.line_dedup import dedup_lines
+from panelkit.llm.line_dedup import OUTPUTS, dedup_lines
 from panelkit.llm.mixing import mix
 from panelkit.llm.near_dedup import near_duplicates
 from panelkit.llm.quality import keep_quality
@@ -53,7 +54,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    _, given = aside(docs, OUTPUTS)  # the caller's columns of these names
+    return out.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
