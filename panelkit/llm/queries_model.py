@@ -24,22 +24,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["op2_language_id"] = (op2_language_id, None)
 
 
-SQL_ROUNDS = 60  # unrolled; mix() stops by tolerance, here the rounds past it change nothing
+SQL_ROUNDS = 150  # mix() stops by tolerance; the rounds past it change nothing
 
 
 def mixing_sql(rounds: int = SQL_ROUNDS) -> str:
-    steps, last = [], "r0"
-    for i in range(rounds):
-        for m in ("source", "lang", "topic"):
-            name = f"r{i + 1}_{m}"
-            steps.append(f"{name} AS (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic,"
-                         f" w * t_{m} / sum(w) OVER (PARTITION BY {m}) AS w FROM {last})")
-            last = name
+    step = "r WHERE i < " + str(rounds)
+    for m in ("source", "lang", "topic"):
+        step = (f"(SELECT i, source, lang, topic, tokens, t_source, t_lang, t_topic,"
+                f" w * t_{m} / sum(w) OVER (PARTITION BY {m}) AS w FROM {step})")
     power = {"source": "0.5", "lang": "0.5", "topic": "0.0"}
     shares = ",\n".join(f"p_{m} AS (SELECT {m}, p / sum(p) OVER () AS t_{m} FROM (SELECT {m}, pow(sum(tokens), {power[m]}) AS p FROM cells GROUP BY {m}))"
                         for m in power)
     return rf"""
-WITH ws AS (
+WITH RECURSIVE ws AS (
   SELECT doc_id, source, lang, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                   '[^\x20\x09-\x0D]+') AS w FROM documents),
 freq AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM ws) WHERE strlen(x) >= 5 GROUP BY doc_id, x),
@@ -51,16 +48,16 @@ d AS (
 all_cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
 cells AS (SELECT * FROM all_cells WHERE tokens > 0),
 {shares},
-r0 AS (
-  SELECT cells.source, cells.lang, cells.topic, tokens, t_source, t_lang, t_topic, tokens AS w
+r AS (
+  SELECT 0 AS i, cells.source, cells.lang, cells.topic, tokens, t_source, t_lang, t_topic, tokens AS w
   FROM cells JOIN p_source ON cells.source IS NOT DISTINCT FROM p_source.source
-  JOIN p_lang ON cells.lang IS NOT DISTINCT FROM p_lang.lang JOIN p_topic ON cells.topic = p_topic.topic),
-{",\n".join(steps)},
+  JOIN p_lang ON cells.lang IS NOT DISTINCT FROM p_lang.lang JOIN p_topic ON cells.topic = p_topic.topic
+  UNION ALL SELECT i + 1, source, lang, topic, tokens, t_source, t_lang, t_topic, w FROM {step}),
 e AS (
   SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens,
          CASE WHEN d.n_tokens > 0 THEN floor(coalesce(w * (0.5::DOUBLE * (SELECT sum(tokens) FROM cells)) / tokens, 0) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE
               ELSE 0::DOUBLE END AS expected_copies
-  FROM d LEFT JOIN {last} r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic)
+  FROM d LEFT JOIN r ON r.i = {rounds} AND d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic)
 SELECT doc_id, source, lang, topic, n_tokens, expected_copies,
        CAST(floor(expected_copies) AS BIGINT) + CASE WHEN CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296::DOUBLE
          < expected_copies - floor(expected_copies) THEN 1 ELSE 0 END AS n_copies
