@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.common import bounded_collect
+from panelkit.operators.common import bounded_collect, written
 from panelkit.operators.sampling import hash_sample
+from panelkit.operators.spatial import vectors
 
 MAX_K = 1000
+DIRECT_TASKS = 256
 
 
 def kmeans_fit(df: DataFrame, k: int = 6, seed: int = 42, features: str = "pca", max_iter: int = 1000):
@@ -82,27 +87,96 @@ def _near_entry(name: int, d2: Column) -> Column:
                        lambda acc: F.struct(acc["fit"].alias("fit"), acc["cluster"].alias("cluster"), acc["dist2"].alias("dist2")))
 
 
+def _nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Row number of each row's nearest centre.  One matrix product decides; rows with two centres so close that its
+    rounding could decide are summed term by term, in the order of the coordinates (ties to the lowest number)."""
+    middle = centres.mean(axis=0)
+    a, c = x - middle, centres - middle
+    na, nc = (a * a).sum(axis=1), (c * c).sum(axis=1)
+    d2 = nc - 2 * (a @ c.T)
+    best = d2.argmin(axis=1)
+    limit = d2[np.arange(len(x)), best] + 1e-12 * (na + nc.max()) * x.shape[1]
+    doubt = np.flatnonzero((d2 <= limit[:, None]).sum(axis=1) > 1)
+    for at in range(0, len(doubt), 1024):
+        rows = doubt[at:at + 1024]
+        total = np.zeros((len(rows), len(centres)))
+        for j in range(x.shape[1]):
+            total += np.subtract.outer(x[rows, j], centres[:, j]) ** 2
+        best[rows] = total.argmin(axis=1)
+    return best
+
+
+def _partial_means(fits: dict):
+    """Task function: mean and number of a task's points at every centre of every fit (a row each)."""
+    names = list(fits)
+    centres = [np.array(fits[n], dtype=np.float64) for n in names]
+    start = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count = np.zeros((start[-1], centres[0].shape[1])), np.zeros(start[-1])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = vectors(b.column(0), centres[0].shape[1])
+            own = np.zeros((len(x), start[-1]))
+            for c, at in zip(centres, start, strict=False):
+                own[np.arange(len(x)), at + _nearest_rows(x, c)] = 1.0
+            sums += own.T @ x
+            count += own.sum(axis=0)
+        some = np.flatnonzero(count)
+        fit = np.searchsorted(start, some, side="right") - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(names, dtype=np.int64)[fit], pa.int32()), pa.array(some - start[fit], pa.int32()), pa.array(count[some]),
+             pa.array(list(sums[some] / count[some, None]), pa.list_(pa.float64()))], names=["fit", "cluster", "n", "m"])
+
+    return run
+
+
+def _packed(points: DataFrame, d: int) -> DataFrame:
+    """The vectors as little-endian doubles, dealt evenly and stored once for all rounds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            flat = lists.flatten()
+            if flat.null_count or (np.diff(lists.offsets.to_numpy()) != d).any():
+                raise ValueError(f"a vector without {d} numbers")
+            rows = flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in rows], pa.binary())], names=["x"])
+
+    tasks = points.sparkSession.sparkContext.defaultParallelism
+    return written(points.mapInArrow(run, "x binary").repartition(tasks), "kmeans-points")
+
+
 def kmeans_fits(df: DataFrame, fits: dict, features: str, tol: float = 1e-9, max_rounds: int = 1000, report: dict | None = None) -> dict:
     """Centres of several fits (name -> start centres) that advance together: points go to their nearest centre of
     every fit, centres to the mean of their points (one without points stays), until no coordinate of a fit moves by
-    more than ``tol``; a fit that stands still leaves the rounds.  A round is one scan with a partial aggregate of a
-    row a (fit, cluster), so there are as many scans as the longest fit has rounds (``report["scans"]``); only the
-    centres reach the driver.  Null vectors are left out; an empty table returns the starts.  Fits still moving after
-    ``max_rounds`` are reported by a warning."""
-    from pyspark.ml.functions import array_to_vector
+    more than ``tol``; a fit that stands still leaves the rounds.  A round is one scan in which a task meets all
+    centres by matrix products and returns a row a (fit, cluster), so there are as many scans as the longest fit has
+    rounds (``report["scans"]``); only the centres reach the driver.  Null vectors are left out; an empty table
+    returns the starts.  Fits still moving after ``max_rounds`` are reported by a warning."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     done = {int(n): [[float(v) for v in c] for c in starts] for n, starts in fits.items()}
     if max(map(len, done.values()), default=0) > MAX_K:
         raise ValueError(f"more than {MAX_K} centres")
-    points = df.where(F.col(features).isNotNull()).select(features)
+    points = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
     moving = {n: c for n, c in done.items() if c}
+    if moving:
+        points = _packed(points, len(next(iter(moving.values()))[0]))
+    # a round returns a row a (task, fit, cluster); those of very many tasks are brought together on Spark
+    few = bool(moving) and points.rdd.getNumPartitions() <= DIRECT_TASKS
     scans = 0
     while moving and scans < max_rounds:
-        near = _nearest_each(points, moving, features, keep=(features,))
-        means = near.groupBy("fit", "cluster").agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m")).collect()
+        near = points.mapInArrow(_partial_means(moving), "fit int, cluster int, n double, m array<double>")
+        if not few:
+            near = (near.groupBy("fit", "cluster").agg(F.sum("n").alias("n"), Summarizer.mean(array_to_vector("m"), F.col("n")).alias("m"))
+                    .withColumn("m", vector_to_array("m")))
         scans += 1
+        parts: dict = {}
+        for r in near.collect():
+            parts.setdefault((r["fit"], r["cluster"]), []).append((r["n"], r["m"]))
         new = {n: list(c) for n, c in moving.items()}
-        for r in means:
-            new[r["fit"]][r["cluster"]] = [float(v) for v in r["m"].toArray()]
+        for (fit, cluster), got in parts.items():
+            new[fit][cluster] = [float(v) for v in np.average([m for _, m in got], axis=0, weights=[n for n, _ in got])]
         shift = {n: max(abs(a - b) for p, q in zip(c, new[n], strict=True) for a, b in zip(p, q, strict=True)) for n, c in moving.items()}
         done.update(new)
         moving = {n: c for n, c in new.items() if shift[n] > tol}

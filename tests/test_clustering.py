@@ -183,3 +183,28 @@ def test_kmeans_from_starts_ends_at_a_fixed_point(spark):
     assert KM.kmeans_from(df.limit(0), starts, "x") == starts
     curve = {r["k"]: r["inertia"] for r in KM.elbow_from(df, starts, (1, 2, 3), "x").collect()}
     assert np.isclose(curve[3], ((x - centres[near]) ** 2).sum()) and curve[1] > curve[2] > curve[3]
+
+
+def test_rounds_do_not_run_the_plan_behind_their_input(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (200, 4))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([([float(v) for v in p],) for p in x], "x ARRAY<DOUBLE>").mapInArrow(count, "x array<double>")
+    report = {}
+    KM.kmeans_fits(df, {3: [list(map(float, p)) for p in x[:3]]}, "x", report=report)
+    assert report["scans"] > 1 and seen.value == 200
+
+
+def test_nearest_rows_as_summed_term_by_term():
+    rng = np.random.default_rng(6)
+    centres = np.concatenate([rng.integers(-3, 4, (6, 3)), [[1e6] * 3]]).astype(float)
+    centres = np.concatenate([centres, centres[:2]])  # equal centres: the lowest number
+    x = np.concatenate([rng.integers(-3, 4, (300, 3)) / 2, (centres[0] + centres[1])[None] / 2])  # many exact ties
+    want = [min(range(len(centres)), key=lambda c: (sum((p - q) ** 2 for p, q in zip(v, centres[c], strict=True)), c)) for v in x]
+    assert list(KM._nearest_rows(x, centres)) == want
