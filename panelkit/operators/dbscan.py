@@ -4,10 +4,12 @@
 2. ``spatial.blocks`` partitions them once for all radii of the settings: halo points are sent to the groups whose
    box they can reach, node pairs wholly within a radius are settled in bulk, and all others are compared inside
    groups of two bounded blocks.
-3. One neighbour pass counts every point's neighbours within every radius; core points follow for every setting.
-4. One link pass returns, per group and setting, a forest of the group's core-core links (never its pairs) and one
-   core neighbour per border point and local component.
-5. The forests are merged by connected components on (point, setting), all settings in the same rounds.
+3. Neighbours are counted within every radius, first inside a point's own block, and in other blocks only for points
+   that then lack neighbours for some setting; a point that has what all settings need is not compared further.
+4. Core points are linked inside their own block first: each gets the root of its component there.  Then groups of two
+   blocks link components, leaving out what is linked already, and return a forest of roots (never pairs) and, per
+   point that is no core point, the roots it touches (fewer than min_samples).
+5. The forests are merged by connected components on (root, setting), all settings in the same rounds.
 6. Cluster numbers follow the smallest core id of each component (0, 1, ...), a border point takes the smallest
    cluster among its core neighbours, everything else is noise (-1).  For ids in row order this is exactly the
    labelling of the sequential algorithm.
@@ -51,22 +53,31 @@ def eps_neighbours(points: DataFrame, eps: float, id_col: str = "id", coords: st
     n = numbered.count()
     if n == 0:
         return pts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2"))
-    made = spatial.blocks(numbered.select("idx", F.lit(1).cast("long").alias("w"), "x"), n, d, [float(eps)], materialise)
+    made = spatial.blocks(numbered.select("idx", F.lit(1).cast("long").alias("w"), "x"), n, d, [float(eps)], materialise, opened=True)
     if made.bulk:  # pairs are asked for one by one, so nothing is settled in bulk
         made = made.opened()
-    limit = float(eps) * float(eps)
+    limit, radii = float(eps) * float(eps), made.radii
+    # ids ride with their points: the pairs, which can be very many, are not joined or shuffled again
+    named = made.points.join(numbered.select("idx", "id"), "idx")
+    kind = named.schema["id"].dataType.simpleString()
 
-    def find(left, right, d2):
-        i, j = np.nonzero(d2 <= limit)
-        a, b = left.column("idx").to_numpy()[i], right.column("idx").to_numpy()[j]
-        keep = a < b if left is right else a >= 0
-        a, b, near = a[keep], b[keep], d2[i, j][keep]
-        return pa.table({"ia": np.minimum(a, b), "ib": np.maximum(a, b), "d2": near})
-
-    pairs = made.by_group(made.points, find, "ia long, ib long, d2 double")
-    ids = numbered.select("idx", "id")
-    return (pairs.join(ids.select(F.col("idx").alias("ia"), F.col("id").alias("a")), "ia")
-            .join(ids.select(F.col("idx").alias("ib"), F.col("id").alias("b")), "ib").select("a", "b", "d2"))
+    def find(left, right):
+        same = left is right
+        for i in range(0, len(left), spatial.SLAB):
+            for j in range(i if same else 0, len(right), spatial.SLAB):
+                d2 = spatial.distances2(left.x[i:i + spatial.SLAB], right.x[j:j + spatial.SLAB], radii)
+                r, c = np.nonzero(d2 <= limit)
+                near, r, c = d2[r, c], r + i, c + j
+                if same:
+                    keep = r < c
+                    near, r, c = near[keep], r[keep], c[keep]
+                swap = left.idx[r] > right.idx[c]
+                ends = pa.chunked_array([*left.table.column("id").chunks, *right.table.column("id").chunks])
+                r, c = np.where(swap, c + len(left), r), np.where(swap, r, c + len(left))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ends.take(pa.array(k)).chunks or [pa.array([], ends.type)]) for k in (r, c)]
+                                                 + [pa.array(near)], names=["a", "b", "d2"])
+
+    return made.by_group(named, find, f"a {kind}, b {kind}, d2 double")
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -145,62 +156,143 @@ def dbscan_pairs(points: DataFrame, eps: float, min_samples: int, id_col: str =
 DEFAULT_GRID = ((2.0, 3), (2.5, 5), (2.7, 5), (3.0, 3))
 
 
-def _components(adjacent: np.ndarray) -> np.ndarray:
-    """Smallest row number of each row's component (a symmetric matrix)."""
-    comp = np.full(len(adjacent), -1)
-    for seed in range(len(adjacent)):
-        if comp[seed] < 0:
-            comp[seed] = seed
-            front = np.array([seed])
-            while len(front):
-                front = np.flatnonzero(adjacent[front].any(axis=0) & (comp < 0))
-                comp[front] = seed
-    return comp
+def _slabs(rows: np.ndarray, cols: np.ndarray):
+    for i in range(0, len(rows), spatial.SLAB):
+        for j in range(0, len(cols), 4 * spatial.SLAB):
+            yield rows[i:i + spatial.SLAB], cols[j:j + 4 * spatial.SLAB]
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (smallest row number of each component so far) after linking rows ``a`` with rows ``b``."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not (label[label] == label).all():
+            label = label[label]
+
+
+def _join_up(label: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray, r: float) -> np.ndarray:
+    """Labels after linking all ``rows`` and ``cols`` within ``r``.  Rows and columns that already are in a slab's
+    largest component are not compared with each other, so a connected block takes far fewer distances than pairs."""
+    for i, j in _slabs(rows, cols):
+        if rows is cols and j[-1] < i[0]:
+            continue
+        values, sizes = np.unique(np.concatenate([label[i], label[j]]), return_counts=True)
+        big = values[sizes.argmax()]
+        inside = label[i] == big
+        for a, b in ((i[~inside], j), (i[inside], j[label[j] != big])):
+            if len(a) and len(b):
+                u, v = np.nonzero(spatial.distances2(x[a], x[b], (r,)) <= r * r)
+                label = _merge(label, a[u], b[v])
+    return label
+
+
+def _count(known: np.ndarray, need: np.ndarray, x: np.ndarray, rows: np.ndarray, y: np.ndarray, w: np.ndarray, radii) -> np.ndarray:
+    """Adds to ``known[row, radius]`` the weight of ``y`` within the radii, until a row has what it needs of all."""
+    for at in range(0, len(rows), spatial.SLAB):
+        i = rows[at:at + spatial.SLAB]
+        for j in range(0, len(y), 4 * spatial.SLAB):
+            i = i[(known[i] < need).any(axis=1)]
+            if not len(i):
+                break
+            d2 = spatial.distances2(x[i], y[j:j + 4 * spatial.SLAB], radii)
+            for k, r in enumerate(radii):
+                known[i, k] += ((d2 <= r * r).astype(float) @ w[j:j + 4 * spatial.SLAB]).astype(np.int64)
+    return known
+
+
+def _own_counts(made: spatial.Blocks, bulk: np.ndarray, need: np.ndarray):
+    """Per block: neighbours of its points in bulk and in the block itself, as far as they are needed."""
+    compared, radii = np.array([n in near for n, near in enumerate(made.near)]), made.radii
+
+    def find(rows):
+        leaf, w = rows.numbers("leaf"), rows.numbers("w").astype(float)
+        known = bulk[leaf].copy()
+        if len(rows) and compared[leaf[0]]:
+            known = _count(known, need, rows.x, np.arange(len(rows)), rows.x, w, radii)
+        t = rows.table.select(["idx", "w", "x", "leaf"])
+        yield from t.append_column("known", pa.array(list(known), pa.list_(pa.int64()))).combine_chunks().to_batches()
+    return find
 
 
-def _links(settings, limits):
-    """Per group and setting: forest links of core points, and border points with a core neighbour."""
-    def find(left, right, d2):
-        same = left is right
-        found: list[tuple[np.ndarray, ...]] = []
-        li, ri = left.column("idx").to_numpy(), right.column("idx").to_numpy()
-        lf, rf = left.column("flags").to_numpy(), right.column("flags").to_numpy()
-        idx = li if same else np.concatenate([li, ri])
-        flags = lf if same else np.concatenate([lf, rf])
-        for s in range(len(settings)):
-            near = d2 <= limits[s]
-            if same:
-                full = near
-            else:
-                full = np.zeros((len(idx), len(idx)), bool)
-                full[:len(li), len(li):] = near
-                full[len(li):, :len(li)] = near.T
-            core = np.flatnonzero((flags >> s) & 1)
-            if not len(core):
+def _other_counts(need: np.ndarray, radii):
+    """Per group of two blocks: further neighbours of the points that are still open."""
+    def find(left, right):
+        for mine, other in ((left, right), (right, left)):
+            if not len(mine):
                 continue
-            comp = core[_components(full[np.ix_(core, core)])]
-            linked = comp != core
-            found.append((np.full(linked.sum(), s), np.zeros(linked.sum(), np.int64), idx[core[linked]], idx[comp[linked]]))
-            rest = np.flatnonzero(((flags >> s) & 1) == 0)
-            roots, at = np.unique(comp, return_inverse=True)
-            member = np.zeros((len(core), len(roots)), np.float32)
-            member[np.arange(len(core)), at] = 1
-            i, j = np.nonzero(full[np.ix_(rest, core)].astype(np.float32) @ member)
-            found.append((np.full(len(i), s), np.ones(len(i), np.int64), idx[rest[i]], idx[roots[j]]))
-        s, kind, a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4))
-        return pa.table({"s": pa.array(s, pa.int32()), "border": pa.array(kind == 1), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            rows = np.flatnonzero(mine.table.column("open").to_numpy())
+            known = np.array(mine.table.column("known").to_pylist(), np.int64).reshape(len(mine), -1)
+            more = _count(known.copy(), need, mine.x, rows, other.x, other.numbers("w").astype(float), radii) - known
+            rows = rows[more[rows].any(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(mine.idx[rows]), *[pa.array(more[rows, k]) for k in range(len(radii))]],
+                                             names=["idx", *[f"c{k}" for k in range(len(radii))]])
     return find
 
 
-def _core_counts(radii):
-    def find(left, right, d2):
-        same = left is right
-        lw, rw = left.column("w").to_numpy().astype(float), right.column("w").to_numpy().astype(float)
-        out = {"idx": left.column("idx").to_numpy() if same else np.concatenate([left.column("idx").to_numpy(), right.column("idx").to_numpy()])}
-        for k, r in enumerate(radii):
-            near = (d2 <= r * r).astype(float)
-            out[f"c{k}"] = (near @ rw if same else np.concatenate([near @ rw, lw @ near])).astype(np.int64)
-        return pa.table(out)
+def _touched(s: int, r: float, x: np.ndarray, idx: np.ndarray, rest: np.ndarray, core: np.ndarray, root: np.ndarray):
+    """(s, point, root) for the roots of the core points near each of the points that are none."""
+    found = []
+    for i, j in _slabs(rest, core):
+        u, v = np.nonzero(spatial.distances2(x[i], x[j], (r,)) <= r * r)
+        if len(u):
+            found.append(np.unique(np.stack([idx[i[u]], root[j[v]]], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return np.full(len(pairs), s), pairs[:, 0], pairs[:, 1]
+
+
+def _own_roots(settings):
+    """Per block and setting: the smallest core point of the component of each core point by the block's own links
+    (-1: no core point), and the roots near the block's other points."""
+    def find(rows):
+        flags = rows.numbers("flags")
+        roots = np.full((len(rows), len(settings)), -1, np.int64)
+        near: dict = {}
+        for s, (r, _) in enumerate(settings):
+            is_core = (flags >> s) & 1 == 1
+            core, rest = np.flatnonzero(is_core), np.flatnonzero(~is_core)
+            if len(core):
+                roots[core, s] = rows.idx[_join_up(np.arange(len(rows)), rows.x, core, core, r)[core]]
+                for _, a, b in zip(*_touched(s, r, rows.x, rows.idx, rest, core, roots[:, s]), strict=True):
+                    near.setdefault(a, []).append({"s": s, "root": int(b)})
+        t = rows.table.select(["idx", "w", "x", "leaf", "flags"])
+        t = t.append_column("roots", pa.array(list(roots), pa.list_(pa.int64())))
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("root", pa.int64())]))
+        yield from t.append_column("near", pa.array([near.get(i, []) for i in rows.idx], kind)).combine_chunks().to_batches()
+    return find
+
+
+def _other_links(settings):
+    """Per group of two blocks and setting: a forest of the links between their components, and roots near points
+    that are no core points."""
+    def find(left, right):
+        if not len(left) or not len(right):
+            return
+        x, idx = np.concatenate([left.x, right.x]), np.concatenate([left.idx, right.idx])
+        flags = np.concatenate([left.numbers("flags"), right.numbers("flags")])
+        roots = np.array(left.table.column("roots").to_pylist() + right.table.column("roots").to_pylist(), np.int64)
+        on_left = np.arange(len(x)) < len(left)
+        for s, (r, _) in enumerate(settings):
+            is_core = (flags >> s) & 1 == 1
+            if not is_core.any():
+                continue
+            root = roots[:, s]
+            core = np.flatnonzero(is_core)
+            _, first, at = np.unique(root[core], return_index=True, return_inverse=True)
+            label = np.arange(len(x))
+            label[core] = core[first[at]]
+            label = _join_up(label, x, core[on_left[core]], core[~on_left[core]], r)
+            moved = core[first][label[core[first]] != core[first]]
+            found = [(np.full(len(moved), s), np.zeros(len(moved), bool), root[moved], root[label[moved]])]
+            for side in (on_left, ~on_left):
+                k, a, b = _touched(s, r, x, idx, np.flatnonzero(~is_core & side), np.flatnonzero(is_core & ~side), root)
+                found.append((k, np.ones(len(k), bool), a, b))
+            for k, border, a, b in found:
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(border), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                                     names=["s", "border", "a", "b"])
     return find
 
 
@@ -261,8 +353,15 @@ def _per_leaf(rows: DataFrame, leaves: int, settings: int) -> np.ndarray:
     return out
 
 
+def _open_blocks(made: spatial.Blocks, counted: DataFrame) -> np.ndarray:
+    """Blocks that hold a point still short of neighbours (as many rows as blocks at most)."""
+    start = np.concatenate([[0], np.cumsum(made.chop)])[:-1]
+    rows = counted.where("open").select("leaf", F.pmod("idx", F.element_at(F.lit([int(v) for v in made.chop]), F.col("leaf") + 1)).alias("part")).distinct().collect()
+    return np.array([start[r["leaf"]] + r["part"] for r in rows], np.int64)
+
+
 def dbscan_settings(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id", coords: str = "x",
-                    report: dict | None = None, block: int = spatial.BLOCK) -> DataFrame:
+                    report: dict | None = None, block: int | None = None) -> DataFrame:
     """Labels of every (eps, min_samples) setting: ``eps, min_samples, id, cluster, is_core``.  ``report`` receives
     the number of distinct ``points``, ``leaves``, ``bulk`` node pairs and ``compared`` pairs a point (upper bound)."""
     spark = points.sparkSession
@@ -285,39 +384,54 @@ def dbscan_settings(points: DataFrame, settings=DEFAULT_GRID, id_col: str = "id"
     if report is not None:
         report.update(points=n, leaves=leaves, bulk=len(made.bulk), compared=made.compared / n)
 
-    counted = (made.by_group(made.points, _core_counts(radii), "idx long, " + ", ".join(f"c{k} long" for k in range(len(radii))))
-               .groupBy("idx").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(radii))]))
-    extra = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(bulk.counts())], "leaf int, more array<long>")
-    total = [F.coalesce(f"c{k}", F.lit(0)) + F.col("more")[k] for k in range(len(radii))]
+    need = np.array([max(m for e, m in settings if e == r) for r in radii])
+    counted = materialise(made.by_block(made.points, _own_counts(made, bulk.counts(), need), "idx long, w long, x binary, leaf int, known array<long>"))
+    counted = counted.withColumn("open", sum((F.when(F.col("known")[k] < int(v), 1).otherwise(0) for k, v in enumerate(need)), F.lit(0)) > 0)
+    wanted = np.zeros(int(made.chop.sum()), bool)
+    wanted[_open_blocks(made, counted)] = True
+    total = [F.col("known")[k] for k in range(len(radii))]
+    if wanted.any():
+        more = (made.by_group(counted, _other_counts(need, made.radii), "idx long, " + ", ".join(f"c{k} long" for k in range(len(radii))), True, wanted)
+                .groupBy("idx").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(radii))]))
+        counted = counted.join(more, "idx", "left")
+        total = [t + F.coalesce(f"c{k}", F.lit(0)) for k, t in enumerate(total)]
     flag = sum((F.when(total[which[s]] >= m, 1 << s).otherwise(0) for s, (_, m) in enumerate(settings)), F.lit(0)).cast("long")
-    flagged = materialise(made.points.join(counted, "idx", "left").join(F.broadcast(extra), "leaf")
-                          .select("idx", "w", "x", "leaf", flag.alias("flags")))
+    flagged = counted.select("idx", "w", "x", "leaf", flag.alias("flags"))
 
-    found = materialise(made.by_group(flagged, _links(settings, [e * e for e, _ in settings]), "s int, border boolean, a long, b long"))
+    rooted = materialise(made.by_block(flagged, _own_roots(settings), "idx long, w long, x binary, leaf int, flags long, roots array<long>, near array<struct<s:int,root:long>>"))
+    found = materialise(made.by_group(rooted.drop("w", "near"), _other_links(settings), "s int, border boolean, a long, b long", True))
     key = lambda c, s="s": (F.col(c) * kinds + F.col(s)).cast("long")
+    cores = rooted.select("idx", "leaf", F.posexplode("roots").alias("s", "root")).where("root >= 0")
     links = found.where("NOT border").select(key("a").alias("a"), key("b").alias("b"))
-    cores = (flagged.select("idx", "leaf", F.explode(F.array(*[F.when(F.col("flags").bitwiseAND(1 << s) != 0, s) for s in range(kinds)])).alias("s"))
-             .where("s IS NOT NULL"))
+    vertices = cores.select(key("root").alias("id"))
     if made.bulk:
         partner, between = bulk.partners(_per_leaf(cores.withColumn("v", F.col("idx")), leaves, kinds))
+        ends = spark.createDataFrame(list({(m, s) for _, s, m in partner} | {(v, s) for s, a, b in between for v in (a, b)}), "idx long, s int")
         partner = spark.createDataFrame(partner, "leaf int, s int, mate long")  # at most leaves x settings rows
         between = spark.createDataFrame(between, "s int, a long, b long")
-        own = cores.join(F.broadcast(partner), ["leaf", "s"]).where("idx <> mate")
-        links = (links.unionByName(own.select(key("idx").alias("a"), key("mate").alias("b")))
-                 .unionByName(between.select(key("a").alias("a"), key("b").alias("b"))))
-    comps = connected_components(cores.select(key("idx").alias("id")), links.where("a <> b").distinct())
+        ends = cores.join(F.broadcast(ends), ["idx", "s"])
+        links = (links.unionByName(cores.join(F.broadcast(partner), ["leaf", "s"]).select(key("root").alias("a"), key("mate").alias("b")))
+                 .unionByName(between.select(key("a").alias("a"), key("b").alias("b")))
+                 .unionByName(ends.select(key("idx").alias("a"), key("root").alias("b"))))
+        vertices = vertices.unionByName(ends.select(key("idx").alias("id")))
+    comps = connected_components(vertices.distinct(), links.where("a <> b").distinct())
     comps = comps.withColumn("s", F.pmod("id", F.lit(kinds)).cast("int"))
     numbers = with_global_index(comps.select("s", "comp").distinct(), ["s", "comp"], "cluster", ["s"])
-    # a component can hold a third of all points: its number goes to them by (component, salt)
-    numbers = numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("s")
-    core_of = materialise(comps.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(numbers, ["comp", "_salt"])
-                          .select(F.expr(f"id div {kinds}").alias("idx"), "s", F.col("cluster").cast("int")))
-    offers = (found.where("border").join(core_of.select(F.col("idx").alias("b"), "s", "cluster"), ["b", "s"])
-              .select(F.col("a").alias("idx"), "s", "cluster"))
+    # a component can hold a third of all points: its number goes to them by (root, salt)
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    of_root = materialise(comps.drop("s").withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+                          .join(numbers.drop("s").withColumn("_salt", salted), ["comp", "_salt"])
+                          .select("id", F.col("cluster").cast("int").alias("cluster"), salted.alias("_salt")))
+    at_root = lambda rows: (rows.withColumn("id", key("root")).withColumn("_salt", F.pmod(F.hash("idx"), F.lit(SALTS)))
+                            .join(of_root, ["id", "_salt"]))
+    core_of = materialise(at_root(cores).select("idx", "s", "cluster"))
+    touched = (rooted.select("idx", F.explode("near").alias("n")).select("idx", "n.s", "n.root")
+               .unionByName(found.where("border").select(F.col("a").alias("idx"), "s", F.col("b").alias("root"))))
+    offers = at_root(touched).select("idx", "s", "cluster")
     if made.bulk:
-        at_leaf = core_of.join(flagged.select("idx", "leaf"), "idx").select("leaf", "s", F.col("cluster").alias("v"))
+        at_leaf = core_of.join(rooted.select("idx", "leaf"), "idx").select("leaf", "s", F.col("cluster").alias("v"))
         near = spark.createDataFrame(bulk.borders(_per_leaf(at_leaf, leaves, kinds)), "leaf int, s int, cluster int")
-        offers = offers.unionByName(flagged.select("idx", "leaf").join(F.broadcast(near), "leaf").select("idx", "s", "cluster"))
+        offers = offers.unionByName(rooted.select("idx", "leaf").join(F.broadcast(near), "leaf").select("idx", "s", "cluster"))
     border = offers.groupBy("idx", "s").agg(F.min("cluster").alias("cluster"))
     labels = (core_of.withColumn("is_core", F.lit(True))
               .unionByName(border.join(core_of, ["idx", "s"], "left_anti").withColumn("is_core", F.lit(False))))
@@ -354,7 +468,8 @@ def dbscan_grid_profile(points: DataFrame, settings=DEFAULT_GRID, id_col: str =
                         digits: int = 2) -> DataFrame:
     """Mean of every coordinate (``dim``) per setting and cluster, noise dropped."""
     labels = dbscan_settings(points, settings, id_col, coords).where("cluster <> -1")
-    long = points.select(id_col, F.posexplode(coords).alias("dim", "v"))
+    # the vector, not its coordinates, meets the labels: rows a coordinate exist only before the partial means
+    long = labels.join(points.select(id_col, coords), id_col).select("eps", "min_samples", "cluster", F.posexplode(coords).alias("dim", "v"))
     scale = F.lit(float(10 ** digits))
-    return (labels.join(long, id_col).groupBy("eps", "min_samples", "cluster", "dim")
+    return (long.groupBy("eps", "min_samples", "cluster", "dim")
             .agg((F.floor(F.avg("v") * scale + F.lit(0.5)).cast("double") / scale).alias("mean")))

@@ -14,7 +14,7 @@ the sample.  The tree only decides how work is dealt; results do not depend on i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 MAX_LEAVES, MAX_NUMBERS, SAMPLE_PER_LEAF = 8192, 500_000, 32
+# Where radii reach most leaves a point would go to one group a leaf: blocks then grow until it goes to about this many,
+# up to a block of BLOCK_BYTES (tasks hold two, and compare them slab by slab).
+COPIES, BLOCK_BYTES = 16, 64 << 20
+SLAB = 1024
 
 
 @dataclass(frozen=True)
@@ -107,9 +111,11 @@ class Blocks:
                 near[j].add(i)
         return replace(self, near=tuple(np.array(sorted(x), np.int64) for x in near), bulk=())
 
-    def deal(self, points: DataFrame) -> DataFrame:
+    def deal(self, points: DataFrame, others: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
         """``points`` (those of this structure, with any extra columns) once for every group they belong to:
-        columns ``p``, ``q``, ``b`` (the point's own block) are added."""
+        columns ``p``, ``q``, ``b`` (the point's own block) are added.  With ``others``, groups of a block with itself
+        are left out; with ``wanted`` (a flag per block) a point whose column ``open`` is false goes only to groups
+        with such a block."""
         lo, hi, near, chop, d = self.lo, self.hi, self.near, self.chop, self.d
         start = np.concatenate([[0], np.cumsum(chop)])
         reach2 = max(self.radii) ** 2 * (1 + 1e-9)
@@ -136,6 +142,12 @@ class Blocks:
                 if not take:
                     continue
                 take, other = np.concatenate(take), np.concatenate(other)
+                keep = np.ones(len(take), bool)
+                if others:
+                    keep &= own[take] != other
+                if wanted is not None:
+                    keep &= batch.column("open").to_numpy(zero_copy_only=False)[take] | wanted[other]
+                take, other = take[keep], other[keep]
                 for at in range(0, len(take), 16384):
                     t, o = take[at:at + 16384], other[at:at + 16384]
                     mine = own[t]
@@ -144,24 +156,56 @@ class Blocks:
                         [pa.array(np.minimum(mine, o)), pa.array(np.maximum(mine, o)), pa.array(mine), *part.columns],
                         ["p", "q", "b", *names])
 
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-        return points.mapInArrow(run, f"p long, q long, b long, {kinds}")
+        return points.mapInArrow(run, f"p long, q long, b long, {kinds(points)}")
 
-    def by_group(self, points: DataFrame, find: Callable, schema: str) -> DataFrame:
-        """``find(left, right, d2)`` for every group: the rows of its two blocks as Arrow tables (the same
-        table twice for a block with itself) and the matrix of their squared distances."""
-        d, radii = self.d, self.radii
+    def by_group(self, points: DataFrame, find: Callable, schema: str, others: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
+        """The batches ``find(left, right)`` yields for every group: the rows of its two blocks as ``Rows`` in the
+        order of ``idx`` (the same twice for a block with itself)."""
+        d = self.d
 
-        def run(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(list(batches)).combine_chunks()
             b = t.column("b").to_numpy()
             p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-            left = t.filter(pa.array(b == p))
-            right = left if p == q else t.filter(pa.array(b == q))
-            d2 = distances2(vectors(left.column("x").combine_chunks(), d), vectors(right.column("x").combine_chunks(), d), radii)
-            return find(left, right, d2)
+            left = Rows.of(t.filter(pa.array(b == p)), d)
+            right = left if p == q else Rows.of(t.filter(pa.array(b == q)), d)
+            yield from find(left, right)
 
-        return self.deal(points).groupBy("p", "q").applyInArrow(run, schema)
+        return self.deal(points, others, wanted).groupBy("p", "q").applyInArrow(run, schema)
+
+    def by_block(self, points: DataFrame, find: Callable, schema: str) -> DataFrame:
+        """The batches ``find(rows)`` yields for every block on its own."""
+        d = self.d
+        start = np.concatenate([[0], np.cumsum(self.chop)])[:-1]
+        at = [F.element_at(F.lit([int(v) for v in a]), F.col("leaf") + 1) for a in (start, self.chop)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from find(Rows.of(pa.Table.from_batches(list(batches)).combine_chunks(), d))
+
+        return points.withColumn("b", at[0] + F.pmod("idx", at[1])).groupBy("b").applyInArrow(run, schema)
+
+
+def kinds(points: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Rows of a block in the order of ``idx``."""
+    table: pa.Table
+    idx: np.ndarray
+    x: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, d: int) -> Rows:
+        table = table.sort_by("idx")
+        return Rows(table, table.column("idx").to_numpy(), vectors(table.column("x").combine_chunks(), d))
+
+    def __len__(self) -> int:
+        return len(self.idx)
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
 
 
 def vectors(column, d: int) -> np.ndarray:
@@ -284,15 +328,33 @@ def _walk(tree: Tree, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, radii):
     return (np.concatenate(compare) if compare else np.empty((0, 2), int)), tuple(bulk)
 
 
-def blocks(points: DataFrame, n: int, d: int, radii, store: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> Blocks:
+def _copies(tree: Tree, sample: np.ndarray, radii, opened: bool) -> float:
+    """Leaves that a leaf is compared with, by the boxes of a sample."""
+    leaf, leaves = tree.leaf_of(sample), int(tree.last[0])
+    lo, hi = np.full((leaves, sample.shape[1]), np.inf), np.full((leaves, sample.shape[1]), -np.inf)
+    np.minimum.at(lo, leaf, sample)
+    np.maximum.at(hi, leaf, sample)
+    pairs, bulk = _walk(tree, lo, hi, np.bincount(leaf, minlength=leaves), radii)
+    settled = sum((a1 - a0) * (b1 - b0) for (a0, a1), (b0, b1), _ in bulk) if opened else 0
+    return 2.0 * (len(pairs) + settled) / leaves
+
+
+def blocks(points: DataFrame, n: int, d: int, radii, store: Callable[[DataFrame], DataFrame], block: int | None = None, opened: bool = False) -> Blocks:
     """Partitions ``points`` (``idx`` unique from 0, ``w`` weight, ``x`` array of ``d`` finite doubles; ``n`` rows)
-    for the given radii.  ``store`` writes a table to the shared folder and reads it again."""
+    for the given radii.  ``store`` writes a table to the shared folder and reads it again.  ``opened``: what is
+    settled in bulk will be compared, too."""
+    block = block or BLOCK
     leaves = int(max(1, min(-(-n // block), MAX_LEAVES, MAX_NUMBERS // max(d, 1))))
     wanted = min(SAMPLE_PER_LEAF * leaves, max(1000, 8_000_000 // d))
     # idx numbers the points in order of their ids, so a hash of it samples evenly and alike on every layout
     some = points.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, n // wanted))) == 0).select("x").limit(2 * wanted).toArrow()
     sample = some.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d) if some.num_rows else np.zeros((1, d))
     tree = fit_tree(sample, leaves)
+    most = max(block, BLOCK_BYTES // (8 * max(d, 1)))
+    copies = _copies(tree, sample, radii, opened)
+    if copies > COPIES:
+        block = min(int(-(-block * copies // COPIES)), most)
+        tree = fit_tree(sample, max(1, min(-(-n // block), leaves)))
     leaves = int(tree.last[0])
     stored = store(_store_leaves(points, tree))
     lo, hi, rows, weight = _leaf_boxes(stored, d, leaves)

@@ -88,3 +88,27 @@ def test_rounding_does_not_decide(spark):
     x = np.array([[1e4 + 0.25 * i, -1e4] for i in range(40)])
     assert set(r.cluster for r in DB.dbscan(_frame(spark, x), 0.25, 2).collect()) == {0}
     assert set(r.cluster for r in DB.dbscan(_frame(spark, x), 0.25 - 1e-9, 2).collect()) == {-1}
+
+
+def _sphere(n, dims=40):
+    x = np.random.default_rng(n).normal(size=(n, dims))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def test_copies_of_a_point_stay_bounded_where_all_leaves_are_near(spark):
+    from panelkit.operators.common import materialise
+    copies = []
+    for n in (800, 3200):
+        rows = [(i, 1, [float(v) for v in p]) for i, p in enumerate(_sphere(n))]
+        pts = spark.createDataFrame(rows, "idx BIGINT, w BIGINT, x ARRAY<DOUBLE>")
+        made = spatial.blocks(pts, n, 40, [1.1], materialise, 32)
+        copies.append(made.deal(made.points).count() / n)
+    assert max(copies) < 1.5 * spatial.COPIES
+
+
+def test_many_dimensions_in_grown_blocks(spark):
+    x = _sphere(900)
+    settings = ((1.0, 3), (1.1, 6))
+    rows = DB.dbscan_settings(_frame(spark, x), settings, block=16).collect()
+    for eps, least in settings:
+        assert [c for _, c in sorted((r.id, r.cluster) for r in rows if r.eps == eps)] == list(_np_dbscan(x, eps, least))
