@@ -166,9 +166,13 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (smallest row number of each component so far) after linking rows ``a`` with rows ``b``."""
     while True:
         la, lb = label[a], label[b]
-        if (la == lb).all():
+        apart = la != lb
+        if not apart.any():
             return label
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        # from here on a link for every pair of components, not of points
+        links = np.unique(np.minimum(la, lb)[apart] * len(label) + np.maximum(la, lb)[apart])
+        a, b = links // len(label), links % len(label)
+        np.minimum.at(label, b, a)
         while not (label[label] == label).all():
             label = label[label]
 
