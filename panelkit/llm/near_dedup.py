@@ -22,7 +22,8 @@ Links are confirmed on full sets, never on signatures:
    between different texts is lost.
 
 Buckets are never collected: every step is a partial aggregate or a join dealt by (band, value) whose hot
-keys Spark can split, and sets travel only for classes that are candidates.
+keys Spark can split, and sets travel only for classes that are candidates.  What an exchange leaves is merged into
+as many partitions as its counted rows need (``in_few``): the many small steps would else write more files than rows.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own component; a row with
 a null id links with nothing, has a null component and is kept; rows that share an id are one document, which
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import broadcast_if_small, cut, map_columns, small_batches, stage
+from panelkit.operators.common import in_few
 from panelkit.operators.dbscan import connected_components
 from panelkit.operators.ranking import with_global_index
 
@@ -47,6 +49,7 @@ PERMUTATIONS, PER_BAND = 64, 2
 HUB_ROUNDS = 2
 BLOCK = 1024
 SALTS = 8
+SETS_A_TASK = 2048  # rows that carry whole sets
 SEED = 20_240_229
 
 
@@ -129,9 +132,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, te
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    joined = (pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
+    """The stored pairs ``(a, b)`` whose full sets reach the threshold."""
+    kind, n_pairs = pairs.schema["a"].dataType.simpleString(), pairs.count()
+    one = in_few(pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a"), n_pairs, SETS_A_TASK)
+    joined = (one
               .join(sets.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
 
     def check(batches):
@@ -143,7 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return joined.mapInArrow(check, f"a {kind}, b {kind}")
+    return in_few(joined, n_pairs, SETS_A_TASK).mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -234,21 +238,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``."""
     rows = stage(sketches(docs, id_col, text_col, shingle), "sketches")
     known = rows.where("key IS NOT NULL AND doc IS NOT NULL")
+    n_rows = rows.count()
     # a class is named by its set's digest; ``doc`` is its smallest id
-    classes = stage(known.groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stage(in_few(known.groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), n_rows)
                     .withColumnRenamed("key", "rep"), "classes")
     # classes of one document, where ids repeat with different texts
-    texts_of = known.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc", "a")
-    same_doc = cut(known.join(texts_of, "doc").where("key <> a").select("a", F.col("key").alias("b")).distinct())
+    texts_of = in_few(known.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z"), n_rows).select("doc", "a")
+    same_doc = cut(in_few(in_few(known.join(texts_of, "doc"), n_rows).where("key <> a").select("a", F.col("key").alias("b")).distinct(), n_rows))
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
+    n_buckets = classes.count() * (PERMUTATIONS // PER_BAND)
     spread = (buckets.groupBy("band", "value").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
               .select("band", "value"))
-    members = stage(buckets.join(cut(spread), ["band", "value"]), "buckets")
+    members = stage(in_few(buckets.join(cut(in_few(spread, n_buckets)), ["band", "value"]), n_buckets), "buckets")
+    n_members = members.count()
     ends = same_doc.select(F.col("a").alias("rep")).unionByName(same_doc.select(F.col("b").alias("rep")))
-    vertices = cut(members.select("rep").unionByName(ends).distinct().withColumnRenamed("rep", "id"))
+    vertices = cut(in_few(members.select("rep").unionByName(ends).distinct(), n_rows).withColumnRenamed("rep", "id"))
     n_vertices = vertices.count()
     small_batches(docs.sparkSession)
-    wanted = cut(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "doc"), "id"))
+    wanted = in_few(members.select(F.col("rep").alias("id")).distinct(), n_vertices)
+    wanted = cut(in_few(wanted.join(classes.select(F.col("rep").alias("id"), "doc"), "id"), n_vertices))
     sets = full_sets(docs, wanted, n_vertices, id_col, text_col, shingle)
     labels = vertices.select("id", F.col("id").alias("comp"))
     tried = None
@@ -259,10 +267,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def add(pairs: DataFrame):
         """Confirms new pairs and joins components; pairs whose sizes alone rule a link out are passed over."""
         nonlocal tried
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        pairs = in_few(pairs, n_members).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+            pairs = in_few(pairs, n_members).join(tried, ["a", "b"], "left_anti")
+        pairs = stage(in_few(pairs, n_members), "pairs")
         if pairs.isEmpty():
             return
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -274,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = cut(connected_components(vertices, links))
 
     def labelled() -> DataFrame:
-        return members.join(labels, members["rep"] == labels["id"]).drop("id")
+        return in_few(members.join(labels, members["rep"] == labels["id"]).drop("id"), n_members)
 
     def ordered(x, nx, y, ny):
         first = F.col(x) < F.col(y)
@@ -287,31 +296,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")).alias("hub"),
                      F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                 .where("lo <> hi").select("band", "value", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
-        hubs = stage(hubs, "hubs")
+        hubs = stage(in_few(hubs, n_members), "hubs")
         own = labels.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-        add(mixed.join(hubs, ["band", "value"]).join(own, "hub").where("comp <> hub_comp")
+        add(in_few(mixed.join(hubs, ["band", "value"]), n_members).join(own, "hub").where("comp <> hub_comp")
             .select(*ordered("rep", "n", "hub", "hub_n")))
 
     mixed = labelled()
-    still = stage(mixed.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    still = stage(in_few(mixed.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), n_members)
                   .where("lo <> hi").select("band", "value"), "mixed")
-    left = stage(mixed.join(still, ["band", "value"]), "left")
+    left = stage(in_few(mixed.join(still, ["band", "value"]), n_members), "left")
+    n_left = left.count()
     # clusters: classes that mixed buckets connect
-    star = left.groupBy("band", "value").agg(F.min("rep").alias("b"))
-    star = left.join(cut(star), ["band", "value"]).select(F.col("rep").alias("a"), "b").distinct().where("a <> b")
-    classes_left = cut(left.select("rep", "n", "comp").distinct())
+    star = in_few(left.groupBy("band", "value").agg(F.min("rep").alias("b")), n_left)
+    star = in_few(left.join(cut(star), ["band", "value"]), n_left).select(F.col("rep").alias("a"), "b").distinct().where("a <> b")
+    star = in_few(star, n_left)
+    classes_left = cut(in_few(left.select("rep", "n", "comp").distinct(), n_left))
     clusters = connected_components(classes_left.select(F.col("rep").alias("id")), star)
-    named = cut(classes_left.join(clusters.select(F.col("id").alias("rep"), F.col("comp").alias("cluster")), "rep"))
+    named = cut(in_few(classes_left.join(clusters.select(F.col("id").alias("rep"), F.col("comp").alias("cluster")), "rep"), n_left))
     open_classes = linkable(named, sets, percent)
     if not open_classes.isEmpty():
         join_up(stage(block_links(open_classes, sets, percent), "block-links"))
 
     # a component's name is the smallest id of its classes
-    placed = classes.select("rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep")
+    placed = in_few(classes.select("rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep"), n_rows)
     names = placed.groupBy("comp").agg(F.min("doc").alias("name"))
-    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a component can be a third of all
+    names = in_few(names, n_rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a component can be a third of all
     named = (placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(names, ["comp", "salt"]).select("rep", "name"))
-    named = (classes.select("rep", "doc").join(named, "rep", "left")
+    named = (in_few(classes.select("rep", "doc").join(in_few(named, n_rows), "rep", "left"), n_rows)
              .select(F.col("rep").alias("key"), F.coalesce("name", "doc").alias("comp")))
     return (rows.join(named, "key", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),

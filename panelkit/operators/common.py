@@ -52,6 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids and labels that one task takes at least, and the tasks that a small table keeps.
+ROWS_A_TASK, LEAST_TASKS = 1 << 16, 8
+
+
+def in_few(df: DataFrame, rows: int, rows_a_task: int | None = None) -> DataFrame:
+    """``df`` in no more partitions than its ``rows`` counted rows need.  What follows an exchange has a task for every
+    shuffle partition; each task writes three files and a log entry to the next exchange, which for small
+    tables is far more than the rows.  Partitions are merged where they are, nothing is shuffled."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // (rows_a_task or ROWS_A_TASK))))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a per-group table once and broadcast it only when its row
     count is proven to be within ``max_rows``; otherwise return it for an

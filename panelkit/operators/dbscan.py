@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators import spatial
-from panelkit.operators.common import materialise
+from panelkit.operators.common import in_few, materialise
 from panelkit.operators.ranking import with_global_index
 from panelkit.session import ensure_checkpoint_dir
 
@@ -95,23 +95,26 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.checkpoint(eager=True)
     labels = vertices.select(F.col("id"), F.col("id").alias("comp")).checkpoint(eager=True)
+    # a round has ten exchanges: each goes out of as many tasks as the counted rows need, not of one for every
+    # shuffle partition (a task costs three files and a log entry however few rows it has)
+    rows = both.count() + labels.count()
+    both, labels = in_few(both, rows), in_few(labels, rows)
     for _ in range(max_rounds):
         la = labels.select(F.col("id").alias("a"), F.col("comp").alias("la"))
         lb = labels.select(F.col("id").alias("b"), F.col("comp").alias("lb"))
-        e = both.join(la, "a").join(lb, "b").where(F.col("la") < F.col("lb"))
-        offers = (e.select(F.col("b").alias("id"), "la")
-                  .unionByName(e.select(F.col("lb").alias("id"), "la"))
+        e = in_few(in_few(both.join(la, "a"), rows).join(lb, "b").where(F.col("la") < F.col("lb")), rows)
+        offers = (e.select(F.explode(F.array("b", "lb")).alias("id"), "la")
                   .groupBy("id").agg(F.min("la").alias("_m")))
-        hooked = (labels.join(offers, "id", "left")
-                  .select("id", F.col("comp").alias("_old"),
-                          F.least("comp", F.coalesce("_m", "comp")).alias("comp")))
+        hooked = in_few(labels.join(offers, "id", "left")
+                        .select("id", F.col("comp").alias("_old"),
+                                F.least("comp", F.coalesce("_m", "comp")).alias("comp")), rows)
         # a label can be that of a third of all vertices: only distinct labels look up their own label (unique
         # on both sides), and the answer goes back to the vertices by (label, salt)
         roots = hooked.select("comp").distinct()
-        parent = (roots.join(hooked.select(F.col("id").alias("comp"), F.col("comp").alias("_pc")), "comp")
-                  .where("_pc < comp").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-        jumped = (hooked.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(parent, ["comp", "_salt"], "left")
-                  .select("id", "_old", F.coalesce("_pc", "comp").alias("comp"))
+        parent = in_few(roots.join(hooked.select(F.col("id").alias("comp"), F.col("comp").alias("_pc")), "comp")
+                        .where("_pc < comp"), rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        jumped = (in_few(hooked.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(parent, ["comp", "_salt"], "left")
+                         .select("id", "_old", F.coalesce("_pc", "comp").alias("comp")), rows)
                   .checkpoint(eager=True))
         changed = jumped.where(F.col("comp") != F.col("_old")).limit(1).count()
         labels = jumped.drop("_old")

@@ -208,3 +208,24 @@ def test_nearest_rows_as_summed_term_by_term():
     x = np.concatenate([rng.integers(-3, 4, (300, 3)) / 2, (centres[0] + centres[1])[None] / 2])  # many exact ties
     want = [min(range(len(centres)), key=lambda c: (sum((p - q) ** 2 for p, q in zip(v, centres[c], strict=True)), c)) for v in x]
     assert list(KM._nearest_rows(x, centres)) == want
+
+
+def test_components_go_on_in_as_many_partitions_as_their_rows_need(spark):
+    """A small graph under many shuffle partitions: a round's tables do not have a task for each of them."""
+    held = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = [(i, i + 3) for i in range(40) if i % 7] + [(100, 5)]
+    ids = sorted({x for e in edges for x in e} | {200})
+    least = {i: i for i in ids}
+    for _ in ids:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = DB.connected_components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long"))
+        assert got.rdd.getNumPartitions() <= 8
+        assert {r["id"]: r["comp"] for r in got.collect()} == least
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
