@@ -2,9 +2,10 @@
 
 Round j inserts one suffix per string, the one of length j, into the sorted order of all shorter ones: its
 place is the LF image of the place of its own tail, so nothing is compared.  The transform (the byte before
-every suffix) and the common prefix of every suffix with the one before it are kept in two external files,
-each read once and written once a round, in order.  The common prefix of a new suffix and its neighbours is
-one more than the smallest common prefix between their tails.
+every suffix) is kept in an external file, read once and written once a round, in order.  The order is cut into
+leaves with a count of every symbol; an LF image is a sum of counts and a count within one leaf, so a round
+touches only the new suffixes, besides copying the transform.  Common prefixes are read off the final order,
+neighbour against neighbour, eight bytes at a time.
 
 ``END`` stands before a whole string and sorts after all bytes (UTF-8 never uses 255); ends of different
 strings are different symbols, so no common prefix runs past an end.
@@ -18,108 +19,153 @@ import tempfile
 import numpy as np
 
 END = 255
-_LONG, _BLOCK = 512, 64  # a long range holds a whole block: _LONG >= 2 * _BLOCK
+_LONG, _BLOCK = 512, 256  # a leaf has _BLOCK places when made; all are made anew when one has more than _LONG
+_GROUP = 8  # leaves
 
 
 class _File:
-    """One column of the order in an external file; every round reads a generation and writes the next."""
+    """The order's column in an external file; every round reads a generation and writes the next over it, which
+    is never shorter."""
 
     def __init__(self, folder: str, name: str):
         self.path = os.path.join(folder, name)
+        open(self.path, "wb").close()
 
     def read(self) -> np.ndarray:
         return np.fromfile(self.path, np.uint8)
 
     def write(self, values: np.ndarray) -> None:
-        values.tofile(self.path + ".next")
-        os.replace(self.path + ".next", self.path)
-
-
-def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Smallest of values[first..last] for each pair; long ranges go by blocks."""
-    out = np.empty(len(first), np.uint8)
-    short = last - first < _LONG
-    if short.any():
-        pairs = np.empty(2 * int(short.sum()), np.int64)
-        pairs[::2], pairs[1::2] = first[short], last[short] + 1
-        out[short] = np.minimum.reduceat(np.append(values, np.uint8(255)), pairs)[::2]
-    if not short.all():
-        a, b = first[~short], last[~short]
-        padded = np.append(values, np.full(-len(values) % _BLOCK, 255, np.uint8))
-        blocks = np.append(padded.reshape(-1, _BLOCK).min(axis=1), np.uint8(255))
-        lo, hi = -(-a // _BLOCK), (b + 1) // _BLOCK  # whole blocks inside
-        pairs = np.empty(2 * len(a), np.int64)
-        pairs[::2], pairs[1::2] = lo, hi
-        least = np.minimum.reduceat(blocks, pairs)[::2]
-        for edge in range(_BLOCK):  # the rest on either side
-            x, y = np.minimum(a + edge, lo * _BLOCK), np.maximum(b - edge, hi * _BLOCK - 1)
-            least = np.minimum(least, np.where(x < lo * _BLOCK, values[np.minimum(x, len(values) - 1)], 255))
-            least = np.minimum(least, np.where(y >= hi * _BLOCK, values[y], 255))
-        out[~short] = least
+        with open(self.path, "r+b") as f:
+            values.tofile(f)
+
+
+class _Leaves:
+    """Counts of the symbols (0 to ``symbols`` - 1) in every leaf of the order."""
+
+    def __init__(self, column: np.ndarray, symbols: int):
+        self.symbols = symbols
+        self._make(column)
+
+    def _make(self, column: np.ndarray) -> None:
+        n = -(-len(column) // _BLOCK)
+        self.size = np.full(n, _BLOCK)
+        self.size[-1] = len(column) - _BLOCK * (n - 1)
+        self.counts = np.zeros((-(-n // _GROUP) * _GROUP, self.symbols), np.int32)
+        step = max(1, (1 << 20) // _BLOCK)  # leaves at a time
+        for i in range(0, n, step):
+            part = column[i * _BLOCK:(i + step) * _BLOCK]
+            k = -(-len(part) // _BLOCK)
+            at = part + np.repeat(np.arange(k) * self.symbols, self.size[i:i + k])
+            self.counts[i:i + k] = np.bincount(at, minlength=k * self.symbols).reshape(k, -1)
+        self.groups = self.counts.reshape(-1, _GROUP, self.symbols).sum(axis=1)
+        self._ends()
+
+    def _ends(self) -> None:
+        self.start = np.cumsum(self.size) - self.size
+        self.before = np.cumsum(self.groups, axis=0)  # counts before each group of leaves
+        total = self.before[-1]
+        self.first = np.cumsum(total) - total  # place of the first suffix that starts with each symbol
+        self.before -= self.groups
+
+    def image(self, column: np.ndarray, at: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        """LF images of ascending places."""
+        width = -(-int(self.size.max()) // 64) * 64
+        rows = np.lib.stride_tricks.sliding_window_view(np.append(column, np.zeros(width, np.uint8)), width)
+        out, counts = np.empty(len(at), np.int64), self.counts.reshape(-1)
+        for i in range(0, len(at), step):
+            p = at[i:i + step]
+            leaf = np.searchsorted(self.start, p, side="right") - 1
+            symbol, begin = column[p], self.start[leaf]
+            same = np.packbits(rows[begin] == symbol[:, None], axis=1, bitorder="little").view("<u8")
+            bits = np.clip((p - begin)[:, None] - np.arange(0, width, 64), 0, 64)  # of each word, those before p
+            mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits & 63).astype(np.uint64)) - np.uint64(1))
+            inside = np.bitwise_count(same & mask).sum(axis=1, dtype=np.int64)
+            group = leaf // _GROUP
+            cell, back = leaf * self.symbols + symbol, leaf - group * _GROUP
+            for k in range(1, _GROUP):  # leaves of the group that stand before
+                inside += counts[cell - k * self.symbols] * (back >= k)
+            out[i:i + step] = self.first[symbol] + self.before[group, symbol] + inside
+        return out
+
+    def insert(self, column: np.ndarray, places: np.ndarray) -> None:
+        """``column`` now has new symbols at the ascending ``places``."""
+        leaf = np.searchsorted(self.start, places - np.arange(len(places)), side="right") - 1
+        self.size += np.bincount(leaf, minlength=len(self.size))
+        if self.size.max() > _LONG:
+            self._make(column)
+            return
+        symbol = column[places]
+        np.add.at(self.counts.reshape(-1), leaf * self.symbols + symbol, np.int32(1))
+        np.add.at(self.groups.reshape(-1), leaf // _GROUP * self.symbols + symbol, 1)
+        self._ends()
+
+
+def _common_prefixes(flat: np.ndarray, start: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    """Of each suffix (its first byte in ``flat``, its length) with the one before it; 0 unless both have ``least`` bytes."""
+    padded = np.append(flat, np.zeros(16, np.uint8))
+    words = np.ndarray(len(flat) + 8, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from every byte on
+    out = np.zeros(len(start), np.uint8)
+    limit = np.minimum(length[1:], length[:-1])
+    going, k = np.flatnonzero(limit >= max(least, 1)) + 1, 0
+    while len(going):
+        x = words[start[going - 1] + k] ^ words[start[going] + k]
+        equal = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # 8 where x is 0
+        k += 8
+        most = limit[going - 1]
+        out[going] = np.minimum(k - 8 + equal.astype(np.int32), most)
+        going = going[(x == 0) & (most > k)]
     return out
 
 
-def build(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(strings: list[bytes], folder: str, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(ranks, lengths, prefixes)``: ``ranks[j, i]`` is the place of string i's suffix of length j in the
-    final order (-1: no such suffix), ``prefixes[r]`` the common prefix of the suffixes at r - 1 and r."""
+    final order (-1: no such suffix), ``prefixes[r]`` the common prefix of the suffixes at r - 1 and r
+    (0 unless both have ``least`` bytes)."""
     m = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, m)
     longest = int(lengths.max()) if m else 0
-    columns = np.full((longest + 2, m), END, np.uint8)  # columns[j]: the byte j from the end
     flat = np.frombuffer(b"".join(strings), np.uint8)
+    used = np.flatnonzero(np.bincount(flat, minlength=END + 1)[:END])
+    end = len(used)  # symbols are numbered in order, the end after all bytes
+    number = np.zeros(END + 1, np.uint8)
+    number[used] = np.arange(end)
+    columns = np.full((longest + 2, m), end, np.uint8)  # columns[j]: the symbol j from the end
     string = np.repeat(np.arange(m), lengths)
-    columns[np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(len(flat)), string] = flat
+    ends = np.cumsum(lengths)
+    columns[np.repeat(ends, lengths) - 1 - np.arange(len(flat)), string] = number[flat]
 
-    bwt_file, lcp_file = _File(folder, "bwt"), _File(folder, "lcp")
-    bwt_file.write(columns[0])
-    lcp_file.write(np.zeros(m, np.uint8))
-    at, live = np.arange(m), np.arange(m)
+    file = _File(folder, "bwt")
+    file.write(columns[0])
+    leaves = _Leaves(columns[0], end + 1)
+    at, live = np.arange(m), np.arange(m)  # places of the last suffixes, ascending, and their strings
     for j in range(longest):
-        bwt, lcp = bwt_file.read(), lcp_file.read()
-        going = columns[j, live] != END
-        at, live = at[going], live[going]
-        by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
-        image = np.empty(len(bwt), np.int32)
-        image[by_symbol] = np.arange(len(bwt), dtype=np.int32)
-        place = image[at]
-        n_ends = int(np.count_nonzero(bwt == END))
-        n_old = len(bwt) - m  # suffixes that are not ends
-        n_new = len(bwt) - n_ends  # the same after this round
-        size = n_new + m
-        # neighbours whose common prefix changes: the new suffix and the one after it
-        touched = np.zeros(n_new + 1, bool)
-        touched[place] = True
-        old = np.ones(size, bool)
-        old[place] = False
-        touched[place + 1] = True
-        ask = np.flatnonzero(touched[:n_new])
-        here = by_symbol[ask].astype(np.int64)
-        before = by_symbol[np.maximum(ask - 1, 0)].astype(np.int64)
-        joined = (ask > 0) & (bwt[here] == bwt[before])
-        merged = np.zeros(size, np.uint8)
-        merged[old] = lcp
-        merged[ask] = 0
-        if joined.any():
-            merged[ask[joined]] = 1 + _range_minima(lcp, before[joined] + 1, here[joined])
-        lcp_file.write(merged)
-        following = np.empty(size, np.uint8)
+        bwt = file.read()
+        symbol = bwt[at]
+        going = np.argsort(symbol, kind="stable")[:np.count_nonzero(symbol != end)]  # the images then ascend, too
+        live, at = live[going], leaves.image(bwt, at)[going]
+        old = np.ones(len(bwt) + len(at), bool)
+        old[at] = False
+        following = np.empty(len(old), np.uint8)
         following[old] = bwt
-        following[place] = columns[j + 1, live]
-        bwt_file.write(following)
-        assert n_old + len(place) == n_new
-        at = place
+        following[at] = columns[j + 1, live]
+        file.write(following)
+        leaves.insert(following, at)
 
-    bwt, prefixes = bwt_file.read(), lcp_file.read()
+    bwt = file.read()
     by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
     image = np.empty(len(bwt), np.int32)
     image[by_symbol] = np.arange(len(bwt), dtype=np.int32)
     ranks = np.full((longest + 1, m), -1, np.int32)
+    start, length = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.uint8)
     live = np.arange(m)
     ranks[0] = len(bwt) - m + live
+    start[ranks[0]], length[ranks[0]] = ends, 0
     for j in range(longest):  # walk every string through the final order
-        live = live[columns[j, live] != END]
-        ranks[j + 1, live] = image[ranks[j, live]]
-    return ranks, lengths, prefixes
+        live = live[columns[j, live] != end]
+        here = image[ranks[j, live]]
+        ranks[j + 1, live] = here
+        start[here], length[here] = ends[live] - j - 1, j + 1
+    return ranks, lengths, _common_prefixes(flat, start, length, least)
 
 
 def first_owner(strings: list[bytes], owners: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -128,7 +174,7 @@ def first_owner(strings: list[bytes], owners: np.ndarray, depth: int) -> list[np
     if not strings:
         return []
     with tempfile.TemporaryDirectory() as folder:  # scratch of this task only, gone with it
-        ranks, lengths, prefixes = build(strings, folder)
+        ranks, lengths, prefixes = build(strings, folder, depth)
     group = np.cumsum(prefixes < depth) - 1
     tall = ranks[depth:]  # suffixes that start a window
     length, string = np.nonzero(tall >= 0)

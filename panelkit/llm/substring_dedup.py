@@ -1,7 +1,7 @@
 """Exact substring deduplication: bytes under a 50-byte string that a smaller document also holds.
 
 The order of all suffixes is built column by column (``collection_bwt``), one symbol of every string a round,
-with the transform and the common prefixes in external files.  Only the first 50 columns matter here, and a
+with the transform in an external file.  Only the first 50 columns matter here, and a
 single order over 100 TB cannot be one task, so the collection is dealt out first:
 
 1. Texts are packed into chunks of about ``CHUNK`` bytes, stored compressed.

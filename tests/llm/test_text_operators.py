@@ -300,6 +300,25 @@ def test_collection_order(monkeypatch):
             assert list(g) == [least[s[i:i + k]] for i in range(len(s) - k + 1)]
 
 
+@pytest.mark.parametrize("leaf", [(512, 256), (100, 64), (4, 2)])
+def test_order_sorts_only_new_symbols(monkeypatch, tmp_path, leaf):
+    """Ranks and common prefixes are those of a plain sort; rounds sort the symbols before new suffixes, not all."""
+    rnd, sizes, plain = random.Random(3), [], np.argsort
+    monkeypatch.setattr(collection_bwt, "_LONG", leaf[0])
+    monkeypatch.setattr(collection_bwt, "_BLOCK", leaf[1])
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or plain(x, *a, **k))
+    strings = list({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 60))) for _ in range(150)})
+    ranks, lengths, prefixes = collection_bwt.build(strings, str(tmp_path))
+    total = sum(map(len, strings))
+    assert sum(sizes) <= 3 * (total + len(strings))
+    assert [len(s) for s in strings] == list(lengths)
+    order = sorted(((*s[len(s) - j:], 256 + i), i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
+    assert all(ranks[j, i] == r for r, (_, i, j) in enumerate(order))
+    for r in range(1, len(order)):
+        x, y = order[r - 1][0], order[r][0]
+        assert prefixes[r] == next(k for k in range(len(x)) if x[k] != y[k])
+
+
 def test_equal_windows_share_an_anchor(monkeypatch):
     monkeypatch.setattr(anchors, "_SLICE", 150)
     anchors._powers.cache_clear()
