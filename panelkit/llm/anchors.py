@@ -16,7 +16,7 @@ WINDOW, GRAM = 50, 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SLICE = 1 << 21
+_SLICE = 1 << 15  # its arrays stay in a core's cache
 _AT = np.uint64((1 << 22) - 1)  # low bits that hold the position
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import cache
 
 import numpy as np
 
@@ -39,6 +40,12 @@ class _File:
             values.tofile(f)
 
 
+@cache
+def _first_bits(width: int) -> np.ndarray:
+    """Row k: words with their first k of ``width`` bits set."""
+    return np.packbits(np.tri(width + 1, width, -1, np.uint8), axis=1, bitorder="little").view("<u8")
+
+
 class _Leaves:
     """Counts of the symbols (0 to ``symbols`` - 1) in every leaf of the order."""
 
@@ -71,15 +78,17 @@ class _Leaves:
         """LF images of ascending places."""
         width = -(-int(self.size.max()) // 64) * 64
         rows = np.lib.stride_tricks.sliding_window_view(np.append(column, np.zeros(width, np.uint8)), width)
+        before = _first_bits(width)
         out, counts = np.empty(len(at), np.int64), self.counts.reshape(-1)
         for i in range(0, len(at), step):
             p = at[i:i + step]
             leaf = np.searchsorted(self.start, p, side="right") - 1
             symbol, begin = column[p], self.start[leaf]
             same = np.packbits(rows[begin] == symbol[:, None], axis=1, bitorder="little").view("<u8")
-            bits = np.clip((p - begin)[:, None] - np.arange(0, width, 64), 0, 64)  # of each word, those before p
-            mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits & 63).astype(np.uint64)) - np.uint64(1))
-            inside = np.bitwise_count(same & mask).sum(axis=1, dtype=np.int64)
+            same &= before[p - begin]
+            inside = np.zeros(len(p), np.int64)
+            for word in range(width // 64):
+                inside += np.bitwise_count(same[:, word])
             group = leaf // _GROUP
             cell, back = leaf * self.symbols + symbol, leaf - group * _GROUP
             for k in range(1, _GROUP):  # leaves of the group that stand before
@@ -181,6 +190,8 @@ def first_owner(strings: list[bytes], owners: np.ndarray, depth: int) -> list[np
     of = group[tall[length, string]]
     least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, of, owners[string])
-    by_suffix = np.full(tall.shape, -1, np.int64)
-    by_suffix[length, string] = least[of]
-    return [by_suffix[:n - depth + 1, i][::-1] for i, n in enumerate(lengths)]
+    size = np.maximum(lengths - depth + 1, 0)
+    ends = np.cumsum(size)
+    flat = np.empty(int(size.sum()), np.int64)
+    flat[ends[string] - 1 - length] = least[of]
+    return [flat[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]

@@ -9,9 +9,9 @@ single order over 100 TB cannot be one task, so the collection is dealt out firs
    chunk sends its distinct anchor hashes (40 bits, the rest is in the address) to the hash's bucket, which
    answers which of them occur in more than one document.  Wrong matches only cost work.
 3. The segments under such anchors go, distinct within their chunk and with the smallest owner, to the
-   anchor's bucket.  There equal strings are combined once more, and all distinct strings form the bucket's
-   collection; its order groups equal windows (runs of common prefixes of 50 or more), and each group gets its
-   smallest owner.
+   anchor's bucket.  There equal strings are combined once more, and all distinct strings, dealt on by anchor,
+   form the bucket's ``COLLECTIONS`` collections (what one holds stays in a core's cache); the order of each
+   groups equal windows (runs of common prefixes of 50 or more), and each group gets its smallest owner.
 4. The answers go back to the chunks, which cut the covered bytes and return the cut ranges and what is left.
 
 A bucket holds a hash-dealt share of the distinct strings and its size does not grow with the corpus (the
@@ -27,6 +27,7 @@ table gives an empty result; texts are taken whole (a document lies in one chunk
 from __future__ import annotations
 
 import contextlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.anchors import WINDOW, gram_hashes, segments
+from panelkit.llm.anchors import GRAM, WINDOW, segments
 from panelkit.llm.collection_bwt import first_owner
 from panelkit.llm.common import small_batches, stage
 
@@ -44,7 +45,9 @@ CHUNK = 2 << 20
 PRINT_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20  # text bytes per bucket of anchors and of strings
 HOT = 4096
 _LOW = np.uint64((1 << 40) - 1)
-_WEIGHTS = np.random.default_rng(50).integers(0, 2**64, (2, 2 * WINDOW), dtype=np.uint64)
+COLLECTIONS = 8  # of a bucket; the number of a string's collection stands above its windows in one byte
+assert WINDOW - GRAM + 1 < 32
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 _RESULT = "id long, n_bytes long, spans array<struct<start: long, `end`: long>>, kept binary"
 
 
@@ -107,81 +110,88 @@ class Chunk:
         keep = self.known[doc]
         self.start, self.n, self.hash, self.doc = start[keep], n[keep], h[keep], doc[keep]
 
-    def prints(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per bucket: the chunk's distinct anchor hashes (sorted, low 40 bits), and whether several of its
-        documents have them."""
-        order = np.lexsort((self.doc, self.hash))
-        h, doc = self.hash[order], self.doc[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunk's distinct anchor hashes (sorted), whether several of its documents have them, and the
+        number of every segment's hash among them."""
+        order = np.argsort(self.hash)
+        h, ids = self.hash[order], self.ids[self.doc[order]]
+        new = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
+        first = np.flatnonzero(new)
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
         if not len(first):
-            return
-        ids = self.ids[doc]
-        several = np.maximum.reduceat(ids, first) != np.minimum.reduceat(ids, first)
-        distinct = h[first]
-        bucket = (distinct >> np.uint64(40)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-            yield int(bucket[part[0]]), distinct[part], several[part]
+            return h, np.empty(0, bool), number
+        return h[first], np.maximum.reduceat(ids, first) != np.minimum.reduceat(ids, first), number
+
+    def prints(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per bucket: the chunk's distinct anchor hashes (sorted), and whether several of its documents have them."""
+        distinct, several, _ = self._distinct()
+        for bucket, part in _dealt(_print_bucket(distinct, buckets), buckets):
+            yield bucket, distinct[part], several[part]
 
     def strings(self, answers: list, buckets: int):
         """The chunk's occurrences of strings under repeated anchors, after the buckets' answers.  Returns
         per occurrence first byte, windows, document and number of its distinct string; per distinct string
-        one of its occurrences, its smallest owner and its bucket."""
-        sent = {bucket: h for bucket, h, _ in self.prints(answers[0]["buckets"])} if answers else {}
-        found = []
-        for a in answers:
-            h = sent[a["bucket"]]
-            level = np.unpackbits(np.frombuffer(a["repeated"], np.uint8), count=len(h)) + np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=len(h))
-            found.append((h[level > 0], level[level > 0]))
+        one of its occurrences, its smallest owner, its bucket and its collection there."""
         empty = np.empty(0, np.int64)
-        if not found:
-            return (empty,) * 7
-        keys, level = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        by = np.argsort(keys)
-        keys, level = keys[by], level[by]
-        if not len(keys):
-            return (empty,) * 7
-        at = np.minimum(np.searchsorted(keys, self.hash), len(keys) - 1)
-        level = np.where(keys[at] == self.hash, level[at], 0)
+        if not answers:
+            return (empty,) * 8
+        distinct, _, of = self._distinct()
+        print_buckets = answers[0]["buckets"]
+        sent = dict(_dealt(_print_bucket(distinct, print_buckets), print_buckets))
+        level = np.zeros(len(distinct), np.uint8)
+        for a in answers:
+            part = sent[a["bucket"]]
+            level[part] = np.unpackbits(np.frombuffer(a["repeated"], np.uint8), count=len(part)) + np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=len(part))
+        level = level[of]
         one, hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
+        if not len(one) + len(hot):
+            return (empty,) * 8
         start, n, doc, key = self.start[one], self.n[one], self.doc[one], self.hash[one]
         if len(hot):  # every window by itself, dealt by its own hash
             times = self.n[hot]
             s = np.repeat(self.start[hot] - np.cumsum(times) + times, times) + np.arange(times.sum())
             start, n = np.concatenate([start, s]), np.concatenate([n, np.ones(len(s), np.int64)])
             doc = np.concatenate([doc, np.repeat(self.doc[hot], times)])
-            key = np.concatenate([key, self._window_hashes(s)])
-        marks = self._marks(start, n)
-        order = np.lexsort((marks[0], marks[1]))
-        a, b = marks[0][order], marks[1][order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            key = np.concatenate([key, self._content_hashes(s, n[len(one):])])
+        order, first = self._equal(start, n)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(first) - 1
         heads = np.flatnonzero(first)
         owner = np.minimum.reduceat(self.ids[doc[order]], heads)
         sample = order[heads]
-        return start, n, doc, number, sample, owner, (key[sample] >> np.uint64(20)).astype(np.int64) % buckets
-
-    def _window_hashes(self, starts: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        for i in range(0, len(starts), block):
-            s = starts[i:i + block]
-            rows = self.data[s[:, None] + np.arange(WINDOW)].astype(np.uint64)
-            h = (rows * _WEIGHTS[0, :WINDOW]).sum(axis=1)
-            out[i:i + block] = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return out
-
-    def _marks(self, start: np.ndarray, n: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-        """128-bit hashes of strings."""
-        out = np.empty((2, len(start)), np.uint64)
-        for i in range(0, len(start), block):
-            length = n[i:i + block] + WINDOW - 1
-            at = np.arange(int(length.max()))
-            inside = at < length[:, None]
-            rows = np.where(inside, self.data[np.minimum(start[i:i + block, None] + at, len(self.data) - 1)].astype(np.uint64) + np.uint64(1), 0)
-            for k in range(2):
-                out[k, i:i + block] = (rows * _WEIGHTS[k, :len(at)]).sum(axis=1, dtype=np.uint64)
-        return out
+        key = key[sample]
+        return (start, n, doc, number, sample, owner, ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64),
+                (key >> np.uint64(8)).astype(np.uint8) % COLLECTIONS)
+
+    def _words(self, start: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        """Words of eight bytes that together cover the strings: whole ones from the first byte over a window,
+        then from the last byte back."""
+        words = np.ndarray(len(self.data) - 7, np.dtype("<u8"), self.data, strides=(1,))
+        for k in range(0, WINDOW - 7, 8):
+            yield words[start + k]
+        stop = start + n + WINDOW - 1
+        for k in range(8, WINDOW - GRAM + WINDOW % 8 + 8, 8):
+            yield words[stop - k]
+
+    def _content_hashes(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """64-bit hashes of strings."""
+        h = n.astype(np.uint64)
+        for w in self._words(start, n):
+            h ^= w
+            h *= _MIX
+            h ^= h >> np.uint64(32)
+        return h * _MIX
+
+    def _equal(self, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order in which equal strings follow each other, and where it goes on with another string.  Only
+        equal bytes count as equal; strings that a clash of hashes stood between stay apart, which costs work only."""
+        order = np.argsort(self._content_hashes(start, n), kind="stable")  # the same wherever it is computed again
+        start, n = start[order], n[order]
+        same = n[1:] == n[:-1]
+        for w in self._words(start, n):
+            same &= w[1:] == w[:-1]
+        return order, np.concatenate([[True], ~same])
 
     def bytes_of(self, start: np.ndarray, n: np.ndarray) -> bytes:
         length = n + WINDOW - 1
@@ -189,6 +199,17 @@ class Chunk:
         return self.data[at].tobytes()
 
 
+def _print_bucket(distinct: np.ndarray, buckets: int) -> np.ndarray:
+    return (distinct >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per bucket: which rows are dealt to it, ascending."""
+    by = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")  # 16 bits are sorted by counting
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+        yield int(bucket[part[0]]), part
+
+
 def _prints(buckets: int):
     def run(batches):
         for b in batches:
@@ -231,41 +252,52 @@ def _send_strings(buckets: int):
         for b in batches:
             for r in b.to_pylist():
                 c = Chunk(r["ids"], r["ends"], r["data"])
-                start, n, _, _, sample, owner, bucket = c.strings(r["answers"] or [], buckets)
-                by = np.argsort(bucket, kind="stable")
-                parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []
+                start, n, _, _, sample, owner, bucket, collection = c.strings(r["answers"] or [], buckets)
+                start, n = start[sample], n[sample]
+                windows = n.astype(np.uint8) | collection << np.uint8(5)
+                dealt = list(_dealt(bucket, buckets))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([r["chunk"]] * len(parts), pa.int64()),
-                     pa.array([_pack(c.bytes_of(start[sample[p]], n[sample[p]])) for p in parts], pa.binary()),
-                     pa.array([n[sample[p]].astype(np.uint8).tobytes() for p in parts], pa.binary()),
-                     pa.array([_pack(owner[p].tobytes()) for p in parts], pa.binary())],
+                    [pa.array([k for k, _ in dealt], pa.int32()), pa.array([r["chunk"]] * len(dealt), pa.int64()),
+                     pa.array([_pack(c.bytes_of(start[p], n[p])) for _, p in dealt], pa.binary()),
+                     pa.array([windows[p].tobytes() for _, p in dealt], pa.binary()),
+                     pa.array([_pack(owner[p].tobytes()) for _, p in dealt], pa.binary())],
                     names=["bucket", "chunk", "text", "windows", "owners"])
     return run
 
 
 def _owners_of_windows(t: pa.Table) -> pa.Table:
     """Per row (a chunk's strings in this bucket): the smallest owner of each of their windows."""
-    number: dict[bytes, int] = {}
-    least: list[int] = []
-    rows = []
-    for r in t.select(["chunk", "bucket", "text", "windows", "owners"]).to_pylist():
-        text, owners = _unpack(r["text"]), np.frombuffer(_unpack(r["owners"]), np.int64).tolist()
-        lengths = np.frombuffer(r["windows"], np.uint8).astype(np.int64) + WINDOW - 1
-        mine, e = [], 0
-        for length, owner in zip(lengths.tolist(), owners, strict=True):
-            s = text[e:e + length]
-            e += length
-            k = number.setdefault(s, len(least))
-            if k == len(least):
-                least.append(owner)
-            elif owner < least[k]:
-                least[k] = owner
-            mine.append(k)
-        rows.append((r["chunk"], r["bucket"], mine))
-    strings, owners = list(number), np.array(least, np.int64)
-    answer = first_owner(strings, owners, WINDOW)
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
-                     "owners": pa.array([_pack(np.concatenate([answer[k] for k in r[2]]).astype(np.int64).tobytes()) for r in rows], pa.binary())})
+    numbers: list[dict[bytes, int]] = [{} for _ in range(COLLECTIONS)]
+    rows, mine, owners = t.select(["chunk", "bucket", "text", "windows", "owners"]).to_pylist(), [], []
+    windows = np.frombuffer(b"".join(r["windows"] for r in rows), np.uint8)
+    collection, size = windows >> np.uint8(5), (windows & np.uint8(31)).astype(np.int64)
+    i = 0
+    for r in rows:
+        text, k = _unpack(r["text"]), len(r["windows"])
+        stops = np.cumsum(size[i:i + k] + WINDOW - 1).tolist()
+        for begin, stop, number in zip([0, *stops[:-1]], stops, map(numbers.__getitem__, collection[i:i + k].tolist()), strict=True):
+            mine.append(number.setdefault(text[begin:stop], len(number)))
+        owners.append(np.frombuffer(_unpack(r["owners"]), np.int64))
+        i += k
+    mine, owners = np.array(mine, np.int64), np.concatenate(owners)
+    answer = np.empty(int(size.sum()), np.int64)
+    place = np.cumsum(size) - size
+    for k, number in enumerate(numbers):
+        here = np.flatnonzero(collection == k)
+        if not len(here):
+            continue
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, mine[here], owners[here])
+        strings = list(number)
+        found = first_owner(strings, least, WINDOW)
+        flat, n = np.concatenate(found), size[here]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        answer[np.repeat(place[here], n) + step] = flat[np.repeat((np.cumsum(sizes) - sizes)[mine[here]], n) + step]
+    ends = np.cumsum([0, *(len(r["windows"]) for r in rows)])
+    bounds = np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
+                     "owners": pa.array([_pack(answer[a:b].tobytes()) for a, b in itertools.pairwise(bounds)], pa.binary())})
 
 
 def _apply(buckets: int):
@@ -274,11 +306,11 @@ def _apply(buckets: int):
             for r in b.to_pylist():
                 c = Chunk(r["ids"], r["ends"], r["data"])
                 covered = np.zeros(len(c.data) + 1, np.int32)
-                start, n, doc, number, sample, _, bucket = c.strings(r["answers"] or [], buckets)
+                start, n, doc, number, sample, _, bucket, _ = c.strings(r["answers"] or [], buckets)
                 if len(sample):
                     back = {a["bucket"]: np.frombuffer(_unpack(a["owners"]), np.int64) for a in r["found"]}
-                    by = np.argsort(bucket, kind="stable")
-                    flat = np.concatenate([back[int(k)] for k in np.unique(bucket)])
+                    dealt = list(_dealt(bucket, buckets))
+                    by, flat = np.concatenate([p for _, p in dealt]), np.concatenate([back[k] for k, _ in dealt])
                     size = n[sample][by]
                     begin = np.empty(len(sample), np.int64)
                     begin[by] = np.cumsum(size) - size
@@ -287,8 +319,8 @@ def _apply(buckets: int):
                     owner = flat[np.repeat(begin[number], n) + step]
                     gone = owner < np.repeat(c.ids[doc], n)
                     where = (np.repeat(start, n) + step)[gone]
-                    np.add.at(covered, where, 1)
-                    np.add.at(covered, where + WINDOW, -1)
+                    np.add.at(covered, where, np.int32(1))
+                    np.add.at(covered, where + WINDOW, np.int32(-1))
                 mask = np.cumsum(covered[:-1]) > 0
                 edges, kept, begin = [], [], 0
                 for end in c.ends.tolist():

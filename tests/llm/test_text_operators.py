@@ -283,6 +283,49 @@ def test_all_strings_of_a_bucket_are_ordered(monkeypatch):
     assert [np.frombuffer(substring_dedup._unpack(x), np.int64).tolist() for x in out["owners"].to_pylist()] == [want, want]
 
 
+def dealt_in_process(docs, buckets=3):
+    """The operator's steps one after the other without Spark, so that patched limits hold in all of them."""
+    import pyarrow as pa
+    together = lambda step, rows: [x for r in rows for b in step(iter([pa.RecordBatch.from_pylist([r])])) for x in b.to_pylist()]
+    by = lambda rows, key: [[r for r in rows if r[key] == k] for k in sorted({r[key] for r in rows})]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(docs), pa.int64()), pa.array(list(docs.values()), pa.string())], names=["id", "text"])
+    chunks = [x for b in substring_dedup.pack_chunks(iter([batch])) for x in b.to_pylist()]
+    prints = together(substring_dedup._prints(buckets), chunks)
+    answers = [x for g in by(prints, "bucket") for x in substring_dedup._answers(buckets)(pa.Table.from_pylist(g)).to_pylist()]
+    asked = [r | {"answers": [a for a in answers if a["chunk"] == r["chunk"]] or None} for r in chunks]
+    sent = together(substring_dedup._send_strings(buckets), [r for r in asked if r["answers"]])
+    found = [x for g in by(sent, "bucket") for x in substring_dedup._owners_of_windows(pa.Table.from_pylist(g)).to_pylist()]
+    return together(substring_dedup._apply(buckets), [r | {"found": [f for f in found if f["chunk"] == r["chunk"]]} for r in asked])
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("clash", [False, True])
+def test_buckets_order_small_collections(monkeypatch, hot, clash):
+    """A bucket's strings are ordered in several collections, and no window is in two of them.  Strings whose hashes
+    clash are not taken for equal."""
+    monkeypatch.setattr(substring_dedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 1})())}))
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 4000)
+    if clash:
+        monkeypatch.setattr(substring_dedup.Chunk, "_content_hashes", lambda self, start, n: (n % 2).astype(np.uint64) << np.uint64(9))
+    calls, plain = [], collection_bwt.first_owner
+    monkeypatch.setattr(substring_dedup, "first_owner", lambda s, o, k: calls.append(set(s)) or plain(s, o, k))
+    rnd = random.Random(17)
+    words = ["the", "of", "tion", "être", "日本", "a", "zzzz", "word", "other"]
+    shared = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(12)]
+    docs = {}
+    for i in range(50):
+        parts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))), rnd.choice(shared), rnd.choice(shared), "a" * rnd.choice([0, 10, 120])]
+        rnd.shuffle(parts)
+        docs[i * 7 % 53] = " ".join(parts)
+    got = {r["id"]: (r["n_bytes"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())
+           for r in dealt_in_process(docs)}
+    assert got == brute_substrings({d: t.encode() for d, t in docs.items()})
+    windows = [{s[i:i + 50] for s in strings for i in range(len(s) - 49)} for strings in calls]
+    assert sum(map(len, windows)) == len(set().union(*windows))
+    assert clash and not hot or len(calls) > 2 * 3  # of three buckets
+
+
 def test_collection_order(monkeypatch):
     rnd = random.Random(1)
     monkeypatch.setattr(collection_bwt, "_LONG", 4)
